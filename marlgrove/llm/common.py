@@ -166,3 +166,33 @@ def cover(n: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     np.add.at(depth, starts, 1)
     np.add.at(depth, ends, -1)
     return np.cumsum(depth[:-1]) > 0
+
+
+def groups(batches: Iterator[pa.RecordBatch], key: str, rows: int = 50_000) -> Iterator[pa.Table]:
+    """Whole groups of rows that lie next to each other with one key, about ``rows`` rows at a time."""
+    held: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        size += batch.num_rows
+        if size < rows:
+            continue
+        whole = pa.Table.from_batches(held)
+        keys = whole.column(key)
+        last = keys[whole.num_rows - 1].as_py()
+        first = pa.compute.index(keys, value=last).as_py()
+        if first:
+            yield whole.slice(0, first).combine_chunks()
+            held = whole.slice(first).combine_chunks().to_batches()
+            size = whole.num_rows - first
+    if held:
+        yield pa.Table.from_batches(held).combine_chunks()
+
+
+def group_bounds(keys: np.ndarray) -> np.ndarray:
+    """First row of each run of equal keys, and the number of rows."""
+    if not keys.size:
+        return np.zeros(1, np.int64)
+    return np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [keys.size]))

@@ -8,8 +8,11 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .language_id import identify_held_out
+from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .piece_codec import encode_digests
+from .quality_rules import judge
 from .token_count import count_tokens
 from .token_files import token_files
 
@@ -26,10 +29,22 @@ def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_FILE))
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_held_out(table(spark, sf_dir, "documents"))
+
+
 def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_FILE), limit=512)
 
 
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "documents"))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_FILE), end_id=2)
 
@@ -37,7 +52,10 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op2_best_fit_packing": op2_best_fit_packing,
     "op5_piece_codec": op5_piece_codec,
+    "op6_near_dedup": op6_near_dedup,
+    "op7_language_id": op7_language_id,
     "op8_token_count": op8_token_count,
+    "op9_quality_rules": op9_quality_rules,
     "op10_token_files": op10_token_files,
 }
 
