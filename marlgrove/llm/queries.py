@@ -12,6 +12,7 @@ from .language_id import identify_held_out
 from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .piece_codec import encode_digests
+from . import substring_dedup, suffix_dedup
 from .quality_rules import judge
 from .token_count import count_tokens
 from .token_files import token_files
@@ -21,10 +22,18 @@ Query = Callable[[SparkSession, str], DataFrame]
 WORD_FILE, BYTE_FILE, PIECE_FILE = "word_bpe_49k.json", "byte_bpe_50k.json", "piece_bpe_32k.model"
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.repeat_digests(table(spark, sf_dir, "documents"), window=400)
+
+
 def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_FILE), end_id=1, room=4096)
 
 
+def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeat_digests(table(spark, sf_dir, "documents"), window=35)
+
+
 def op5_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_FILE))
 
@@ -50,7 +59,9 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op4_substring_dedup": op4_substring_dedup,
     "op5_piece_codec": op5_piece_codec,
     "op6_near_dedup": op6_near_dedup,
     "op7_language_id": op7_language_id,
