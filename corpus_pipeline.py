@@ -1,13 +1,60 @@
-"""The corpus pipeline: documents through language ID, quality rules, near-dedup, suffix dedup and packing."""
+"""The corpus pipeline: language ID, quality rules, near-dedup, suffix dedup, packing.
+
+Each stage works on all documents that its predecessor kept. The first three drop documents, the fourth
+takes repeated bytes out of their texts, the last returns the packed pieces. A document whose text
+loses all its bytes stays, as the end id alone.
+
+Stages are tested against brute force; SQL can't express learning, sketches or packing, so there is no
+SQL for the whole.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from marlgrove.llm import language_id, near_dedup, quality_rules, suffix_dedup
+from marlgrove.llm.common import scratch
+from marlgrove.llm.packing import pack_documents
+from marlgrove.llm.queries import WORD_FILE
+
+
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops texts without letters and those of which no language has half the letters."""
+    return language_id.filter_docs(docs, least=0.5)
+
+
+def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return quality_rules.filter_docs(docs)
+
+
+def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return near_dedup.filter_docs(docs)
+
+
+def remove_repeated_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return suffix_dedup.clean_docs(docs, window=400)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    return pack_documents(docs, public_tokenizers.path(WORD_FILE), end_id=1, room=4096)
+
+
+STAGES = [
+    ("language_id", identify_language),
+    ("quality_rules", apply_quality_rules),
+    ("near_dedup", drop_near_duplicates),
+    ("suffix_dedup", remove_repeated_bytes),
+    ("best_fit_packing", pack_sequences),
+]
+
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents, each but the last written to the shared folder and read again."""
+    docs, at = spark.read.parquet(f"{sf_dir}/documents.parquet"), scratch(spark)
+    for name, stage in STAGES[:-1]:
+        stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
+        docs = spark.read.parquet(f"{at}/{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
+from .hash_index import nearest
 from .language_id import identify_held_out
 from .near_dedup import near_duplicates
 from .packing import pack_documents
@@ -30,6 +31,10 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_FILE), end_id=1, room=4096)
 
 
+def op3_hash_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(table(spark, sf_dir, "embeddings"), "vec_id % 20 = 0", k=20)
+
+
 def op4_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.repeat_digests(table(spark, sf_dir, "documents"), window=35)
 
@@ -61,6 +66,7 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Query] = {
     "op1_suffix_dedup": op1_suffix_dedup,
     "op2_best_fit_packing": op2_best_fit_packing,
+    "op3_hash_index": op3_hash_index,
     "op4_substring_dedup": op4_substring_dedup,
     "op5_piece_codec": op5_piece_codec,
     "op6_near_dedup": op6_near_dedup,
