@@ -1 +1,118 @@
-"""Queries."""
+"""Evaluation, graphs, histograms and invariants."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import text as t
+from ..operators import chunker, evaluate
+from ..operators import layout as o
+from ..operators.contain import containing
+from ..sources.tables import CHUNKS_SQL, LINES_SQL, chunks, lines, table
+from .registry import query
+from .retrieval import BM25_, RERANK_, bm25_topk, knn_graph  # noqa: F401
+from .scores import n_
+
+REL_ = "rel AS (SELECT b.item_id AS query_id, d.doc_id AS chunk_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
+
+
+@query(f"WITH {CHUNKS_SQL}, {BM25_}, {REL_}, h AS (SELECT s.query_id, min(rank) AS first, count(*) AS hits FROM sparse s JOIN rel USING (query_id, chunk_id) WHERE rank <= 10 GROUP BY 1), n AS (SELECT query_id, count(*) AS relevant FROM rel GROUP BY 1) SELECT count(*) AS probes, round(avg(coalesce(hits::DOUBLE / relevant, 0)), 4) AS recall, round(avg(coalesce(1.0::DOUBLE / first, 0)), 4) AS mrr, round(avg(coalesce(1.0::DOUBLE / log2(first + 1.0::DOUBLE), 0)), 4) AS ndcg FROM (SELECT item_id AS query_id FROM benchmark) b LEFT JOIN h USING (query_id) LEFT JOIN n USING (query_id)")
+def ir_metrics(spark, sf_dir):
+    b = table(spark, sf_dir, "benchmark")
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    relevant = containing(docs, b.select(F.col("item_id").alias("item"), F.col("text").alias("passage"))).select(F.col("item").alias("query_id"), F.col("id").alias("chunk_id"))
+    return evaluate.ir_metrics(bm25_topk(spark, sf_dir), relevant, b.select(F.col("item_id").alias("query_id")))
+
+
+@query(f"WITH {CHUNKS_SQL}, p AS (SELECT chunk_id AS src, lead(chunk_id) OVER (PARTITION BY paper_id ORDER BY chunk_index) AS dst FROM chunks) SELECT src, dst FROM p WHERE dst IS NOT NULL UNION ALL SELECT dst, src FROM p WHERE dst IS NOT NULL")
+def section_neighbors(spark, sf_dir):
+    return evaluate.section_neighbours(chunks(spark, sf_dir))
+
+
+ENT_ = "ent AS (SELECT DISTINCT doc_id AS chunk_id, unnest(regexp_extract_all(text, '\\b[A-Z]{3,}\\b')) AS entity FROM (SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F]', '_', 'g') AS text FROM documents)), cnt AS (SELECT entity, count(*) AS n, min(chunk_id) AS first FROM ent GROUP BY 1), few AS (SELECT chunk_id, entity FROM ent JOIN cnt USING (entity) WHERE n BETWEEN 2 AND 50), star AS (SELECT chunk_id AS src, first AS dst FROM ent JOIN cnt USING (entity) WHERE n > 50 AND chunk_id <> first)"
+
+
+@query(f"WITH {ENT_} SELECT a.chunk_id AS src, b.chunk_id AS dst FROM few a JOIN few b USING (entity) WHERE a.chunk_id <> b.chunk_id UNION SELECT src, dst FROM star UNION SELECT dst, src FROM star")
+def citation_neighbors(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    plain = F.regexp_replace("text", r"[^\x00-\x7F]", "_")
+    return evaluate.entity_neighbours(docs.select(F.col("doc_id").alias("chunk_id"), F.explode(F.array_distinct(t.found(plain, r"\b[A-Z]{3,}\b"))).alias("entity")), most=50)
+
+
+@query(f"WITH {CHUNKS_SQL}, {ENT_}, p AS (SELECT chunk_id AS src, lead(chunk_id) OVER (PARTITION BY paper_id ORDER BY chunk_index) AS dst FROM chunks), k AS (SELECT a.vec_id AS src, b.vec_id AS dst, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) DESC, b.vec_id) AS r FROM embeddings a, embeddings b) SELECT 'section_neighbor' AS relation, 2 * count(dst) AS n FROM p UNION ALL SELECT 'citation_neighbor', count(*) FROM (SELECT a.chunk_id AS src, b.chunk_id AS dst FROM few a JOIN few b USING (entity) WHERE a.chunk_id <> b.chunk_id UNION SELECT src, dst FROM star UNION SELECT dst, src FROM star) UNION ALL SELECT 'semantic_neighbor', count(*) FROM k WHERE r <= 3 AND src <> dst")
+def memory_graph(spark, sf_dir):
+    graph = evaluate.memory_graph(section_neighbors(spark, sf_dir), citation_neighbors(spark, sf_dir), knn_graph(spark, sf_dir))
+    return graph.groupBy("relation").agg(F.count("*").alias("n"))
+
+
+_est = "greatest(1, floor(" + n_(r"\S+") + " * 1.25::DOUBLE))"
+_bins = (0, 128, 256, 384, 512, 768, 2048)
+
+
+@query("SELECT bin, count(*) AS n FROM (SELECT CASE " + " ".join(f"WHEN e <= {b} THEN '{a}-{b}'" for a, b in zip(_bins, _bins[1:])) + f" END AS bin FROM (SELECT {_est} AS e FROM documents)) WHERE bin IS NOT NULL GROUP BY 1")
+def token_histogram(spark, sf_dir):
+    e, bin_ = t.token_estimate(F.col("text")), None
+    for a, b in zip(_bins, _bins[1:]):
+        bin_ = F.when(e <= b, f"{a}-{b}") if bin_ is None else bin_.when(e <= b, f"{a}-{b}")
+    return table(spark, sf_dir, "documents").groupBy(bin_.alias("bin")).agg(F.count("*").alias("n")).filter("bin is not null")
+
+
+@query("SELECT lang, count(*) AS n FROM documents GROUP BY 1")
+def value_counts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n"))
+
+
+@query(f"SELECT count(*) AS chunks, sum({_est})::BIGINT AS tokens, round(avg({_est}), 6) AS mean_tokens, min({_est})::BIGINT AS min_tokens, max({_est})::BIGINT AS max_tokens FROM documents")
+def corpus_stats(spark, sf_dir):
+    e = t.token_estimate(F.col("text"))
+    return table(spark, sf_dir, "documents").agg(F.count("*").alias("chunks"), F.sum(e).alias("tokens"), F.round(F.avg(e), 6).alias("mean_tokens"), F.min(e).alias("min_tokens"), F.max(e).alias("max_tokens"))
+
+
+@query(f"WITH {CHUNKS_SQL}, h AS (SELECT *, sha256(chunk_text) AS h FROM chunks) SELECT (SELECT count(*) - count(DISTINCT chunk_id) FROM h) AS duplicate_ids, (SELECT count(*) FROM (SELECT h FROM h GROUP BY h HAVING count(*) > 1)) AS repeated_hashes, (SELECT count(*) FROM h WHERE chunk_text IS NULL OR chunk_text = '') AS empty, (SELECT sum((length(chunk_text) < 250)::INT)::BIGINT FROM h) AS tiny")
+def invariants(spark, sf_dir):
+    c = chunks(spark, sf_dir).withColumn("h", F.sha2("chunk_text", 256))
+    ids = c.groupBy("chunk_id").agg(F.count("*").alias("n")).agg(F.sum(F.col("n") - 1).alias("duplicate_ids"))
+    hashes = c.groupBy("h").agg(F.count("*").alias("n")).agg(F.sum((F.col("n") > 1).cast("long")).alias("repeated_hashes"))
+    rest = c.agg(F.sum((F.col("chunk_text").isNull() | (F.col("chunk_text") == "")).cast("long")).alias("empty"), F.sum((F.length("chunk_text") < 250).cast("long")).alias("tiny"))
+    return ids.crossJoin(hashes).crossJoin(rest)
+
+
+@query(f"WITH {LINES_SQL} SELECT paper_id, count(*) AS n_lines, sum((line = '')::INT)::BIGINT AS empty, sum((length(line) < 20)::INT)::BIGINT AS short, CASE WHEN sum((line = '')::INT) > 0 THEN 'failed' WHEN avg((length(line) < 20)::INT) > 0.5 THEN 'needs_review' ELSE 'ready' END AS status FROM lines GROUP BY 1")
+def validator_report(spark, sf_dir):
+    line = F.col("line")
+    rows = lines(spark, sf_dir).groupBy("paper_id").agg(F.count("*").alias("n_lines"), F.sum((line == "").cast("long")).alias("empty"), F.sum((F.length(line) < 20).cast("long")).alias("short"))
+    return rows.withColumn("status", F.when(F.col("empty") > 0, "failed").when(F.col("short") / F.col("n_lines") > 0.5, "needs_review").otherwise("ready"))
+
+
+@query()
+def semantic_chunks(spark, sf_dir):
+    return chunker.chunk(o.paragraphs(lines(spark, sf_dir)).select("paper_id", F.col("paragraph").alias("ord"), "text", o.structural_role(F.col("text")).alias("role")))
+
+
+@query()
+def chunk_scores(spark, sf_dir):
+    return chunker.scored(semantic_chunks(spark, sf_dir))
+
+
+@query("SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages")
+def page_hosts(spark, sf_dir):
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", "^https?://([^/]+)", 1).alias("host"))
+
+
+@query("SELECT event_id, (props->>'$.k')::BIGINT AS k FROM events")
+def json_access(spark, sf_dir):
+    return table(spark, sf_dir, "events").select("event_id", F.get_json_object("props", "$.k").cast("long").alias("k"))
+
+
+@query("SELECT o_orderkey, year(o_orderdate)::INT AS y, month(o_orderdate)::INT AS m, strftime(o_orderdate, '%Y%m%d%H%M%S') AS stamp FROM orders")
+def dates(spark, sf_dir):
+    d = F.col("o_orderdate")
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.year(d).alias("y"), F.month(d).alias("m"), F.date_format(d, "yyyyMMddHHmmss").alias("stamp"))
+
+
+@query(f"WITH {CHUNKS_SQL}, w AS (SELECT chunk_id, list_distinct(regexp_extract_all(lower(chunk_text), '[a-z0-9]{{3,}}')) AS x, lag(list_distinct(regexp_extract_all(lower(chunk_text), '[a-z0-9]{{3,}}'))) OVER (PARTITION BY paper_id ORDER BY chunk_index) AS y FROM chunks) SELECT chunk_id, round(CASE WHEN y IS NULL OR len(x) = 0 OR len(y) = 0 THEN 0.0 ELSE len(list_intersect(x, y))::DOUBLE / len(list_distinct(list_concat(x, y))) END, 6) AS overlap FROM w")
+def adjacent_overlap(spark, sf_dir):
+    w = Window.partitionBy("paper_id").orderBy("chunk_index")
+    toks = chunks(spark, sf_dir).withColumn("x", F.array_distinct(t.found(F.lower("chunk_text"), "[a-z0-9]{3,}"))).withColumn("y", F.lag("x").over(w))
+    return toks.select("chunk_id", F.round(F.coalesce(t.jaccard(F.col("x"), F.col("y")), F.lit(0.0)), 6).alias("overlap"))

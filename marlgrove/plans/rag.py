@@ -1 +1,237 @@
-"""Queries."""
+"""Queries of answering: over all conversation turns, or over the ranked chunks of all benchmark queries."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..functions import text as t
+from ..operators import answer as a
+from ..operators import search as s
+from ..sources.tables import CHUNKS_SQL, chunks, table
+from .registry import query
+from .retrieval import ALL_, HYBRID_, bm25_topk, dense_topk, hybrid_search, questions
+
+
+def like_(c: str, parts) -> str:
+    return "(" + " OR ".join(f"contains({c}, '{p}')" for p in parts) + ")"
+
+
+def list_(parts) -> str:
+    return "[" + ", ".join(f"'{p}'" for p in parts) + "]"
+
+
+INTENT_ = "CASE " + " ".join(f"WHEN {like_('lower({q})', m)} THEN '{k}'" for k, m in a.INTENTS) + " ELSE 'definition' END"
+_known = "list_concat(" + ", ".join(f"CASE WHEN contains(lower({{q}}), '{k}') THEN {list_((k, *v))} ELSE [] END" for k, v in a.ACRONYMS.items()) + ")"
+_words = "list_filter(regexp_extract_all(lower({q}), '[a-z][a-z0-9\\-]{{3,}}'), lambda x: x NOT IN ('" + "','".join(a.NO_TOPIC) + "'))"
+
+
+def _turns(spark, sf_dir):
+    return table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+
+
+@query(f"SELECT conv_id, turn, {INTENT_.format(q='text')} AS intent, CASE {INTENT_.format(q='text')} WHEN 'definition' THEN 8 WHEN 'comparison' THEN 10 WHEN 'literature_review' THEN 12 ELSE 10 END::INT AS depth FROM conversations")
+def query_intent(spark, sf_dir):
+    kind = a.intent(F.col("text"))
+    return _turns(spark, sf_dir).select("conv_id", "turn", kind.alias("intent"), a.depth(kind).alias("depth"))
+
+
+@query(f"SELECT conv_id, turn, array_to_string(list_sort(list_distinct({_words.format(q='text')})), '|') AS words FROM conversations")
+def query_topics(spark, sf_dir):
+    words = F.filter(t.found(F.lower("text"), r"[a-z][a-z0-9\-]{3,}"), lambda x: ~x.isin(*a.NO_TOPIC))
+    return _turns(spark, sf_dir).select("conv_id", "turn", F.array_join(F.array_sort(F.array_distinct(words)), "|").alias("words"))
+
+
+@query("SELECT conv_id, turn, array_to_string(list_sort(list_filter(list_distinct(list_transform(regexp_extract_all(regexp_replace(text, '[^\\x00-\\x7F]', '_', 'g'), '\\b(?:[A-Z]{2,}|[A-Z][a-zA-Z0-9\\-]+(?:\\s+[A-Z][a-zA-Z0-9\\-]+)*)\\b'), lambda x: trim(regexp_replace(x, '(?i)^(?:compare|define|explain|summarize)\\s+', '')))), lambda x: x <> '' AND lower(x) NOT IN ('" + "','".join(a.NO_TOPIC) + "'))), '|') AS entities FROM conversations")
+def query_entities(spark, sf_dir):
+    return _turns(spark, sf_dir).select("conv_id", "turn", F.array_join(F.array_sort(F.array_distinct(a.entities(F.col("text")))), "|").alias("entities"))
+
+
+_w = "list_transform(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9\\-]+'), lambda x: lower(x))"
+_terms = "list_concat(" + ", ".join([f"CASE WHEN list_contains(w, '{k}') OR list_contains(w, '{k}s') THEN {list_(v)} ELSE [] END" for k, v in a.EXPANSIONS.items()] + [f"CASE WHEN list_has_any(w, {list_((k, *v))}) THEN {list_((k, *v))} ELSE [] END" for k, v in a.SYNONYMS.items()]) + ")"
+
+
+@query(f"SELECT conv_id, turn, array_to_string(list_sort(list_distinct(list_filter({_terms}, lambda x: NOT contains(lower(text), lower(x))))), '|') AS terms FROM (SELECT *, {_w} AS w FROM conversations)")
+def query_expansion(spark, sf_dir):
+    return _turns(spark, sf_dir).select("conv_id", "turn", F.array_join(a.expanded(F.col("text")), "|").alias("terms"))
+
+
+@query()
+def multi_query(spark, sf_dir):
+    """The query itself, with each of its first four expansion terms, and its entities with the first two."""
+    c = F.col("text")
+    terms, named = a.expanded(c), F.array_join(a.entities(c), " ")
+    more = F.concat(F.transform(F.slice(terms, 1, 4), lambda x: F.concat(c, F.lit(" "), x)), F.when(named != "", F.transform(F.slice(terms, 1, 2), lambda x: F.concat(named, F.lit(" "), x))).otherwise(F.array().cast("array<string>")))
+    return _turns(spark, sf_dir).select("conv_id", "turn", F.posexplode(F.array_distinct(F.concat(F.array(c), more))).alias("place", "sub_query"))
+
+
+MERGE_ = "u AS (SELECT query_id, chunk_id, score, 0 AS s FROM dense UNION ALL SELECT query_id, chunk_id, score, 1 FROM sparse)"
+
+
+@query(f"{ALL_}, {MERGE_} SELECT query_id, chunk_id, max(score) AS score, (arg_max(s, score - s * 1e-9))::INT AS from_set FROM u GROUP BY 1, 2")
+def max_merge(spark, sf_dir):
+    return a.max_merge([dense_topk(spark, sf_dir), bm25_topk(spark, sf_dir)])
+
+
+@query(f"{ALL_}, {MERGE_} SELECT query_id, chunk_id, arg_min(score, s) AS score, min(s)::INT AS from_set FROM u GROUP BY 1, 2")
+def first_wins_merge(spark, sf_dir):
+    return a.first_merge([dense_topk(spark, sf_dir), bm25_topk(spark, sf_dir)])
+
+
+_prior = "CASE " + " ".join(f"WHEN {INTENT_.format(q='text')} = '{i}' AND label = '{k}' THEN {v}::DOUBLE" for i, p in a.PRIORS.items() for k, v in p.items()) + " ELSE 0.0 END"
+RANKED_ = HYBRID_ + ", res AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id))::INT AS rank FROM (SELECT *, round((fused_score + section_boost) * section_weight, 6) AS score FROM met) QUALIFY rank <= 10)"
+
+
+def ranked(spark, sf_dir):
+    """The hybrid results of all benchmark queries with both texts."""
+    hits = hybrid_search(spark, sf_dir).select("query_id", "rank", "chunk_id", "paper_id", "label", "score")
+    return hits.join(chunks(spark, sf_dir).select("chunk_id", "chunk_text"), "chunk_id").join(questions(spark, sf_dir).select("query_id", "text"), "query_id")
+
+
+@query(RANKED_ + f" SELECT query_id, chunk_id, {_prior} AS section_bonus, least((count(*) FILTER (rank <= 8) OVER (PARTITION BY query_id, paper_id)), 3) * 0.01::DOUBLE AS paper_bonus FROM res")
+def section_routing(spark, sf_dir):
+    from pyspark.sql import Window
+
+    near = F.sum((F.col("rank") <= 8).cast("int")).over(Window.partitionBy("query_id", "paper_id"))
+    return ranked(spark, sf_dir).select("query_id", "chunk_id", a.section_prior(a.intent(F.col("text")), F.col("label")).alias("section_bonus"), (F.least(near, F.lit(3)) * 0.01).alias("paper_bonus"))
+
+
+_share = "len(list_intersect(regexp_extract_all(lower(text), '{p}'), regexp_extract_all(lower(chunk_text), '{p}')))::DOUBLE / greatest(len(list_distinct(regexp_extract_all(lower(text), '{p}'))), 1)".format(p=a.OVERLAP_WORD)
+_add = " + ".join(
+    [
+        f"CASE WHEN k = 'definition' AND {like_('lower(chunk_text)', (' is ', ' refers to ', ' framework', ' optimization'))} THEN 0.12::DOUBLE ELSE 0 END",
+        f"CASE WHEN k = 'comparison' AND {like_('lower(chunk_text)', ('however', 'whereas', 'compared', 'in contrast'))} THEN 0.10::DOUBLE ELSE 0 END",
+        "CASE WHEN k = 'methodology_explanation' AND label IN ('methods', 'methodology') THEN 0.10::DOUBLE ELSE 0 END",
+        "0.0::DOUBLE",
+        "CASE WHEN k = 'definition' AND label IN ('abstract', 'introduction') THEN 0.08::DOUBLE ELSE 0 END",
+        "CASE WHEN k IN ('comparison', 'benchmark_performance') AND label IN ('results', 'discussion', 'experiments') THEN 0.08::DOUBLE ELSE 0 END",
+    ]
+)
+ANSWERABLE_ = RANKED_ + f", ans AS (SELECT *, floor(least(1.0::DOUBLE, {_share} + {_add}) * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE AS answerability FROM (SELECT *, {INTENT_.format(q='text')} AS k FROM res))"
+
+
+def answerable(spark, sf_dir):
+    none = F.array().cast("array<string>")
+    return ranked(spark, sf_dir).withColumn("answerability", a.answerability(F.col("text"), a.intent(F.col("text")), F.col("chunk_text"), F.col("label"), none))
+
+
+@query(ANSWERABLE_ + " SELECT query_id, chunk_id, answerability FROM ans")
+def answerability(spark, sf_dir):
+    return answerable(spark, sf_dir).select("query_id", "chunk_id", "answerability")
+
+
+@query(ANSWERABLE_ + " SELECT query_id, chunk_id FROM (SELECT *, max(answerability) OVER (PARTITION BY query_id) AS top FROM ans) WHERE answerability >= 0.15::DOUBLE OR top < 0.15::DOUBLE")
+def answerability_filter(spark, sf_dir):
+    return a.keep_answerable(answerable(spark, sf_dir)).select("query_id", "chunk_id")
+
+
+_fits = "CASE WHEN (k IN ('definition', 'methodology_explanation') AND label IN ('abstract', 'introduction', 'methodology', 'methods')) OR (k IN ('comparison', 'benchmark_performance') AND label IN ('results', 'discussion')) THEN 0.15::DOUBLE ELSE 0.0 END"
+
+
+@query(ANSWERABLE_ + f" SELECT query_id, chunk_id, floor((score + answerability * 0.30::DOUBLE + {_fits}) * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE AS precision_score FROM ans")
+def precision_rerank(spark, sf_dir):
+    bonus = a.precision_bonus(a.intent(F.col("text")), F.col("label"), F.lit(False), F.lit(0.0))
+    return answerable(spark, sf_dir).select("query_id", "chunk_id", t.rounded(F.col("score") + F.col("answerability") * 0.30 + bonus, 6).alias("precision_score"))
+
+
+@query("WITH q AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{9,}')) AS terms FROM benchmark), d AS (SELECT DISTINCT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{9,}'))) AS w FROM documents) SELECT query_id, doc_id AS chunk_id, floor((0.9::DOUBLE + 0.15::DOUBLE * 0.5::DOUBLE * count(*)) * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE AS score FROM (SELECT query_id, unnest(terms) AS w FROM q) JOIN d USING (w) GROUP BY 1, 2")
+def lexical_rescue(spark, sf_dir):
+    """Whole-word terms of nine letters and more, met by a join on the word."""
+    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(t.found(F.lower("text"), "[a-z]{9,}"))).alias("w"))
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.explode(F.array_distinct(t.found(F.lower("text"), "[a-z]{9,}"))).alias("w"))
+    return d.join(q, "w").groupBy("query_id", "chunk_id").agg(t.rounded(F.count("*") * F.lit(0.15 * 0.5) + 0.9, 6).alias("score"))
+
+
+def answers(spark, sf_dir):
+    """One answer a query: its best chunk's text, grounded on its second best's."""
+    r = ranked(spark, sf_dir)
+    one = r.filter("rank = 1").select("query_id", F.col("chunk_text").alias("answer"))
+    two = r.filter("rank = 2").select("query_id", F.col("chunk_text").alias("evidence"))
+    return one.join(two, "query_id")
+
+
+_cl = f"list_filter(list_transform(string_split(regexp_replace(answer, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '')"
+_ws = f"list_filter(list_distinct(regexp_extract_all(lower(c), '{a.CLAIM_WORD}')), lambda x: length(x) > 3)"
+ANSWERS_ = RANKED_ + f""", pairs AS (SELECT x.query_id, x.chunk_text AS answer, y.chunk_text AS evidence FROM res x JOIN res y ON x.query_id = y.query_id AND x.rank = 1 AND y.rank = 2),
+cl AS (SELECT query_id, answer, lower(evidence) AS ev, len({_cl}) AS n, unnest({_cl}) AS c FROM pairs), sup AS (SELECT query_id, answer, n, len(list_filter({_ws}, lambda w: contains(ev, w)))::DOUBLE / greatest(len({_ws}), 1) >= 0.35::DOUBLE AS ok FROM cl),
+g AS (SELECT query_id, any_value(answer) AS answer, any_value(n) AS n, sum(ok::INT)::DOUBLE / greatest(any_value(n), 1) AS share FROM sup GROUP BY 1),
+gr AS (SELECT query_id, answer, n::INT AS n_claims, floor((1 - share) * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE AS unsupported_ratio, floor((share * 0.55::DOUBLE + least(2::DOUBLE / greatest(n, 1), 1.0::DOUBLE) * 0.25::DOUBLE + least(1::DOUBLE / greatest(n, 1), 1.0::DOUBLE) * 0.20::DOUBLE) * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE AS score FROM g)"""
+
+
+def grounded(spark, sf_dir):
+    g = a.grounding(F.col("answer"), F.col("evidence"), F.lit(2), F.lit(1))
+    return answers(spark, sf_dir).select("query_id", "answer", g.alias("g")).select("query_id", "answer", "g.*")
+
+
+@query(ANSWERS_ + " SELECT query_id, n_claims, unsupported_ratio, score FROM gr")
+def grounding(spark, sf_dir):
+    return grounded(spark, sf_dir).drop("answer")
+
+
+@query(ANSWERS_ + " SELECT query_id, floor(least(1.0::DOUBLE, unsupported_ratio * 0.55::DOUBLE + (1 - 0.5::DOUBLE) * 0.25::DOUBLE + (1 - 1.0::DOUBLE) * 0.20::DOUBLE) * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE AS hallucination FROM gr")
+def hallucination(spark, sf_dir):
+    return grounded(spark, sf_dir).select("query_id", a.hallucination(F.col("unsupported_ratio"), F.lit(0.5), F.lit(2), F.lit(1)).alias("hallucination"))
+
+
+_r6 = "floor(({}) * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE"
+
+
+@query(ANSWERS_ + f""", w AS (SELECT *, list_transform(regexp_extract_all(answer, '{t.WORD}'), lambda x: lower(x)) AS ws FROM gr), v AS (SELECT *, greatest(len(ws), 1) AS n, greatest(0.0::DOUBLE, 1 - len(list_distinct(ws))::DOUBLE / greatest(len(ws), 1)) AS red, least(len(ws) / 120.0::DOUBLE, 1.0::DOUBLE) AS comp, greatest(0.0::DOUBLE, 1 - unsupported_ratio) AS fact, 2::DOUBLE / greatest(len(ws), 1) AS dens FROM w), y AS (SELECT *, comp * 0.4::DOUBLE + (1 - red) * 0.2::DOUBLE + dens * 10 * 0.2::DOUBLE + fact * 0.2::DOUBLE AS syn FROM v)
+SELECT query_id, {_r6.format('red')} AS redundancy, {_r6.format('comp')} AS completeness, {_r6.format('least(syn, 1.0::DOUBLE)')} AS synthesis, {_r6.format('least(dens * 6 * 0.1::DOUBLE + score * 0.30::DOUBLE + comp * 0.15::DOUBLE + (1 - red) * 0.15::DOUBLE + fact * 0.25::DOUBLE + score * 0.20::DOUBLE + syn * 0.05::DOUBLE, 1.0::DOUBLE)')} AS overall FROM y""")
+def answer_quality(spark, sf_dir):
+    return grounded(spark, sf_dir).select("query_id", *[c.alias(k) for k, c in a.answer_quality(F.col("answer"), F.lit(2), F.col("score"), F.col("unsupported_ratio")).items()])
+
+
+@query(RANKED_ + " SELECT x.query_id, x.chunk_id AS a, y.chunk_id AS b, CASE WHEN x.paper_id = y.paper_id THEN 'same_paper' ELSE 'cross_paper' END AS relation, CASE WHEN x.paper_id = y.paper_id THEN 0.8::DOUBLE ELSE 0.5::DOUBLE END AS weight FROM res x JOIN res y ON x.query_id = y.query_id AND x.rank < y.rank")
+def evidence_pairs(spark, sf_dir):
+    return a.evidence_pairs(ranked(spark, sf_dir))
+
+
+_c = like_("lower({}.chunk_text)", a.CONTRAST)
+
+
+@query(RANKED_ + f" SELECT x.query_id, x.chunk_id AS a, y.chunk_id AS b FROM res x JOIN res y ON x.query_id = y.query_id AND x.rank < y.rank WHERE x.paper_id <> y.paper_id AND ({_c.replace('{}', 'x')} OR {_c.replace('{}', 'y')}) AND len(list_intersect(regexp_extract_all(lower(x.chunk_text), '[a-z]{{4,}}'), regexp_extract_all(lower(y.chunk_text), '[a-z]{{4,}}'))) > 0")
+def contradictions(spark, sf_dir):
+    return a.contradictions(ranked(spark, sf_dir))
+
+
+@query(RANKED_ + " SELECT query_id, chunk_id, chars FROM (SELECT *, sum(length(chunk_text)) OVER (PARTITION BY query_id ORDER BY rank)::BIGINT AS chars FROM res) WHERE rank = 1 OR chars <= 16000")
+def prompt_packing(spark, sf_dir):
+    return a.pack_prompts(ranked(spark, sf_dir).select("query_id", "rank", "chunk_id", F.col("chunk_text").alias("text"))).select("query_id", "chunk_id", "chars")
+
+
+@query()
+def mmr_compress(spark, sf_dir):
+    return a.compress(ranked(spark, sf_dir).withColumn("score", F.lit(1.0)))
+
+
+_topic = f"list_distinct(list_concat({_known.format(q='text')}, {_words.format(q='text')}))"
+
+
+@query("SELECT conv_id, count(*) AS turns, max(turn) AS last_turn FROM conversations WHERE role = 'user' GROUP BY 1")
+def session_rollup(spark, sf_dir):
+    turns = _turns(spark, sf_dir)
+    last = turns.filter("role = 'user'").groupBy("conv_id").agg(F.max("turn").alias("last_turn"))
+    return a.sessions(turns).select("conv_id", "turns").join(last, "conv_id")
+
+
+@query()
+def session_topics(spark, sf_dir):
+    return a.sessions(_turns(spark, sf_dir))
+
+
+_cov = "list_filter(regexp_extract_all(lower(text), '[a-z][a-z0-9\\-]{3,}'), lambda x: x NOT IN ('" + "','".join(a.NO_TOPIC) + "'))"
+
+
+@query()
+def coverage_loop(spark, sf_dir):
+    """Share of a query's five best chunks that hold one of its topics, for its plain and its first-topics form; the first at 0.6 or more wins, else the best, of equals the later."""
+    from pyspark.sql import Window
+
+    q = questions(spark, sf_dir).select("query_id", "text", a.topics(F.col("text")).alias("topics"))
+    forms = q.select("query_id", "topics", F.posexplode(F.array(F.col("text"), F.array_join(F.slice("topics", 1, 4), " "))).alias("attempt", "text"))
+    key = F.col("query_id") * 2 + F.col("attempt")
+    hits = s.bm25(chunks(spark, sf_dir), forms.select(key.alias("query_id"), "text"), k=5)
+    met = hits.withColumnRenamed("query_id", "form").join(forms.select(key.alias("form"), "query_id", "attempt", "topics"), "form").join(chunks(spark, sf_dir).select("chunk_id", "chunk_text"), "chunk_id")
+    covered = met.groupBy("query_id", "attempt").agg(F.avg(a.on_topic(F.col("topics"), F.col("chunk_text")).cast("int")).alias("coverage"))
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.col("coverage") >= 0.6), F.when(F.col("coverage") >= 0.6, F.col("attempt")), F.desc("coverage"), F.desc("attempt"))
+    return covered.withColumn("r", F.row_number().over(order)).filter("r = 1").select("query_id", "attempt", F.round("coverage", 6).alias("coverage"))
