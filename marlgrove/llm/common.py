@@ -12,7 +12,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Text bytes handled at once in a Python worker; a longer text is a batch of its own.
 BATCH_BYTES = 2_000_000
@@ -46,17 +47,28 @@ def tasks_for(df: DataFrame, least: int = 1) -> int:
     return max(least, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
 
+def boxed(docs: DataFrame, name: str = "doc") -> Column:
+    """All columns as one struct, so that no other column can clash with them; ``unboxed`` undoes it."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(name)
+
+
+def unboxed(df: DataFrame, columns: list[str], name: str = "doc") -> DataFrame:
+    return df.select(*[F.col(f"{name}.`{c}`") for c in columns])
+
+
 def deal(df: DataFrame, *cols: str, times: int = 1) -> DataFrame:
     """Deals rows out by the hash of cols over the session's number of shuffle partitions."""
     return df.repartition(times * tasks_for(df), *cols)
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
-    """Cuts record batches so that the column ``text`` has about ``limit`` bytes at most, but at least one row."""
+    """Cuts record batches so that the column ``text`` (or a struct's field, as in "doc.text") has about ``limit`` bytes at most, but at least one row."""
+    name, _, field = text.partition(".")
     for batch in batches:
         if not batch.num_rows:
             continue
-        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0), dtype=np.int64)
+        column = batch.column(name)
+        sizes = np.asarray(pa.compute.fill_null(pa.compute.binary_length(column.field(field) if field else column), 0), dtype=np.int64)
         ends, begin = np.cumsum(sizes), 0
         while begin < batch.num_rows:
             before = ends[begin - 1] if begin else 0

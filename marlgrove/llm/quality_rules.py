@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import _SPACE, flat, gram_hashes, mix, powers, scratch, slices, word_hashes, words
+from .common import _SPACE, boxed, flat, gram_hashes, mix, powers, scratch, slices, unboxed, word_hashes, words
 
 #: Width of the grid's steps.
 GAMMA = 1.02
@@ -173,11 +173,10 @@ def filter_docs(docs: DataFrame) -> DataFrame:
     _, rows = limits(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            got = measure(*flat(batch.column("text")))
+        for batch in slices(batches, "doc.text"):
+            got = measure(*flat(batch.column("doc").field("text")))
             yield pa.RecordBatch.from_arrays([*batch.columns, *[pa.array(got[k], pa.int64()) for k in _COUNTS]], [*batch.schema.names, *[f"__{k}" for k in _COUNTS]])
 
-    schema = docs.schema
-    for k in _COUNTS:
-        schema = T.StructType([*schema.fields, T.StructField(f"__{k}", T.LongType())])
-    return _verdict(docs.mapInArrow(run, schema), rows).filter("__kept").select(*docs.columns)
+    held = docs.select(boxed(docs), "lang", "source")
+    schema = T.StructType([*held.schema.fields, *[T.StructField(f"__{k}", T.LongType()) for k in _COUNTS]])
+    return unboxed(_verdict(held.mapInArrow(run, schema), rows).filter("__kept"), docs.columns)

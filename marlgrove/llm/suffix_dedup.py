@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cover, flat, mix, runs_to_spans, scratch, slices
+from .common import boxed, cover, flat, mix, runs_to_spans, scratch, slices
 from .windows import anchored_runs, filter_of, named, repeated_anchors, repeated_spans, spans_of, stretches, with_spans
 
 #: Bytes of an anchor.
@@ -191,11 +191,12 @@ def clean_docs(docs: DataFrame, window: int = 400) -> DataFrame:
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
-            left = [k.decode(errors="ignore") for *_, k in _rest(batch.column("text"), batch.column("__spans").to_pylist())]
+        for batch in slices(batches, "doc.text"):
+            doc = batch.column("doc")
+            left = [k.decode(errors="ignore") for *_, k in _rest(doc.field("text"), batch.column("__spans").to_pylist())]
             new = {"text": pa.array(left, pa.string())} | ({"n_chars": pa.array([len(x) for x in left], pa.int64())} if "n_chars" in names else {})
-            yield pa.record_batch({k: new.get(k, batch.column(k)) for k in names})
+            yield pa.RecordBatch.from_arrays([new.get(k, doc.field(i)) for i, k in enumerate(names)], names)
 
-    keyed = docs.withColumns({"key_id": F.coalesce("doc_id", F.lit(-(1 << 63))), "key_hash": F.xxhash64("text")})
+    keyed = docs.select(boxed(docs), F.coalesce("doc_id", F.lit(-(1 << 63))).alias("key_id"), F.xxhash64("text").alias("key_hash"))
     found = with_spans(keyed, find_spans(named(docs), window, scratch(docs.sparkSession)))
-    return found.select(*names, "__spans").mapInArrow(run, docs.schema)
+    return found.select("doc", "__spans").mapInArrow(run, docs.schema)
