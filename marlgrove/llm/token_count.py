@@ -31,8 +31,11 @@ from pyspark.sql import DataFrame
 
 from .common import flat, slices
 
-#: Transitions and pre-tokens a worker keeps before it starts anew.
-TABLE_ROWS = 300_000
+#: Pre-tokens, and transitions, that a worker keeps before it starts anew.
+TABLE_ROWS = 800_000
+EDGES = 500_000
+#: Characters after which a chunk's map of states is tested for being constant.
+SETTLED = 4
 #: Characters of a chunk.
 CHUNK = 64
 
@@ -93,12 +96,18 @@ class ByteMachine:
             a, b = m if isinstance(m, list) else m.split(" ")
             self.rank[spell(a), spell(b)] = i
         self.tokens = {spell(t) for t in model["vocab"]}
+        self.made = {a + b: (a, b, i) for (a, b), i in reversed(self.rank.items())}
+        self.ends: dict[tuple[bytes, int], list[tuple[bytes, int]]] = {}
         self.heads = {t[:k] for t in self.tokens for k in range(len(t))}
+        self._forget()
+
+    def _forget(self) -> None:
         self.fits: dict[tuple[bytes, bytes], bool] = {}
-        self.states: dict[tuple, tuple] = {}
-        self.start = self._state(b"", (b"",), (0,))
-        self.edges: dict[tuple[int, int], tuple] = {}
-        self.alone: dict[bytes, bool] = {}
+        self.numbers: dict[tuple, int] = {}
+        self.states: list[tuple] = []
+        #: By 256 * state + byte: 64 * next state + 32 + tokens more.
+        self.edges: dict[int, int] = {}
+        self._number(b"", (b"",), (0,))  # state 0: a pre-token's start
 
     def merged(self, text: bytes) -> list[bytes]:
         """Byte-pair encoding by its definition, for the strings of two tokens."""
@@ -119,23 +128,54 @@ class ByteMachine:
             parts = out
         return parts
 
+    def _edge_of(self, token: bytes, side: int) -> list[tuple[bytes, int]]:
+        """What stands at a token's left (0) or right (1) end while it is merged: each part, and the rank of the merge that takes it in."""
+        got = self.ends.get((token, side))
+        if got is None:
+            got, until, part = [], 1 << 60, token
+            while True:
+                got.append((part, until))
+                if part not in self.made:
+                    break
+                until, part = self.made[part][2], self.made[part][side]
+            self.ends[token, side] = got
+        return got
+
     def _fit(self, a: bytes, b: bytes) -> bool:
+        """Whether the encoding of a and b together is a, b.
+
+        Merges go by rank, and a part's rank is above those of its own parts. So one crosses the border
+        if its rank comes before both ends are taken in; of equal ranks the leftmost goes first."""
         got = self.fits.get((a, b))
         if got is None:
-            got = self.fits[a, b] = self.merged(a + b) == ([a, b] if a else [b])
+            if not a:
+                got = self.merged(b) == [b]
+            else:
+                rank, far = self.rank.get, 1 << 60
+                got = True
+                for x, x_until in self._edge_of(a, 1):
+                    for y, y_until in self._edge_of(b, 0):
+                        r = rank((x, y), far)
+                        if r < x_until and r <= y_until and r < far:
+                            got = False
+                            break
+                    if not got:
+                        break
+            self.fits[a, b] = got
         return got
 
-    def _state(self, tail: bytes, last: tuple, lead: tuple) -> tuple:
+    def _number(self, tail: bytes, last: tuple, lead: tuple) -> int:
         """tail: the bytes that a token may still take in; last[j]: the token that ends before tail[j:]
         (empty at the pre-token's start); lead[j]: tokens up to there less those up to the end."""
         key = (tail, last, lead)
-        got = self.states.get(key)
+        got = self.numbers.get(key)
         if got is None:
-            got = self.states[key] = (len(self.states), *key)
+            got = self.numbers[key] = len(self.states)
+            self.states.append(key)
         return got
 
-    def _edge(self, state: tuple, byte: int) -> tuple:
-        _, tail, last, lead = state
+    def _edge(self, state: int, byte: int) -> int:
+        tail, last, lead = self.states[state]
         tail = tail + bytes((byte,))
         for j in range(len(tail)):
             token = tail[j:]
@@ -144,24 +184,23 @@ class ByteMachine:
         else:
             raise ValueError(f"no token ends {tail!r}")
         more = lead[j] + 1
+        if not -32 <= more < 32:
+            raise ValueError(f"{more} tokens more at once")
         last, lead = (*last, token), (*(x - more for x in lead), 0)
         keep = next(j for j in range(len(tail) + 1) if tail[j:] in self.heads)
-        return self._state(tail[keep:], last[keep:], lead[keep:]), more
+        edge = self.edges[state << 8 | byte] = self._number(tail[keep:], last[keep:], lead[keep:]) << 6 | more + 32
+        return edge
 
     def count(self, text: bytes) -> int:
-        if len(self.edges) > TABLE_ROWS or len(self.fits) > TABLE_ROWS:
-            self.edges.clear()
-            self.states.clear()
-            self.fits.clear()
-            self.start = self._state(b"", (b"",), (0,))
-        state, total, edges = self.start, 0, self.edges
+        if len(self.edges) > EDGES:
+            self._forget()
+        state, total, get = 0, 0, self.edges.get
         for byte in text:
-            key = (state[0], byte)
-            edge = edges.get(key)
+            edge = get(state << 8 | byte)
             if edge is None:
-                edge = edges[key] = self._edge(state, byte)
-            state, more = edge
-            total += more
+                edge = self._edge(state, byte)
+            state = edge >> 6
+            total += (edge & 63) - 32
         return total
 
 
@@ -193,13 +232,13 @@ class Counter:
         return BLANK
 
     def classes(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Class, first byte and row of every character."""
+        """Class and first byte of every character, and whether it is the first of its row."""
         first = np.flatnonzero((data & 0xC0) != 0x80)
-        lead = data[first].astype(np.int64)
+        lead = data[first].astype(np.int32)
         points = lead.copy()
         wide = np.flatnonzero(lead >= 0x80)
         if wide.size:
-            p, b = first[wide], lead[wide]
+            p, b = first[wide], lead[wide]  # of characters of several bytes
             size = 2 + (b >= 0xE0) + (b >= 0xF0)
             value = np.where(size == 2, b & 0x1F, np.where(size == 3, b & 0x0F, b & 0x07))
             for k in (1, 2, 3):
@@ -211,10 +250,10 @@ class Counter:
                 if self.kinds[c] == 255:
                     self.kinds[c] = self._class_of(int(c))
         kind = self.kinds[points]
-        row = np.searchsorted(at, first, side="right") - 1
         n = kind.size
-        last = np.ones(n, dtype=bool)
-        last[:-1] = row[1:] != row[:-1]
+        new = np.zeros(n + 1, dtype=bool)
+        new[np.searchsorted(first, at)] = True
+        new, last = new[:-1], np.append(new[1:n], True)
         blank = kind == BLANK
         follows = np.zeros(n, dtype=bool)  # a character of the same row that is no white space
         follows[:-1] = ~last[:-1] & ~blank[1:]
@@ -226,25 +265,34 @@ class Counter:
             two = np.where(last[quote + 1], 0, points[np.minimum(quote + 2, n - 1)])
             kind[quote[np.isin(one, [115, 116, 109, 100])]] = QUOTE1
             kind[quote[((one == 114) & (two == 101)) | ((one == 118) & (two == 101)) | ((one == 108) & (two == 108))]] = QUOTE2
-        return kind, first, row
+        return kind, first, new
 
-    def starts(self, kind: np.ndarray, row: np.ndarray) -> np.ndarray:
+    def starts(self, kind: np.ndarray, first: np.ndarray) -> np.ndarray:
         """Whether a pre-token starts at each character: chunk maps, their prefix scan, then one run."""
         n = kind.size
         lanes = -(-n // CHUNK)
         grid = np.full(lanes * CHUNK, LETTER, dtype=np.uint8)
         grid[:n] = kind
         new = np.zeros(lanes * CHUNK, dtype=bool)
-        new[0] = True
-        new[1:n] = row[1:] != row[:-1]
+        new[:n] = first
         grid, new = np.ascontiguousarray(grid.reshape(lanes, CHUNK).T), np.ascontiguousarray(new.reshape(lanes, CHUNK).T)
-        flat_step = _STEP.reshape(-1)
+        step, mark = _STEP.reshape(-1), _MARK.reshape(-1)
         maps = np.tile(np.arange(_N_STATES, dtype=np.uint8), (lanes, 1))
-        for t in range(CHUNK):
-            begin = np.flatnonzero(new[t])
-            if begin.size:
-                maps[begin] = S_EDGE
-            maps = flat_step[maps.astype(np.intp) * _N_CLASSES + grid[t][:, None]]
+        for t in range(SETTLED):
+            maps[new[t]] = S_EDGE
+            maps = step.take(maps << 3 | grid[t][:, None])
+        # Where all states have met, one is followed; the few other chunks follow all of them.
+        met = (maps == maps[:, :1]).all(axis=1)
+        one, rest = maps[:, 0].copy(), np.flatnonzero(~met)
+        some = maps[rest]
+        for t in range(SETTLED, CHUNK):
+            one[new[t]] = S_EDGE
+            one = step.take(one << 3 | grid[t])
+            if rest.size:
+                some[new[t][rest]] = S_EDGE
+                some = step.take(some << 3 | grid[t][rest][:, None])
+        maps[:] = one[:, None]
+        maps[rest] = some
         hop = 1  # afterwards maps[i] is the composition of all chunks up to i
         while hop < lanes:
             maps[hop:] = np.take_along_axis(maps[hop:], maps[:-hop].copy(), axis=1)
@@ -254,8 +302,9 @@ class Counter:
         out = np.empty((CHUNK, lanes), dtype=bool)
         for t in range(CHUNK):
             state[new[t]] = S_EDGE
-            out[t] = _MARK[state, grid[t]] | new[t]
-            state = _STEP[state, grid[t]]
+            at = state << 3 | grid[t]
+            out[t] = mark.take(at) | new[t]
+            state = step.take(at)
         return np.ascontiguousarray(out.T).reshape(-1)[:n]
 
     def counts(self, data: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -287,21 +336,21 @@ class Counter:
             at = np.concatenate(([0], np.cumsum([len(s) for s in spans]))).astype(np.int64)
             if not whole.size:
                 return total
-        kind, first, row = self.classes(whole, at)
-        begin = self.starts(kind, row)
+        kind, first, new = self.classes(whole, at)
+        begin = np.flatnonzero(self.starts(kind, new))
         cut = first[begin]
-        row = row[begin]
-        ends = np.append(cut[1:], whole.size)
-        tokens = [text[a:b] for a, b in zip(cut.tolist(), ends.tolist())]
-        known = self.known
-        new = set(tokens) - known.keys()
-        if len(known) + len(new) > TABLE_ROWS:
-            known.clear()
-            new = set(tokens)
-        count = self.machine.count
-        for t in new:
-            known[t] = count(t)
-        each = np.fromiter(map(known.__getitem__, tokens), dtype=np.int64, count=len(tokens))
+        row = np.flatnonzero(np.diff(at))[np.cumsum(new[begin]) - 1]
+        ends = [*cut[1:].tolist(), whole.size]
+        tokens = [text[a:b] for a, b in zip(cut.tolist(), ends)]
+        known, count = self.known, self.machine.count
+        found = list(map(known.get, tokens))
+        if None in found:
+            fresh = {t for t, x in zip(tokens, found) if x is None}
+            if len(known) + len(fresh) > TABLE_ROWS:
+                known.clear()
+            known.update((t, count(t)) for t in fresh)
+            found = [known[t] if x is None else x for t, x in zip(tokens, found)]
+        each = np.array(found, dtype=np.int64)
         if owner is not None:
             row = np.asarray(owner)[row]
         return total + np.bincount(row, weights=each, minlength=rows).astype(np.int64)
