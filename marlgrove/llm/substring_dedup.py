@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cover, flat, gram_hashes, mix, powers, scratch, slices, texts, word_hashes, words
-from .windows import anchored_runs, filter_of, named, repeated_anchors, repeated_spans, spans_of, stretches, with_spans
+from .windows import anchored_runs, by_window, filter_of, named, repeated_anchors, repeated_spans, spans_of, stretches, with_spans
 
 GRAM = 8
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64))
@@ -51,6 +51,15 @@ def extensions(h: np.ndarray, start: np.ndarray, seed: np.ndarray, window: int)
     return mix(mix(left + (seed - start).astype(np.uint64)) + right * np.uint64(0xD6E8FEB86659FD93))
 
 
+def window_names(h: np.ndarray, start: np.ndarray, window: int) -> np.ndarray:
+    """128 bits of each window's words, in two columns."""
+    out = np.zeros((start.size, 2), np.uint64)
+    for k in range(window):
+        out[:, 0] = mix(out[:, 0] + h[start + k])
+        out[:, 1] = mix((out[:, 1] ^ h[start + k]) * np.uint64(0x9E3779B97F4A7C15))
+    return out
+
+
 def find_spans(docs: DataFrame, window: int, at: str) -> DataFrame:
     """Names of texts with spans of words to remove; docs: named."""
     repeated_anchors(docs, lambda batch: _seeds(batch, window)[2][3]).write.parquet(f"{at}/anchors")
@@ -64,6 +73,7 @@ def find_spans(docs: DataFrame, window: int, at: str) -> DataFrame:
         start = np.repeat(first - (ends - count), count) + np.arange(int(count.sum()))
         data = extensions(h, start, np.repeat(place, count), window).astype("<u8").tobytes() if key.size else b""
         bodies = [data[8 * a : 8 * b] for a, b in zip((ends - count).tolist(), ends.tolist())]
+        row, first, count, key, bodies = by_window(sent.value.is_hot(key), row, first, count, key, bodies, lambda start: window_names(h, start, window))
         return row, first - begin[row], count, key, bodies
 
     def meet(runs: dict[str, np.ndarray], bodies: list[bytes]) -> tuple:

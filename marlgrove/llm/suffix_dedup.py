@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import boxed, cover, flat, mix, runs_to_spans, scratch, slices
-from .windows import anchored_runs, filter_of, named, repeated_anchors, repeated_spans, spans_of, stretches, with_spans
+from .windows import anchored_runs, by_window, filter_of, named, repeated_anchors, repeated_spans, spans_of, stretches, with_spans
 
 #: Bytes of an anchor.
 GRAM = 32
@@ -125,6 +125,16 @@ def equal_windows(data: np.ndarray, starts: np.ndarray, window: int) -> np.ndarr
     return hit
 
 
+def window_names(data: np.ndarray, start: np.ndarray, window: int) -> np.ndarray:
+    """128 bits of each window's bytes, in two columns."""
+    eights, out = _eights(data), np.zeros((start.size, 2), np.uint64)
+    for k in [*range(0, window - 7, 8), window - 8]:
+        word = eights[start + k]
+        out[:, 0] = mix(out[:, 0] + word)
+        out[:, 1] = mix((out[:, 1] ^ word) * np.uint64(0x9E3779B97F4A7C15))
+    return out
+
+
 def find_spans(docs: DataFrame, window: int, at: str) -> DataFrame:
     """Names of texts with spans of bytes to remove; docs: named."""
     if window < GRAM:
@@ -138,6 +148,7 @@ def find_spans(docs: DataFrame, window: int, at: str) -> DataFrame:
         row, first, count, key = row[may], first[may], count[may], key[may]
         text = data.tobytes()
         bodies = [text[a : a + n + window - 1] for a, n in zip(first.tolist(), count.tolist())]
+        row, first, count, key, bodies = by_window(sent.value.is_hot(key), row, first, count, key, bodies, lambda start: window_names(data, start, window))
         return row, first - begin[row], count, key, bodies
 
     def meet(runs: dict[str, np.ndarray], bodies: list[bytes]) -> tuple:

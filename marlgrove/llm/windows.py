@@ -7,6 +7,11 @@ first pass counts anchors, and a filter of at most ``FILTER_BITS`` bits tells th
 runs to send (it may send too many, never too few). Runs are dealt by their anchors' hash over buckets,
 packed into one row for each bucket and batch of texts. A text is named by its doc_id and a hash of
 it, so that equal rows share a name and a result.
+
+An anchor of more than ``HOT`` places (a passage that a great share of all texts have) would bring all of
+its distinct runs to one task. Its runs go out window by window instead, each window under its own
+hash: those that batches share are joined there, and the rest spread over all buckets. There are at
+most 1 / ``HOT_SHARE`` such anchors, as each has that share of all places at least.
 """
 
 from __future__ import annotations
@@ -25,6 +30,11 @@ FILTER_BITS = 1 << 27
 _PAGE = 1 << 18
 #: Buckets for each shuffle partition.
 BUCKETS = 8
+#: Places, and share of all places, beyond which an anchor's runs are dealt window by window.
+HOT = 50_000
+HOT_SHARE = 1e-4
+#: Bytes that stand for a window of a hot anchor; no other body has as many.
+NAMED = 17
 _PLACE = np.uint64((1 << 30) - 1)
 
 
@@ -62,19 +72,26 @@ def anchored_runs(h: np.ndarray, at: np.ndarray, window: int, gram: int) -> tupl
 
 
 def repeated_anchors(docs: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndarray]) -> DataFrame:
-    """Hashes of anchors that occur at two places or more; hashes: the anchors of a batch of texts, one a run."""
+    """h, n of anchors that occur at two places or more; hashes: the anchors of a batch of texts, one a run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
             h, n = np.unique(hashes(batch), return_counts=True)
-            yield pa.record_batch({"h": pa.array(h.view(np.int64)), "n": pa.array(np.minimum(n, 2), pa.int64())})
+            yield pa.record_batch({"h": pa.array(h.view(np.int64)), "n": pa.array(n, pa.int64())})
 
-    return docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
+    return docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1")
 
 
 class Filter:
-    def __init__(self, bits: np.ndarray):
-        self.bits = bits
+    """Which anchors may be repeated, and which are hot."""
+
+    def __init__(self, bits: np.ndarray, hot: np.ndarray):
+        self.bits, self.hot = bits, np.sort(hot)
+
+    def is_hot(self, h: np.ndarray) -> np.ndarray:
+        if not self.hot.size:
+            return np.zeros(h.size, bool)
+        return self.hot[np.minimum(np.searchsorted(self.hot, h), self.hot.size - 1)] == h
 
     def may_hold(self, h: np.ndarray) -> np.ndarray:
         place = h & np.uint64(8 * self.bits.size - 1)
@@ -82,10 +99,12 @@ class Filter:
 
 
 def filter_of(anchors: DataFrame) -> Filter:
-    """anchors: of a written table, so that counting them costs nothing."""
+    """anchors: h, n of a written table, so that reading them again costs little."""
+    found, places = anchors.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     size = 1 << 18
-    while size < min(FILTER_BITS, 16 * anchors.count()):
+    while size < min(FILTER_BITS, 16 * found):
         size *= 2
+    hot = anchors.filter(F.col("n") > max(HOT, int(HOT_SHARE * places))).select("h").collect()  # 1 / HOT_SHARE rows at most
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in groups(batches, "page"):
@@ -104,7 +123,7 @@ def filter_of(anchors: DataFrame) -> Filter:
     bits = np.zeros(size // 8, np.uint8)
     for page, some in pages.mapInArrow(run, "page long, bits binary").collect():  # size / 8 bytes at most
         bits[page * _PAGE // 8 : (page + 1) * _PAGE // 8] = np.frombuffer(some, np.uint8)
-    return Filter(bits)
+    return Filter(bits, np.array([r[0] for r in hot], np.int64).view(np.uint64))
 
 
 #: A row of a bucket: for each run its text's name, first window, windows and what ``pack`` made of it.
@@ -163,6 +182,23 @@ def one_of_each(h: np.ndarray, bodies: list[bytes]) -> tuple[np.ndarray, np.ndar
     return to, np.bincount(to, minlength=h.size)[to] > 1
 
 
+def by_window(hot: np.ndarray, row: np.ndarray, first: np.ndarray, count: np.ndarray, key: np.ndarray, bodies: list[bytes], names: Callable[[np.ndarray], np.ndarray]) -> tuple:
+    """The runs, with each hot one replaced by its windows; names(start): 128 bits of each window's content, as two columns."""
+    if not hot.any():
+        return row, first, count, key, bodies
+    cold, n = np.flatnonzero(~hot), count[hot]
+    start = np.repeat(first[hot] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+    name = np.ascontiguousarray(names(start), dtype=np.uint64)
+    data = name.tobytes()
+    return (
+        np.concatenate((row[cold], np.repeat(row[hot], n))),
+        np.concatenate((first[cold], start)),
+        np.concatenate((count[cold], np.ones(start.size, count.dtype))),
+        np.concatenate((key[cold], mix(name[:, 0] ^ np.uint64(0x94D049BB133111EB)))),
+        [bodies[i] for i in cold.tolist()] + [b"w" + data[k : k + 16] for k in range(0, 16 * start.size, 16)],
+    )
+
+
 def repeated_spans(docs: DataFrame, send, meet, window: int) -> DataFrame:
     """Names of texts with the spans of letters that repeated windows cover.
 
@@ -210,7 +246,7 @@ def repeated_spans(docs: DataFrame, send, meet, window: int) -> DataFrame:
                 # Distinct runs of one anchor are compared window by window.
                 keep = np.flatnonzero(to == all_)
                 _, which, n = np.unique(runs["hash"][keep], return_inverse=True, return_counts=True)
-                keep = keep[n[which] > 1]
+                keep = keep[(n[which] > 1) & (runs["size"][keep] != NAMED)]
                 if keep.size:
                     of, lo, hi = meet({"hash": runs["hash"][keep], "windows": runs["windows"][keep].astype(np.int64)}, [bodies[i] for i in keep.tolist()])
                     # What holds for a run holds for those equal to it.

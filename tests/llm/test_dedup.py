@@ -33,14 +33,22 @@ def some(spark, awkward, sf):
     return awkward.filter("doc_id is null or doc_id < 20").select("doc_id", "text").union(spark.read.parquet(f"{sf}/documents.parquet").filter("n_chars < 6000").select("doc_id", "text"))
 
 
-def test_suffix_dedup(some):
+@pytest.fixture(params=["plain", "hot"])
+def heat(request, monkeypatch):
+    """Whether anchors of three places and more are dealt window by window."""
+    if request.param == "hot":
+        monkeypatch.setattr(windows, "HOT", 2)
+        monkeypatch.setattr(windows, "HOT_SHARE", 0)
+
+
+def test_suffix_dedup(some, heat):
     docs = texts(some)
     data = [(t or "").encode() for _, t in docs]
     want = sorted((d, len(q), sum(g), len(re.findall(b"\1+", bytes(g))), hashlib.sha256(bytes(x for x, y in zip(q, g) if not y)).hexdigest()) for (d, _), q, g in zip(docs, data, covered(data, 400)))
     assert rows(suffix_dedup.repeat_digests(some)) == want
 
 
-def test_substring_dedup(some):
+def test_substring_dedup(some, heat):
     docs = texts(some)
     data = [(t or "").encode().split() for _, t in docs]
     want = sorted((d, len(q), sum(g), hashlib.sha256(b" ".join(x for x, y in zip(q, g) if not y)).hexdigest()) for (d, _), q, g in zip(docs, data, covered(data, 35)))
