@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, texts
+from .common import slices
 from .word_codec import word_table
 
 #: Documents in a group.
@@ -197,19 +197,18 @@ def cut_documents(docs: DataFrame, path: str, end_id: int, room: int) -> DataFra
     """doc_id, piece, start, length, ids_crc32 of each document's pieces."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, end = word_table(path), end_id.to_bytes(4, "little")
+        table = word_table(path)
         for batch in slices(batches):
-            rows, piece, size, crc = [], [], [], []
-            for r, ids in enumerate(table.encode(texts(batch.column("text")))):
-                ids += end
-                for k in range(0, len(ids), 4 * room):
-                    part = ids[k : k + 4 * room]
-                    rows.append(r)
-                    piece.append(k // (4 * room))
-                    size.append(len(part) // 4)
-                    crc.append(zlib.crc32(part))
-            piece = np.array(piece, np.int32)
-            yield pa.record_batch({"doc_id": batch.column("doc_id").take(pa.array(rows, pa.int64())), "piece": pa.array(piece), "start": pa.array(piece.astype(np.int64) * room), "length": pa.array(size, pa.int64()), "ids_crc32": pa.array(crc, pa.int64())})
+            ids, at = table.encode(batch.column("text"), end_id)
+            data, total = memoryview(ids).cast("B"), np.diff(at)
+            n = -(-total // room)
+            row = np.repeat(np.arange(n.size), n)
+            piece = np.arange(row.size) - np.repeat(np.cumsum(n) - n, n)
+            start = piece * room
+            size = np.minimum(room, total[row] - start)
+            begin = (at[row] + start) * 4
+            crc = [zlib.crc32(data[a:b]) for a, b in zip(begin.tolist(), (begin + 4 * size).tolist())]
+            yield pa.record_batch({"doc_id": batch.column("doc_id").take(pa.array(row)), "piece": pa.array(piece.astype(np.int32)), "start": pa.array(start), "length": pa.array(size), "ids_crc32": pa.array(crc, pa.int64())})
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 

@@ -31,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import scratch, slices, tasks_for, texts
+from .common import scratch, slices, tasks_for
 from .word_codec import word_table
 
 MAGIC = b"MGPLANE1"
@@ -73,12 +73,12 @@ class ShardWriter:
         self.at += len(data)
         return place, len(data)
 
-    def add(self, doc_id: int | None, ids: bytes) -> None:
-        """ids: four bytes an id."""
-        self.docs.append(doc_id or 0)
-        self.there.append(doc_id is not None)
-        self.sizes.append(len(ids) // 4)
-        self.rest += ids
+    def add(self, doc_ids: list[int | None], ids: np.ndarray, at: np.ndarray) -> None:
+        """Documents with their ids end to end; at: where each begins, and the end."""
+        self.docs += [d or 0 for d in doc_ids]
+        self.there += [d is not None for d in doc_ids]
+        self.sizes += np.diff(at).tolist()
+        self.rest += ids.astype("<u4").tobytes()
         while len(self.rest) >= 4 * self.block:
             self._flush(4 * self.block)
 
@@ -146,7 +146,7 @@ def write_shards(docs: DataFrame, path: str, end_id: int, to: str, kind: str = "
     """Writes the ids of all documents below the folder ``to``; (shard, name, documents, ids) of each shard, in order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table, end = word_table(path), end_id.to_bytes(4, "little")
+        table = word_table(path)
         files, folder = _files(to)
         files.create_dir(folder, recursive=True)
         shard, name, writer, n = TaskContext.get().partitionId(), None, None, 0
@@ -155,9 +155,9 @@ def write_shards(docs: DataFrame, path: str, end_id: int, to: str, kind: str = "
                 name = f"{shard:08d}-{uuid.uuid4().hex}.planes"
                 stream = files.open_output_stream(f"{folder}/{name}")
                 writer = ShardWriter(stream, kind)
-            for doc, ids in zip(batch.column("doc_id").to_pylist(), table.encode(texts(batch.column("text")))):
-                writer.add(doc, ids + end)
-                n += len(ids) // 4 + 1
+            ids, at = table.encode(batch.column("text"), end_id)
+            writer.add(batch.column("doc_id").to_pylist(), ids, at)
+            n += ids.size
         if writer is not None:
             writer.close()
             stream.close()

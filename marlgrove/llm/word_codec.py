@@ -11,6 +11,10 @@ import os
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+from .common import flat, fold_case
 
 #: Runs a worker's table holds before it starts anew.
 TABLE_ROWS = 1_200_000
@@ -18,18 +22,28 @@ TABLE_ROWS = 1_200_000
 JOINED = 500
 #: A run that the file encodes as one id.
 MARK = b"\x01"
+#: How the strings of the file's special tokens begin.
+SPECIAL = b"<|"
+
+_LETTER, _POINT = np.zeros(256, bool), np.zeros(256, bool)
+_LETTER[list(range(65, 91)) + list(range(97, 123))] = True
+_POINT[[c for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'"]] = True
 
 
-def look_up(rows: dict, split: list[list[bytes]], fill) -> list[list]:
-    """The table's value for each word; fill(words) puts new ones into the table."""
-    get = rows.get
-    found = [list(map(get, s)) for s in split]
-    part = [k for k, f in enumerate(found) if None in f]
-    if part:
-        fill({w for k in part for w, x in zip(split[k], found[k]) if x is None})  # may clear the table before, not after
-        for k in part:
-            found[k] = [rows[w] if x is None else x for w, x in zip(split[k], found[k])]
-    return found
+def loosen(column: pa.Array) -> pa.Array:
+    """The texts in lower case with a space between each ASCII letter and a mark beside it."""
+    data, at = flat(column)
+    if not data.size or SPECIAL in data.tobytes():
+        return column
+    letter, point = _LETTER[data], _POINT[data]
+    apart = (letter[:-1] & point[1:]) | (point[:-1] & letter[1:])
+    apart[at[(at > 0) & (at < data.size)] - 1] = False
+    shift = np.append(0, np.cumsum(apart))
+    out = np.full(data.size + int(shift[-1]), 32, np.uint8)
+    out[np.arange(data.size) + shift] = fold_case(data)
+    ends = at + shift[np.maximum(at - 1, 0)]
+    ends[0] = 0
+    return pa.LargeStringArray.from_buffers(at.size - 1, pa.py_buffer(ends.astype("<i8").tobytes()), pa.py_buffer(out))
 
 
 class WordTable:
@@ -63,9 +77,33 @@ class WordTable:
         for word in words if self.mark is None else [w for w in words if MARK in w]:
             rows[word] = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, "<u4").tobytes()
 
-    def encode(self, texts: list[bytes]) -> list[bytes]:
-        """The ids of each text, four bytes an id."""
-        return [b"".join(f) for f in look_up(self.rows, [t.split() for t in texts], self._fill)]
+    def encode(self, column: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all rows of a string column (null: empty), each followed by end_id, and the rows' first places.
+
+        Arrow splits the texts and numbers their distinct runs, so the table is asked once for each."""
+        split = pc.ascii_split_whitespace(loosen(pc.fill_null(column, "")))
+        coded = split.flatten().dictionary_encode()
+        met = coded.dictionary.cast(pa.binary()).to_pylist()
+        found = list(map(self.rows.get, met))
+        new = {w for w, x in zip(met, found) if x is None}
+        if new:
+            self._fill(new)  # it may clear the table, but then holds all of new
+            found = [self.rows[w] if x is None else x for w, x in zip(met, found)]
+        which = coded.indices.to_numpy()
+        size = np.fromiter(map(len, found), np.int64, count=len(found)) // 4
+        place = np.cumsum(size) - size
+        known = np.frombuffer(b"".join(found), "<u4")
+        words = np.append(0, np.cumsum(size[which]))
+        at = words[split.offsets.to_numpy() - split.offsets[0].as_py()]
+        ids = known[np.arange(words[-1]) + np.repeat(place[which] - words[:-1], size[which])]
+        rows = at.size - 1
+        out = np.empty(ids.size + rows, "<u4")
+        ends = at[1:] + np.arange(rows)
+        inside = np.ones(out.size, bool)
+        inside[ends] = False
+        out[ends] = end_id
+        out[inside] = ids
+        return out, at + np.arange(rows + 1)
 
 
 @lru_cache(maxsize=2)
