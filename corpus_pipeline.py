@@ -20,8 +20,8 @@ from marlgrove.llm.queries import WORD_FILE
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops texts without letters and those of which no language has half the letters."""
-    return language_id.filter_docs(docs, least=0.5)
+    """Drops texts without letters and those of which no language has 35 % of the letters; texts in two languages stay."""
+    return language_id.filter_docs(docs, least=0.35)
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

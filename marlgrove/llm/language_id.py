@@ -286,7 +286,7 @@ def identify_held_out(docs: DataFrame) -> DataFrame:
     return identify(docs, model).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
 
 
-def filter_docs(docs: DataFrame, least: float = 0.5) -> DataFrame:
+def filter_docs(docs: DataFrame, least: float = 0.35) -> DataFrame:
     """The documents of which one learned language has at least the share ``least``, with all their columns."""
     sent = docs.sparkSession.sparkContext.broadcast(learn(docs.filter(~held_out())))
 
