@@ -33,7 +33,7 @@ LEAST = 200
 UPPER = 0.9
 SPREAD = 5.0
 #: Measures, and values up to which no group's threshold goes down.
-FLOOR = {"symbol_rate": 0.10, "word_length": 12.0, "dup_line_rate": 0.50, "repeat_rate": 0.20}
+FLOOR = {"symbol_rate": 0.10, "word_length": 12.0, "dup_line_rate": 0.50, "repeat_rate": 0.20, "echo_rate": 0.30}
 
 _SYMBOLS = np.zeros(256, dtype=bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
@@ -72,7 +72,8 @@ def measure(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
     out["n_lines"] = lines.astype(np.int64)
     out["n_dup_lines"] = (lines - np.bincount(owner[kept], minlength=rows)).astype(np.int64)
     # Words in five-word windows that the text has twice or more.
-    grams = gram_hashes(word_hashes(data, starts, ends), 5)
+    h = word_hashes(data, starts, ends)
+    grams = gram_hashes(h, 5)
     hit = np.zeros(row.size, dtype=bool)
     if grams.size:
         whole = np.flatnonzero(row[: grams.size] == row[4:])
@@ -85,10 +86,12 @@ def measure(data: np.ndarray, at: np.ndarray) -> dict[str, np.ndarray]:
         for k in range(5):
             hit[whole[twice] + k] = True
     out["n_repeat_words"] = np.bincount(row[hit], minlength=rows).astype(np.int64)
+    # Words that say the word before again.
+    out["n_echo_words"] = np.bincount(row[1:][(h[1:] == h[:-1]) & (row[1:] == row[:-1])], minlength=rows).astype(np.int64)
     return out
 
 
-_COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words")
+_COUNTS = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_echo_words")
 
 
 def measures(docs: DataFrame) -> DataFrame:
@@ -104,7 +107,7 @@ def measures(docs: DataFrame) -> DataFrame:
 
 def _rates(tag: str = "") -> dict[str, Column]:
     ratio = lambda a, b: F.when(F.col(tag + b) > 0, F.col(tag + a) / F.col(tag + b)).otherwise(0.0)
-    return {"symbol_rate": ratio("n_symbols", "n_words"), "word_length": ratio("word_chars", "n_words"), "dup_line_rate": ratio("n_dup_lines", "n_lines"), "repeat_rate": ratio("n_repeat_words", "n_words")}
+    return {"symbol_rate": ratio("n_symbols", "n_words"), "word_length": ratio("word_chars", "n_words"), "dup_line_rate": ratio("n_dup_lines", "n_lines"), "repeat_rate": ratio("n_repeat_words", "n_words"), "echo_rate": ratio("n_echo_words", "n_words")}
 
 
 def sketches(measured: DataFrame) -> DataFrame:
@@ -165,7 +168,7 @@ def judge(docs: DataFrame) -> DataFrame:
     """Every document with its counts, base_failed and kept."""
     measured, rows = limits(docs)
     judged = _verdict(measured.select("doc_id", "lang", "source", *[F.col(k).alias(f"__{k}") for k in _COUNTS]), rows)
-    return judged.select("doc_id", *[F.col(f"__{k}").alias(k) for k in _COUNTS if k != "n_lines"], F.col("__failed").alias("base_failed"), F.col("__kept").alias("kept"))
+    return judged.select("doc_id", *[F.col(f"__{k}").alias(k) for k in _COUNTS[:3] + _COUNTS[4:6]], F.col("__failed").alias("base_failed"), F.col("__kept").alias("kept"))
 
 
 def filter_docs(docs: DataFrame) -> DataFrame:

@@ -121,7 +121,7 @@ def test_measures(awkward):
 def test_quantiles_of_the_sketch(spark):
     rng = np.random.default_rng(3)
     values = rng.integers(1, 1000, 5000)
-    df = spark.createDataFrame([("en", "s", 100, int(v), 0, 1, 0, 0) for v in values], "lang string, source string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long")
+    df = spark.createDataFrame([("en", "s", 100, int(v), 0, 1, 0, 0, 0) for v in values], "lang string, source string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long, n_echo_words long")
     r = quality_rules.quantiles(quality_rules.sketches(df), ["lang"]).filter("measure = 'word_length'").first()
     for got, q in ((r.mid, 0.5), (r.high, quality_rules.UPPER)):
         assert abs(got / np.quantile(values / 100, q, method="inverted_cdf") - 1) < 0.011
