@@ -13,7 +13,7 @@ from .language_id import identify_held_out
 from .near_dedup import near_duplicates
 from .packing import pack_documents
 from .piece_codec import encode_digests
-from . import substring_dedup, suffix_dedup
+from . import oracles, substring_dedup, suffix_dedup
 from .quality_rules import judge
 from .token_count import count_tokens
 from .token_files import token_files
@@ -76,4 +76,5 @@ QUERIES: dict[str, Query] = {
     "op10_token_files": op10_token_files,
 }
 
-ORACLES: dict[str, str] = {}
+#: Of operators that SQL can express; the others are tested against the libraries or by measures.
+ORACLES: dict[str, str] = {"op1_suffix_dedup": oracles.OP1, "op4_substring_dedup": oracles.OP4, "op6_near_dedup": oracles.OP6, "op9_quality_rules": oracles.OP9}
