@@ -14,9 +14,9 @@ without listing pairs. A component of more than ``BLOCK`` classes is confirmed i
 each a task of its own, so no task holds an unbounded group.
 
 Defined results: null and empty texts and those without words have an empty set and are linked with
-nothing; rows that are equal are of one component; a null doc_id takes part, as the last to be kept,
-and is kept only if alone; texts are read whole; other columns are not read; an empty table gives no
-rows.
+nothing; rows that are equal are of one component, and rows of one doc_id count as one document; a
+document without doc_id is in the component of those with an equal set, or else alone and kept; texts
+are read whole; other columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -212,10 +212,9 @@ def candidate_edges(reps: DataFrame, at: str) -> DataFrame:
         more = here.filter(F.col("members") > NODE)
         if last or more.isEmpty():
             break
-        # The tree's next minwise token, from the sketch.
-        place = 4 * (F.col("tree") * LEVELS + level) + 1
-        rows = more.select("rep", "tree", "node").join(reps.select("rep", "sketch"), "rep").select("rep", "tree", F.xxhash64("node", F.expr("substring(hex(sketch), " + f"4 * (tree * {LEVELS} + {level}) + 1, 4)")).alias("node"))
-        del place
+        # The tree's next minwise token is four hexadecimal digits of the sketch.
+        token = F.expr(f"substring(hex(sketch), 4 * (tree * {LEVELS} + {level}) + 1, 4)")
+        rows = more.select("rep", "tree", "node").join(reps.select("rep", "sketch"), "rep").select("rep", "tree", F.xxhash64("node", token).alias("node"))
     met = _blocks(done, "node", "members", NODE).select("rep", F.col("task").alias("node"))
     full = met.join(reps.select("rep", "n_shingles", "sketch"), "rep")
     return deal(full, "node").sortWithinPartitions("node", "rep").mapInArrow(node_edges, "a long, b long")
@@ -230,27 +229,25 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id (its least doc_id), kept of every document."""
     spark, at = docs.sparkSession, scratch(docs.sparkSession)
-    numbered = docs.select(F.col("doc_id"), "text")
-    profile(numbered).write.parquet(f"{at}/profiles")
+    profile(docs).write.parquet(f"{at}/profiles")
     profiles = spark.read.parquet(f"{at}/profiles")
-    # Equal sets have equal paths and sketches. A null doc_id counts as the largest number.
-    classes = profiles.filter("n_shingles > 0").groupBy("low", "high", "n_shingles").agg(F.min(F.coalesce("doc_id", F.lit((1 << 63) - 1))).alias("rep"), F.first("paths").alias("paths"), F.first("sketch").alias("sketch"))
+    # Equal sets have equal paths and sketches.
+    classes = profiles.filter("n_shingles > 0").groupBy("low", "high", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("paths").alias("paths"), F.first("sketch").alias("sketch"))
     classes.write.parquet(f"{at}/classes")
     classes = spark.read.parquet(f"{at}/classes")
-    # Different sets of one doc_id are different rows; the class is numbered by its set where that happens.
-    clusters = components(candidate_edges(classes, at))
+    clusters = components(candidate_edges(classes.filter("rep is not null"), at))
     members = clusters.select(F.col("node").alias("rep"), F.col("root").alias("cluster")).union(clusters.select("root", "root").distinct())
     sized = members.join(members.groupBy("cluster").agg(F.count("*").alias("members")), "cluster").checkpoint()
-    texts_ = numbered.select(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("rep"), "text").join(sized, "rep")
+    texts_ = docs.select(F.col("doc_id").alias("rep"), "text").join(sized, "rep")
     met = _blocks(texts_.mapInArrow(_sets, "rep long, cluster long, members long, shingles binary"), "cluster", "members", BLOCK)
     edges = deal(met.select("task", "rep", "shingles"), "task").sortWithinPartitions("task", "rep").mapInArrow(set_edges, "a long, b long").checkpoint()
     if sized.filter(F.col("members") > BLOCK).isEmpty():  # each component was confirmed in one task, from its least member
-        roots = edges.select(F.col("b").alias("rep"), F.col("a").alias("root")).distinct()
+        roots = edges.groupBy(F.col("b").alias("rep")).agg(F.min("a").alias("root"))
     else:
         roots = components(edges).select(F.col("node").alias("rep"), "root")
     named = classes.select("low", "high", "n_shingles", "rep").join(roots, "rep", "left").select("low", "high", "n_shingles", F.coalesce("root", "rep").alias("component_id"))
     out = profiles.select("doc_id", "n_shingles", "low", "high").join(named, ["low", "high", "n_shingles"], "left")
-    component = F.when(F.col("n_shingles") > 0, F.nullif(F.col("component_id"), F.lit((1 << 63) - 1))).otherwise(F.col("doc_id"))
+    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 

@@ -113,6 +113,11 @@ def test_near_duplicates_of_null_ids(spark):
     assert got == [(-1, 0, -1, True), (-1, 1, -1, True), (-1, 2, 2, False), (2, 2, 2, True)]
 
 
+def test_one_doc_id_with_two_texts(spark):
+    df = spark.createDataFrame([(1, "a b c d e f g"), (1, "h i j k l m n"), (2, "a b c d e f g"), (3, "h i j k l m n")], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in near_dedup.near_duplicates(df).collect()) == [(1, 1), (1, 1), (2, 1), (3, 1)]
+
+
 def test_chain_of_copies(spark):
     """A chain whose ends aren't alike is one component; a large group with a base meets in one."""
     rnd = random.Random(7)
