@@ -32,7 +32,7 @@ from .windows import anchored_runs, by_window, filter_of, named, repeated_anchor
 #: Bytes of an anchor.
 GRAM = 32
 #: Bytes sorted at once, unless one anchor has more.
-SORT_BYTES = 1_000_000
+SORT_BYTES = 500_000
 
 
 def _eights(data: np.ndarray) -> np.ndarray:

@@ -25,6 +25,8 @@ from pyspark.sql import functions as F
 
 from .common import deal, group_bounds, groups, mix, slices, tasks_for
 
+#: Text bytes handled at once; numbers of eight bytes stand beside each byte.
+BATCH_BYTES = 1_000_000
 #: Most bits of the filter that is sent to all tasks: 16 MB.
 FILTER_BITS = 1 << 27
 _PAGE = 1 << 18
@@ -75,7 +77,7 @@ def repeated_anchors(docs: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndar
     """h, n of anchors that occur at two places or more; hashes: the anchors of a batch of texts, one a run."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=BATCH_BYTES):
             h, n = np.unique(hashes(batch), return_counts=True)
             yield pa.record_batch({"h": pa.array(h.view(np.int64)), "n": pa.array(n, pa.int64())})
 
@@ -208,7 +210,7 @@ def repeated_spans(docs: DataFrame, send, meet, window: int) -> DataFrame:
     buckets = n_buckets(docs)
 
     def deal_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches):
+        for batch in slices(batches, limit=BATCH_BYTES):
             row, first, windows, h, bodies = send(batch)
             if not h.size:
                 continue
