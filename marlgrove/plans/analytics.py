@@ -11,7 +11,7 @@ from ..operators import layout as o
 from ..operators.contain import containing
 from ..sources.tables import CHUNKS_SQL, LINES_SQL, chunks, lines, table
 from .registry import query
-from .retrieval import BM25_, RERANK_, bm25_topk, knn_graph  # noqa: F401
+from .retrieval import BM25_, bm25_topk, knn_graph
 from .scores import n_
 
 REL_ = "rel AS (SELECT b.item_id AS query_id, d.doc_id AS chunk_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"

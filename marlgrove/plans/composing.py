@@ -11,7 +11,7 @@ from ..operators import report as r
 from ..sources.tables import CHUNKS_SQL, LINES_SQL, chunks, lines, table
 from .rag import ANSWERS_, INTENT_, RANKED_, grounded, ranked
 from .registry import query
-from .scores import QUALITY_CTE, TOPICS_, n_, quality, topic_signature
+from .scores import QUALITY_CTE, TOPICS_, quality, topic_signature
 
 SENTS_ = "list_filter(list_transform(string_split(regexp_replace({}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '')"
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..operators import answer as a
 from ..operators import search as s
-from ..sources.tables import CHUNKS_SQL, chunks, table
+from ..sources.tables import chunks, table
 from .registry import query
 from .retrieval import ALL_, HYBRID_, bm25_topk, dense_topk, hybrid_search, questions
 
@@ -21,7 +21,6 @@ def list_(parts) -> str:
 
 
 INTENT_ = "CASE " + " ".join(f"WHEN {like_('lower({q})', m)} THEN '{k}'" for k, m in a.INTENTS) + " ELSE 'definition' END"
-_known = "list_concat(" + ", ".join(f"CASE WHEN contains(lower({{q}}), '{k}') THEN {list_((k, *v))} ELSE [] END" for k, v in a.ACRONYMS.items()) + ")"
 _words = "list_filter(regexp_extract_all(lower({q}), '[a-z][a-z0-9\\-]{{3,}}'), lambda x: x NOT IN ('" + "','".join(a.NO_TOPIC) + "'))"
 
 
@@ -204,7 +203,6 @@ def mmr_compress(spark, sf_dir):
     return a.compress(ranked(spark, sf_dir).withColumn("score", F.lit(1.0)))
 
 
-_topic = f"list_distinct(list_concat({_known.format(q='text')}, {_words.format(q='text')}))"
 
 
 @query("SELECT conv_id, count(*) AS turns, max(turn) AS last_turn FROM conversations WHERE role = 'user' GROUP BY 1")
@@ -219,7 +217,6 @@ def session_topics(spark, sf_dir):
     return a.sessions(_turns(spark, sf_dir))
 
 
-_cov = "list_filter(regexp_extract_all(lower(text), '[a-z][a-z0-9\\-]{3,}'), lambda x: x NOT IN ('" + "','".join(a.NO_TOPIC) + "'))"
 
 
 @query()

@@ -8,7 +8,6 @@ from ..functions import text as t
 from ..operators import search as s
 from ..sources.tables import CHUNKS_SQL, chunks, table
 from .registry import query
-from .scores import n_
 
 TOK_ = "regexp_extract_all(lower({}), '" + s.BM25_TOKEN + "')"
 BM25_ = f"""post AS (SELECT chunk_id, term, count(*) AS tf, any_value(dl) AS dl FROM (SELECT chunk_id, len(ts) AS dl, unnest(ts) AS term FROM (SELECT chunk_id, {TOK_.format('chunk_text')} AS ts FROM chunks)) GROUP BY 1, 2),
@@ -101,7 +100,7 @@ def section_weights(spark, sf_dir):
     return chunks(spark, sf_dir).select("chunk_id", "label", s.section_weight(F.col("label")).alias("weight"))
 
 
-@query(f"WITH {CHUNKS_SQL}, q AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user'), e AS (SELECT chunk_id, list_distinct(regexp_extract_all(chunk_text, '\\(?[A-Z][A-Za-z]+ et al\\.')) AS ents FROM chunks) SELECT conv_id, turn, round(CASE WHEN contains(lower(text), 'citation') THEN 0.04::DOUBLE ELSE 0 END + CASE WHEN len(regexp_extract_all(text, '{s.ENTITY}')) > 0 THEN 0.08::DOUBLE ELSE 0 END, 6) AS boost FROM q")
+@query(f"WITH q AS (SELECT conv_id, turn, text FROM conversations WHERE role = 'user') SELECT conv_id, turn, round(CASE WHEN contains(lower(text), 'citation') THEN 0.04::DOUBLE ELSE 0 END + CASE WHEN len(regexp_extract_all(text, '{s.ENTITY}')) > 0 THEN 0.08::DOUBLE ELSE 0 END, 6) AS boost FROM q")
 def citation_boost(spark, sf_dir):
     asked = table(spark, sf_dir, "conversations").filter("role = 'user'")
     return asked.select("conv_id", "turn", F.round(s.citation_boost(F.col("text"), t.found(F.col("text"), s.ENTITY), F.lit(1.0)), 6).alias("boost"))
@@ -133,7 +132,7 @@ def chunk_links(spark, sf_dir):
     return chunks(spark, sf_dir).select("chunk_id", F.lag("chunk_id").over(w).alias("previous_chunk_id"), F.lead("chunk_id").over(w).alias("next_chunk_id"))
 
 
-@query("SELECT count(*) AS vectors, sum(n - 1)::BIGINT AS duplicates, round(sum(dense) / sum(dims), 6) AS density, 1.0::DOUBLE AS coverage FROM (SELECT embedding[1:32] AS head, count(*) AS n FROM embeddings GROUP BY 1), (SELECT sum(len(list_filter(embedding, lambda x: abs(x) > 1e-8)))::DOUBLE AS dense, sum(len(embedding))::DOUBLE AS dims FROM embeddings)".replace("SELECT count(*) AS vectors, sum(n - 1)::BIGINT AS duplicates, round(sum(dense) / sum(dims), 6)", "SELECT sum(n)::BIGINT AS vectors, sum(n - 1)::BIGINT AS duplicates, round(any_value(dense) / any_value(dims), 6)"))
+@query("SELECT sum(n)::BIGINT AS vectors, sum(n - 1)::BIGINT AS duplicates, round(any_value(dense) / any_value(dims), 6) AS density, 1.0::DOUBLE AS coverage FROM (SELECT embedding[1:32] AS head, count(*) AS n FROM embeddings GROUP BY 1), (SELECT sum(len(list_filter(embedding, lambda x: abs(x) > 1e-8)))::DOUBLE AS dense, sum(len(embedding))::DOUBLE AS dims FROM embeddings)")
 def index_analytics(spark, sf_dir):
     e = table(spark, sf_dir, "embeddings")
     heads = e.groupBy(F.slice("embedding", 1, 32).alias("head")).agg(F.count("*").alias("n")).agg(F.sum("n").alias("vectors"), F.sum(F.col("n") - 1).alias("duplicates"))
