@@ -5,7 +5,7 @@ it), so no merge crosses the place before a marker run: a text is segmented chun
 being a run of spaces with the characters up to the next space. Each Python worker keeps a table of
 the distinct chunks it has met, segments each new one once with the library, and joins ids back by
 position. The table holds ``TABLE_ROWS`` chunks at most, after which it starts anew; a global table,
-joined by a shuffle, would move every word of the corpus (about eight times the input) instead.
+joined by a shuffle, would move every word of the corpus (some five times the input) instead.
 
 Defined results: null text counts as empty; an empty text is the end id alone and decodes to an empty
 text; repeated rows give repeated results; rows keep their doc_id, null included; texts of any length
