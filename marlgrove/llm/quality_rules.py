@@ -8,6 +8,13 @@ distance from there to its upper quantile ``UPPER``, and never below the ``FLOOR
 that a group of clean documents loses none for being alike. Groups of fewer than ``LEAST`` documents
 take their language's sketch, and languages of fewer the whole corpus's: sums of the same counts.
 
+That rule is op9's, whose SQL fixes it, and it follows junk: where over a tenth of a group is junk,
+``UPPER`` lies within the junk. ``robust`` thresholds, which the pipeline takes, read the spread below
+the median instead, from the quantile ``LOWER``, which junk of under four tenths can't reach: median
+plus ``SPREAD`` times that, at least ``MARGIN`` of the floor above the median and never below ``LOWEST``
+of it. A group goes above the floor only as far as its language does, so a group that is mostly junk
+is judged by its language; so is a clean group whose language is nowhere else like it.
+
 Defined results: null text counts as empty and fails the base rule, as does any text of under 10
 words; null languages and sources are groups of their own; repeated rows are kept alike; texts of any
 length are measured whole; an empty table gives no rows; other columns are carried by ``filter_docs``
@@ -32,6 +39,10 @@ GAMMA = 1.02
 LEAST = 200
 UPPER = 0.9
 SPREAD = 5.0
+#: Robust thresholds: the quantile that gives the spread, and shares of FLOOR.
+LOWER = 0.1
+MARGIN = 0.25
+LOWEST = 0.85
 #: Measures, and values up to which no group's threshold goes down.
 FLOOR = {"symbol_rate": 0.10, "word_length": 12.0, "dup_line_rate": 0.50, "repeat_rate": 0.20, "echo_rate": 0.30}
 
@@ -118,24 +129,27 @@ def sketches(measured: DataFrame) -> DataFrame:
 
 
 def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
-    """Median and upper quantile of each measure in each group of keys, from merged sketches."""
+    """Median, upper and lower quantile of each measure in each group of keys, from merged sketches."""
     merged = sketch.groupBy(*keys, "measure", "step").agg(F.sum("n").alias("n"))
     group = Window.partitionBy(*keys, "measure")
     running = merged.withColumn("upto", F.sum("n").over(group.orderBy(F.col("step").asc_nulls_first()))).withColumn("size", F.sum("n").over(group))
     value = F.when(F.col("step").isNull(), 0.0).otherwise(F.pow(F.lit(GAMMA), F.col("step").cast("double")) * (2 / (GAMMA + 1)))
     reach = lambda q: F.min(F.when(F.col("upto") >= F.lit(q) * F.col("size"), value))
-    return running.groupBy(*keys, "measure").agg(reach(0.5).alias("mid"), reach(UPPER).alias("high"), F.max("size").alias("size"))
+    return running.groupBy(*keys, "measure").agg(reach(0.5).alias("mid"), reach(UPPER).alias("high"), reach(LOWER).alias("low"), F.max("size").alias("size"))
 
 
-def thresholds(sketch: DataFrame, keys: list[str]) -> DataFrame:
+def thresholds(sketch: DataFrame, keys: list[str], robust: bool = False) -> DataFrame:
     """One row a group of keys: its documents and the threshold of each measure."""
     floor = F.create_map(*[x for k, v in FLOOR.items() for x in (F.lit(k), F.lit(v))])
-    cut = F.greatest(F.col("mid") + SPREAD * (F.col("high") - F.col("mid")), floor[F.col("measure")])
+    floor = floor[F.col("measure")]
+    cut = F.greatest(F.col("mid") + SPREAD * (F.col("high") - F.col("mid")), floor)
+    if robust:
+        cut = F.greatest(F.col("mid") + F.greatest(SPREAD * (F.col("mid") - F.col("low")), MARGIN * floor), LOWEST * floor)
     rows = quantiles(sketch, keys).withColumn("cut", cut)
     return rows.groupBy(*keys).agg(F.max("size").alias("size"), *[F.max(F.when(F.col("measure") == k, F.col("cut"))).alias(f"max_{k}") for k in FLOOR])
 
 
-def limits(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+def limits(docs: DataFrame, robust: bool = False) -> tuple[DataFrame, DataFrame]:
     """The counts of all documents, and one row of thresholds per language and source.
 
     Both are written to the shared folder: the measures are taken once, and Spark knows the size of the
@@ -146,11 +160,13 @@ def limits(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sketches(measured).write.parquet(f"{at}/sketches")
     sketch = spark.read.parquet(f"{at}/sketches")
     rename = lambda df, tag: df.select(*[F.col(c).alias(f"{tag}_{c}") for c in df.columns])
-    fine, coarse, whole = (rename(thresholds(sketch, keys), tag) for tag, keys in (("f", ["lang", "source"]), ("c", ["lang"]), ("a", [])))
+    fine, coarse, whole = (rename(thresholds(sketch, keys, robust), tag) for tag, keys in (("f", ["lang", "source"]), ("c", ["lang"]), ("a", [])))
     # whole is one row, or none if no document has a word.
     rows = fine.join(coarse, F.col("f_lang").eqNullSafe(F.col("c_lang")), "left").join(F.broadcast(whole), F.col("f_size") >= 0, "left")
     own, lang = F.col("f_size") >= LEAST, F.col("c_size") >= LEAST
-    rows = rows.select("f_lang", "f_source", *[F.when(own, F.col(f"f_max_{k}")).when(lang, F.col(f"c_max_{k}")).otherwise(F.col(f"a_max_{k}")).alias(f"max_{k}") for k in FLOOR])
+    wide = {k: F.when(lang, F.col(f"c_max_{k}")).otherwise(F.col(f"a_max_{k}")) for k in FLOOR}
+    fits = {k: F.least(F.col(f"f_max_{k}"), F.greatest(wide[k], F.lit(v))) if robust else F.col(f"f_max_{k}") for k, v in FLOOR.items()}
+    rows = rows.select("f_lang", "f_source", *[F.when(own, fits[k]).otherwise(wide[k]).alias(f"max_{k}") for k in FLOOR])
     rows.coalesce(1).write.parquet(f"{at}/limits")
     return measured, spark.read.parquet(f"{at}/limits")
 
@@ -171,9 +187,9 @@ def judge(docs: DataFrame) -> DataFrame:
     return judged.select("doc_id", *[F.col(f"__{k}").alias(k) for k in _COUNTS[:3] + _COUNTS[4:6]], F.col("__failed").alias("base_failed"), F.col("__kept").alias("kept"))
 
 
-def filter_docs(docs: DataFrame) -> DataFrame:
+def filter_docs(docs: DataFrame, robust: bool = False) -> DataFrame:
     """The documents that are kept, with all their columns. Texts aren't shuffled: they are measured again beside their thresholds."""
-    _, rows = limits(docs)
+    _, rows = limits(docs, robust)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "doc.text"):

@@ -4,6 +4,7 @@ import collections
 import re
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from marlgrove.llm import hash_index, language_id, quality_rules, queries
 
@@ -136,6 +137,28 @@ def test_clean_documents_stay_and_junk_goes(spark):
     assert kept.columns == docs.columns and kept.count() == quality_rules.judge(docs).filter("kept").count()
 
 
+def test_junk_does_not_set_its_own_threshold(spark, sf):
+    """Of two sources one is a third junk and one mostly junk; clean documents of both stay, and of a source that is alike throughout."""
+    import corpus_pipeline
+
+    def text(i, symbols):
+        return " ".join(f"{i}w{k}{'#' if k < symbols else 'x'}" for k in range(100))
+
+    made = [(f"clean-{s}", s, 2 + i % 3) for s, n in (("a", 300), ("b", 100), ("c", 900)) for i in range(n)]
+    made += [(f"junk-{s}", s, 40) for s, n in (("a", 150), ("b", 200)) for i in range(n)]
+    df = spark.createDataFrame([(i, text(i, n), "en", s, kind) for i, (kind, s, n) in enumerate(made)], "doc_id long, text string, lang string, source string, kind string")
+    got = {r.kind: r["count"] for r in corpus_pipeline.apply_quality_rules(spark, df, sf).groupBy("kind").count().collect()}
+    assert got == {"clean-a": 300, "clean-b": 100, "clean-c": 900}
+
+
+def test_robust_thresholds_keep_clean_documents(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{x}.parquet") for x in ("documents", "labels"))
+    base = quality_rules.judge(docs).filter("not base_failed").select("doc_id")
+    both = base.join(labels, "doc_id").join(quality_rules.filter_docs(docs, robust=True).select("doc_id", F.lit(1).alias("stays")), "doc_id", "left").toPandas()
+    stays = both.stays.notna()
+    assert stays[both.quality == 1].mean() > 0.99 and stays[both.quality == 0].mean() < 0.1
+
+
 def test_quality_of_no_rows(nothing):
     assert not quality_rules.judge(nothing).collect() and not quality_rules.filter_docs(nothing).collect()
 
