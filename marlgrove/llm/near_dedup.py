@@ -6,7 +6,8 @@ minwise tokens, one more each level: similar sets choose the same token with a p
 similarity. Nodes of at most ``NODE`` classes are compared exhaustively by sketches; larger ones
 branch on, as far as ``LEVELS`` go, and what is still larger is compared in pairs of blocks. Pairs at
 or above the threshold s miss each other with probability (1 - s**3)**TREES, 3e-7 at 0.85, if their
-nodes stop at the first level.
+nodes stop at the first level. Trees and the sketches' cut follow from the threshold (``Join``), so
+that each loses a pair at the threshold with at most ``MISS``; at 0.80 there are 22 trees.
 
 Nodes emit only star edges of what the sketches link, whose components (a superset of the true ones)
 bring the full sets together: there all links are confirmed on the sets, component by component,
@@ -21,7 +22,9 @@ are read whole; other columns are not read; an empty table gives no rows.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -31,7 +34,8 @@ from pyspark.sql import functions as F
 from .common import deal, flat, fold_case, gram_hashes, group_bounds, groups, mix, powers, scratch, slices, word_hashes, words
 from .components import components
 
-TREES = 16
+#: Probability with which the trees, and that with which the sketches, lose a pair at the threshold.
+MISS = 2.5e-7
 #: Minwise tokens of a tree's paths, and how many of them the first nodes are made by.
 LEVELS = 8
 FIRST = 3
@@ -39,13 +43,34 @@ FIRST = 3
 NODE = 4096
 #: Classes that a task confirms at once.
 BLOCK = 8192
-#: Share of equal sketch values below which a pair isn't a candidate: five standard deviations under 0.85.
-SKETCH = 0.70
 WORDS = 5
-#: Links: 100 * intersection >= PERCENT * union.
+#: op6's links: 100 * intersection >= PERCENT * union.
 PERCENT = 85
 
-_SEEDS = mix(np.arange(1, TREES * LEVELS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+
+@dataclass(frozen=True)
+class Join:
+    """A join at 100 * intersection >= percent * union, from 1 to 100."""
+
+    percent: int
+
+    @property
+    def trees(self) -> int:
+        together = (self.percent / 100) ** FIRST
+        return 1 if together == 1 else math.ceil(math.log(MISS) / math.log1p(-together))
+
+    @property
+    def tokens(self) -> int:
+        return self.trees * LEVELS
+
+    @property
+    def least(self) -> int:
+        """Equal sketch values that a candidate has: fewer have a probability of at most MISS at the threshold."""
+        n, s = self.tokens, self.percent / 100
+        below, k = 0.0, 0
+        while k < n and (below := below + math.comb(n, k) * s**k * (1 - s) ** (n - k)) <= MISS:
+            k += 1
+        return k
 
 
 def shingle_sets(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
@@ -66,8 +91,10 @@ def shingle_sets(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     return out
 
 
-def profile(docs: DataFrame) -> DataFrame:
+def profile(docs: DataFrame, join: Join = Join(PERCENT)) -> DataFrame:
     """doc_id, n_shingles, a 128-bit name of the set, the first nodes and the sketch of every document."""
+    trees, tokens_ = join.trees, join.tokens
+    seeds = mix(np.arange(1, tokens_ + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
@@ -75,30 +102,30 @@ def profile(docs: DataFrame) -> DataFrame:
             size = np.array([s.size for s in sets])
             full = np.flatnonzero(size)
             low, high = np.zeros(size.size, np.uint64), np.zeros(size.size, np.uint64)
-            least = np.zeros((size.size, TREES * LEVELS), np.uint64)
+            least = np.zeros((size.size, tokens_), np.uint64)
             if full.size:
                 tokens = np.concatenate([sets[i] for i in full])
                 begin = np.cumsum(size[full]) - size[full]
                 low[full] = np.add.reduceat(mix(tokens), begin)
                 high[full] = np.add.reduceat(mix(tokens ^ np.uint64(0x5851F42D4C957F2D)), begin)
-                for k, seed in enumerate(_SEEDS):
+                for k, seed in enumerate(seeds):
                     x = (tokens ^ seed) * np.uint64(0xFF51AFD7ED558CCD)
                     x ^= x >> np.uint64(32)
                     x *= np.uint64(0xC4CEB9FE1A85EC53)
                     least[full, k] = np.minimum.reduceat(x, begin)
-            least = mix(least).reshape(-1, TREES, LEVELS)
-            path = np.zeros((size.size, TREES), np.uint64)
+            least = mix(least).reshape(-1, trees, LEVELS)
+            path = np.zeros((size.size, trees), np.uint64)
             for level in range(FIRST):
-                path = mix(path + least[:, :, level] + np.arange(TREES, dtype=np.uint64))
-            sketch = (least & np.uint64(0xFFFF)).astype("<u2").reshape(size.size, -1)
-            width = sketch.shape[1] * 2
+                path = mix(path + least[:, :, level] + np.arange(trees, dtype=np.uint64))
+            sketch = (least & np.uint64(0xFFFF)).astype("<u2").reshape(size.size, tokens_)
+            width = tokens_ * 2
             yield pa.record_batch(
                 {
                     "doc_id": batch.column("doc_id"),
                     "n_shingles": pa.array(size, pa.int64()),
                     "low": pa.array(low.view(np.int64)),
                     "high": pa.array(high.view(np.int64)),
-                    "paths": pa.ListArray.from_arrays(pa.array(np.arange(0, TREES * size.size + 1, TREES), pa.int32()), pa.array(path.reshape(-1).view(np.int64))),
+                    "paths": pa.ListArray.from_arrays(pa.array(np.arange(0, trees * size.size + 1, trees), pa.int32()), pa.array(path.reshape(-1).view(np.int64))),
                     "sketch": pa.Array.from_buffers(pa.binary(width), size.size, [None, pa.py_buffer(sketch.tobytes())]).cast(pa.binary()),
                 }
             )
@@ -124,67 +151,76 @@ def _forest(n: int, linked) -> list[tuple[int, int]]:
         queue = [root]
 
 
-def node_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def node_edges(join: Join):
     """Star edges of the classes that the sketches link within a node."""
-    least = int(np.ceil(SKETCH * TREES * LEVELS))
-    for part in groups(batches, "node"):
-        cut = group_bounds(part.column("node").to_numpy())
-        ids, size = part.column("rep").to_numpy(), part.column("n_shingles").to_numpy()
-        data, _ = flat(part.column("sketch").chunk(0))
-        sketch = data.view("<u2").reshape(ids.size, -1)
-        a, b = [], []
-        for begin, end in zip(cut.tolist(), cut[1:].tolist()):
-            if end - begin < 2:
-                continue
-            own, n = sketch[begin:end], size[begin:end]
-
-            def linked(i: int, rest: np.ndarray) -> np.ndarray:
-                hit = (np.minimum(n[rest], n[i]) * 100 >= PERCENT * np.maximum(n[rest], n[i]))
-                near = np.flatnonzero(hit)
-                hit[near] = (own[rest[near]] == own[i]).sum(axis=1) >= least
-                return hit
-
-            for i, j in _forest(end - begin, linked):
-                a.append(ids[begin + i])
-                b.append(ids[begin + j])
-        if a:
-            yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
-
-
-def set_edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least, percent = join.least, join.percent
+        for part in groups(batches, "node"):
+            cut = group_bounds(part.column("node").to_numpy())
+            ids, size = part.column("rep").to_numpy(), part.column("n_shingles").to_numpy()
+            data, _ = flat(part.column("sketch").chunk(0))
+            sketch = data.view("<u2").reshape(ids.size, -1)
+            a, b = [], []
+            for begin, end in zip(cut.tolist(), cut[1:].tolist()):
+                if end - begin < 2:
+                    continue
+                own, n = sketch[begin:end], size[begin:end]
+
+                def linked(i: int, rest: np.ndarray) -> np.ndarray:
+                    hit = (np.minimum(n[rest], n[i]) * 100 >= percent * np.maximum(n[rest], n[i]))
+                    near = np.flatnonzero(hit)
+                    hit[near] = (own[rest[near]] == own[i]).sum(axis=1) >= least
+                    return hit
+
+                for i, j in _forest(end - begin, linked):
+                    a.append(ids[begin + i])
+                    b.append(ids[begin + j])
+            if a:
+                yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
+def set_edges(join: Join):
     """Star edges of the classes whose full sets are linked, group by group of ``task``."""
-    for part in groups(batches, "task", rows=2000):
-        cut = group_bounds(part.column("task").to_numpy())
-        ids = part.column("rep").to_numpy()
-        data, at = flat(part.column("shingles").chunk(0))
-        tokens, at = data.view("<u8"), at // 8
-        a, b = [], []
-        for begin, end in zip(cut.tolist(), cut[1:].tolist()):
-            if end - begin < 2:
-                continue
-            start = at[begin : end + 1] - at[begin]
-            _, own = np.unique(tokens[at[begin] : at[end]], return_inverse=True)
-            n = np.diff(start)
-            member = np.zeros(own.max() + 1, np.int64)
-
-            def linked(i: int, rest: np.ndarray) -> np.ndarray:
-                hit = (np.minimum(n[rest], n[i]) * 100 >= PERCENT * np.maximum(n[rest], n[i]))
-                near = rest[hit]
-                if near.size:
-                    member[own[start[i] : start[i + 1]]] = 1
-                    sizes = n[near]
-                    first = np.cumsum(sizes) - sizes
-                    place = np.arange(int(sizes.sum())) + np.repeat(start[near] - first, sizes)
-                    both = np.add.reduceat(member[own[place]], first)
-                    hit[hit] = 100 * both >= PERCENT * (sizes + n[i] - both)
-                    member[own[start[i] : start[i + 1]]] = 0
-                return hit
-
-            for i, j in _forest(end - begin, linked):
-                a.append(ids[begin + i])
-                b.append(ids[begin + j])
-        if a:
-            yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        percent = join.percent
+        for part in groups(batches, "task", rows=2000):
+            cut = group_bounds(part.column("task").to_numpy())
+            ids = part.column("rep").to_numpy()
+            data, at = flat(part.column("shingles").chunk(0))
+            tokens, at = data.view("<u8"), at // 8
+            a, b = [], []
+            for begin, end in zip(cut.tolist(), cut[1:].tolist()):
+                if end - begin < 2:
+                    continue
+                start = at[begin : end + 1] - at[begin]
+                _, own = np.unique(tokens[at[begin] : at[end]], return_inverse=True)
+                n = np.diff(start)
+                member = np.zeros(own.max() + 1, np.int64)
+
+                def linked(i: int, rest: np.ndarray) -> np.ndarray:
+                    hit = (np.minimum(n[rest], n[i]) * 100 >= percent * np.maximum(n[rest], n[i]))
+                    near = rest[hit]
+                    if near.size:
+                        member[own[start[i] : start[i + 1]]] = 1
+                        sizes = n[near]
+                        first = np.cumsum(sizes) - sizes
+                        place = np.arange(int(sizes.sum())) + np.repeat(start[near] - first, sizes)
+                        both = np.add.reduceat(member[own[place]], first)
+                        hit[hit] = 100 * both >= percent * (sizes + n[i] - both)
+                        member[own[start[i] : start[i + 1]]] = 0
+                    return hit
+
+                for i, j in _forest(end - begin, linked):
+                    a.append(ids[begin + i])
+                    b.append(ids[begin + j])
+            if a:
+                yield pa.record_batch({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
 
 
 def _blocks(rows: DataFrame, key: str, count: str, most: int) -> DataFrame:
@@ -197,7 +233,7 @@ def _blocks(rows: DataFrame, key: str, count: str, most: int) -> DataFrame:
     return met.withColumn("task", task).drop("__block", "__other")
 
 
-def candidate_edges(reps: DataFrame, at: str) -> DataFrame:
+def candidate_edges(reps: DataFrame, at: str, join: Join) -> DataFrame:
     """Edges between classes that the sketches link in some node of some tree."""
     spark = reps.sparkSession
     rows = reps.select("rep", F.posexplode("paths").alias("tree", "node"))
@@ -217,7 +253,7 @@ def candidate_edges(reps: DataFrame, at: str) -> DataFrame:
         rows = more.select("rep", "tree", "node").join(reps.select("rep", "sketch"), "rep").select("rep", "tree", F.xxhash64("node", token).alias("node"))
     met = _blocks(done, "node", "members", NODE).select("rep", F.col("task").alias("node"))
     full = met.join(reps.select("rep", "n_shingles", "sketch"), "rep")
-    return deal(full, "node").sortWithinPartitions("node", "rep").mapInArrow(node_edges, "a long, b long")
+    return deal(full, "node").sortWithinPartitions("node", "rep").mapInArrow(node_edges(join), "a long, b long")
 
 
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -226,21 +262,21 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.record_batch({"rep": batch.column("rep"), "cluster": batch.column("cluster"), "members": batch.column("members"), "shingles": pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())})
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id (its least doc_id), kept of every document."""
-    spark, at = docs.sparkSession, scratch(docs.sparkSession)
-    profile(docs).write.parquet(f"{at}/profiles")
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """doc_id, n_shingles, component_id (its least doc_id), kept of every document; links from ``percent`` of the union."""
+    spark, at, join = docs.sparkSession, scratch(docs.sparkSession), Join(percent)
+    profile(docs, join).write.parquet(f"{at}/profiles")
     profiles = spark.read.parquet(f"{at}/profiles")
     # Equal sets have equal paths and sketches.
     classes = profiles.filter("n_shingles > 0").groupBy("low", "high", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("paths").alias("paths"), F.first("sketch").alias("sketch"))
     classes.write.parquet(f"{at}/classes")
     classes = spark.read.parquet(f"{at}/classes")
-    clusters = components(candidate_edges(classes.filter("rep is not null"), at))
+    clusters = components(candidate_edges(classes.filter("rep is not null"), at, join))
     members = clusters.select(F.col("node").alias("rep"), F.col("root").alias("cluster")).union(clusters.select("root", "root").distinct())
     sized = members.join(members.groupBy("cluster").agg(F.count("*").alias("members")), "cluster").checkpoint()
     texts_ = docs.select(F.col("doc_id").alias("rep"), "text").join(sized, "rep")
     met = _blocks(texts_.mapInArrow(_sets, "rep long, cluster long, members long, shingles binary"), "cluster", "members", BLOCK)
-    edges = deal(met.select("task", "rep", "shingles"), "task").sortWithinPartitions("task", "rep").mapInArrow(set_edges, "a long, b long").checkpoint()
+    edges = deal(met.select("task", "rep", "shingles"), "task").sortWithinPartitions("task", "rep").mapInArrow(set_edges(join), "a long, b long").checkpoint()
     if sized.filter(F.col("members") > BLOCK).isEmpty():  # each component was confirmed in one task, from its least member
         roots = edges.groupBy(F.col("b").alias("rep")).agg(F.min("a").alias("root"))
     else:
@@ -251,7 +287,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def filter_docs(docs: DataFrame) -> DataFrame:
+def filter_docs(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One document of each component, with all its columns."""
-    kept = near_duplicates(docs).filter("kept").select(F.col("doc_id").alias("__kept_doc_id"))
+    kept = near_duplicates(docs, percent).filter("kept").select(F.col("doc_id").alias("__kept_doc_id"))
     return docs.join(kept, docs["doc_id"].eqNullSafe(kept["__kept_doc_id"]), "left_semi")

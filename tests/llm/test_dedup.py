@@ -113,6 +113,21 @@ def test_near_duplicates_of_null_ids(spark):
     assert got == [(-1, 0, -1, True), (-1, 1, -1, True), (-1, 2, 2, False), (2, 2, 2, True)]
 
 
+def test_pipeline_links_from_80_percent(spark, sf):
+    """Pairs of 0.80 to 0.83 meet in the pipeline's stage and not in op6, those of 0.79 in neither."""
+    import corpus_pipeline
+
+    made, want = [], []
+    for k in range(100):
+        same = 92 + k % 4
+        words = [f"{k}w{i}" for i in range(104)]
+        made += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:same] + [f"{k}v{i}" for i in range(104 - same)]))]
+        want += [2 * k] + [2 * k + 1] * (same == 92)
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, df, sf).collect()) == want
+    assert near_dedup.filter_docs(df).count() == 200
+
+
 def test_one_doc_id_with_two_texts(spark):
     df = spark.createDataFrame([(1, "a b c d e f g"), (1, "h i j k l m n"), (2, "a b c d e f g"), (3, "h i j k l m n")], "doc_id long, text string")
     assert sorted((r.doc_id, r.component_id) for r in near_dedup.near_duplicates(df).collect()) == [(1, 1), (1, 1), (2, 1), (3, 1)]
