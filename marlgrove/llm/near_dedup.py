@@ -1,13 +1,13 @@
 """Near-duplicate documents by a chosen-path similarity join of shingle sets.
 
 A document's set has the hashes of its distinct five-word shingles. Equal sets are one class, of
-which one representative goes on. In each of ``TREES`` independent trees, a class descends along its
-minwise tokens, one more each level: similar sets choose the same token with a probability of their
-similarity. Nodes of at most ``NODE`` classes are compared exhaustively by sketches; larger ones
-branch on, as far as ``LEVELS`` go, and what is still larger is compared in pairs of blocks. Pairs at
-or above the threshold s miss each other with probability (1 - s**3)**TREES, 3e-7 at 0.85, if their
-nodes stop at the first level. Trees and the sketches' cut follow from the threshold (``Join``), so
-that each loses a pair at the threshold with at most ``MISS``; at 0.80 there are 22 trees.
+which one representative goes on. In each of several independent trees, a class goes to the node
+of its ``FIRST`` minwise tokens: similar sets choose the same token with a probability of their
+similarity. Nodes of at most ``NODE`` classes are compared exhaustively by sketches, larger ones in
+pairs of blocks, so that each two classes of a node are compared at any size. Pairs at or above the
+threshold s miss each other with probability (1 - s**3)**trees, 2.4e-7 at 0.85, and the sketches drop
+them with as little. Trees and the sketches' cut follow from the threshold (``Join``); at 0.80 there
+are 22 trees, at 0.85 there are 16.
 
 Nodes emit only star edges of what the sketches link, whose components (a superset of the true ones)
 bring the full sets together: there all links are confirmed on the sets, component by component,
@@ -36,10 +36,11 @@ from .components import components
 
 #: Probability with which the trees, and that with which the sketches, lose a pair at the threshold.
 MISS = 2.5e-7
-#: Minwise tokens of a tree's paths, and how many of them the first nodes are made by.
-LEVELS = 8
+#: Minwise tokens of a tree's nodes.
 FIRST = 3
-#: Classes that a node compares exhaustively.
+#: Values of a sketch, unless the trees need more tokens.
+VALUES = 128
+#: Classes that a task compares by sketches at once.
 NODE = 4096
 #: Classes that a task confirms at once.
 BLOCK = 8192
@@ -61,7 +62,7 @@ class Join:
 
     @property
     def tokens(self) -> int:
-        return self.trees * LEVELS
+        return max(VALUES, self.trees * FIRST)
 
     @property
     def least(self) -> int:
@@ -92,7 +93,7 @@ def shingle_sets(data: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
 
 
 def profile(docs: DataFrame, join: Join = Join(PERCENT)) -> DataFrame:
-    """doc_id, n_shingles, a 128-bit name of the set, the first nodes and the sketch of every document."""
+    """doc_id, n_shingles, a 128-bit name of the set, the nodes and the sketch of every document."""
     trees, tokens_ = join.trees, join.tokens
     seeds = mix(np.arange(1, tokens_ + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
@@ -113,11 +114,12 @@ def profile(docs: DataFrame, join: Join = Join(PERCENT)) -> DataFrame:
                     x ^= x >> np.uint64(32)
                     x *= np.uint64(0xC4CEB9FE1A85EC53)
                     least[full, k] = np.minimum.reduceat(x, begin)
-            least = mix(least).reshape(-1, trees, LEVELS)
+            least = mix(least)
+            own = least[:, : trees * FIRST].reshape(-1, trees, FIRST)
             path = np.zeros((size.size, trees), np.uint64)
             for level in range(FIRST):
-                path = mix(path + least[:, :, level] + np.arange(trees, dtype=np.uint64))
-            sketch = (least & np.uint64(0xFFFF)).astype("<u2").reshape(size.size, tokens_)
+                path = mix(path + own[:, :, level] + np.arange(trees, dtype=np.uint64))
+            sketch = (least & np.uint64(0xFFFF)).astype("<u2")
             width = tokens_ * 2
             yield pa.record_batch(
                 {
@@ -236,22 +238,10 @@ def _blocks(rows: DataFrame, key: str, count: str, most: int) -> DataFrame:
 def candidate_edges(reps: DataFrame, at: str, join: Join) -> DataFrame:
     """Edges between classes that the sketches link in some node of some tree."""
     spark = reps.sparkSession
-    rows = reps.select("rep", F.posexplode("paths").alias("tree", "node"))
-    done = None
-    for level in range(FIRST, LEVELS + 1):
-        shared = rows.groupBy("node").agg(F.count("*").alias("members")).filter("members > 1")
-        rows.join(shared, "node").write.parquet(f"{at}/nodes-{level}")
-        here = spark.read.parquet(f"{at}/nodes-{level}")
-        last = level == LEVELS
-        some = here if last else here.filter(F.col("members") <= NODE)
-        done = some if done is None else done.union(some)
-        more = here.filter(F.col("members") > NODE)
-        if last or more.isEmpty():
-            break
-        # The tree's next minwise token is four hexadecimal digits of the sketch.
-        token = F.expr(f"substring(hex(sketch), 4 * (tree * {LEVELS} + {level}) + 1, 4)")
-        rows = more.select("rep", "tree", "node").join(reps.select("rep", "sketch"), "rep").select("rep", "tree", F.xxhash64("node", token).alias("node"))
-    met = _blocks(done, "node", "members", NODE).select("rep", F.col("task").alias("node"))
+    rows = reps.select("rep", F.explode("paths").alias("node"))
+    shared = rows.groupBy("node").agg(F.count("*").alias("members")).filter("members > 1")
+    rows.join(shared, "node").write.parquet(f"{at}/nodes")
+    met = _blocks(spark.read.parquet(f"{at}/nodes"), "node", "members", NODE).select("rep", F.col("task").alias("node"))
     full = met.join(reps.select("rep", "n_shingles", "sketch"), "rep")
     return deal(full, "node").sortWithinPartitions("node", "rep").mapInArrow(node_edges(join), "a long, b long")
 

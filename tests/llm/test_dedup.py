@@ -128,6 +128,23 @@ def test_pipeline_links_from_80_percent(spark, sf):
     assert near_dedup.filter_docs(df).count() == 200
 
 
+@pytest.mark.parametrize("node, block", [(1, 8192), (10, 10)])
+def test_pairs_in_large_nodes_are_found(spark, monkeypatch, node, block):
+    """Pairs of 0.85 among documents that share boilerplate meet whatever the size of nodes and blocks."""
+    monkeypatch.setattr(near_dedup, "NODE", node)
+    monkeypatch.setattr(near_dedup, "BLOCK", block)
+    base = [f"b{i}" for i in range(40)]
+    made = []
+    for k in range(600):
+        words = base + [f"{k}w{i}" for i in range(64)]
+        made += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(words[:96] + [f"{k}v{i}" for i in range(8)]))]
+    a, b = (shingles(t) for _, t in made[:2])
+    assert 0.85 <= len(a & b) / len(a | b) < 0.86
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df).collect()}
+    assert got == {d: d - d % 2 for d, _ in made}
+
+
 def test_one_doc_id_with_two_texts(spark):
     df = spark.createDataFrame([(1, "a b c d e f g"), (1, "h i j k l m n"), (2, "a b c d e f g"), (3, "h i j k l m n")], "doc_id long, text string")
     assert sorted((r.doc_id, r.component_id) for r in near_dedup.near_duplicates(df).collect()) == [(1, 1), (1, 1), (2, 1), (3, 1)]
