@@ -6,7 +6,8 @@ its candidates to languages written in them. Viterbi over a text's words, with a
 switch of language, labels spans; a text's language is that of most of its letters.
 
 A text whose best single language is no worse than any labelling with switches is found without
-Viterbi: if no run of words favours another language by more than the penalty, no switch can pay.
+Viterbi: if no run of words favours another language by more than the penalty, and no first and last
+part do together, no switch can pay.
 All texts of a batch are tested at once, and the others are labelled at once, word by word.
 
 Learning uses about ``SAMPLE_DOCS`` labelled documents, chosen by a hash, in whole; all of them if
@@ -210,7 +211,13 @@ class Labeller:
         run -= begin[owner]
         shift = (2 * np.abs(run).max() + 1) * owner[:, None]
         rise = run - np.minimum(np.minimum.accumulate(run - shift, axis=0) + shift, 0)
-        mixed = np.flatnonzero(np.bincount(owner, weights=(rise.max(axis=1) > SWITCH), minlength=n) > 0)
+        # A path pays with a run of over SWITCH; or, if it never is in the best language, with a first and a
+        # last part of over SWITCH together, as each part between them costs a switch of its own.
+        full = np.flatnonzero(np.diff(at))
+        first = np.maximum.reduceat(run.max(axis=1), at[full])
+        last = np.maximum.reduceat((run[at[full + 1] - 1][np.repeat(np.arange(full.size), np.diff(at)[full])] - run).max(axis=1), at[full])
+        most = np.maximum.reduceat(rise.max(axis=1), at[full])
+        mixed = full[(most > SWITCH) | (first + last > SWITCH)]
         if mixed.size:
             self._viterbi(scores, at, mixed, out)
         return out, letters, at

@@ -78,6 +78,16 @@ def test_labels_are_the_best():
             assert abs(got - viterbi(scores)) < 1e-6
 
 
+def test_halves_in_two_languages_neither_the_best():
+    """Each half gains 10 over the best single language, under SWITCH, and both together 20."""
+    model = language_id.Model(["a", "b", "c"], np.zeros((language_id.BUCKETS, 3)), np.ones(3, int))
+    own = language_id.Labeller(model)
+    own.scores = np.array([[0, 10, -20], [0, -20, 10]], np.float32)
+    own.letters, own.rows, own.size = np.ones(2, int), {b"0": 0, b"1": 1}, 2
+    label, _, at = own.label([[b"0", b"1"], [], [b"0"], [b"1", b"0"]])
+    assert label.tolist() == [1, 2, 1, 2, 1] and at.tolist() == [0, 2, 2, 3, 5]
+
+
 def test_held_out_accuracy(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language_id.identify_held_out(docs).join(docs.select("doc_id", "lang"), "doc_id").filter("held_out").toPandas()
