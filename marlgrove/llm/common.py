@@ -27,15 +27,34 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Scratch folders of this driver that ``sweep`` hasn't removed.
+_MADE: list[str] = []
+
+
 def scratch(spark: SparkSession) -> str:
     """A new folder name below ``spark.checkpoint.dir``, which all executors share."""
-    return f"{shared_dir(spark)}/marlgrove-{uuid.uuid4().hex}"
+    _MADE.append(f"{shared_dir(spark)}/marlgrove-{uuid.uuid4().hex}")
+    return _MADE[-1]
+
+
+def made() -> int:
+    """How many scratch folders are there; ``sweep`` takes it to spare them."""
+    return len(_MADE)
+
+
+def sweep(spark: SparkSession, since: int = 0) -> None:
+    """Removes the scratch folders made after the first ``since``. Results that are not written yet may still read theirs."""
+    while len(_MADE) > since:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_MADE.pop())
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder; where the session names none (tests), one below /tmp."""
+    """The shared folder. Where the session names none, one below /tmp if all tasks run on this machine (tests); else an error."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         at = "file:///tmp/checkpoints/marlgrove"
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(at)

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cover, flat, gram_hashes, mix, powers, scratch, slices, texts, word_hashes, words
-from .windows import anchored_runs, by_window, filter_of, named, repeated_anchors, repeated_spans, spans_of, stretches, with_spans
+from .windows import anchored_runs, by_window, named, repeated_spans, spans_of, stretches, with_spans
 
 GRAM = 8
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15 | 1, -1, 1 << 64))
@@ -62,18 +62,20 @@ def window_names(h: np.ndarray, start: np.ndarray, window: int) -> np.ndarray:
 
 def find_spans(docs: DataFrame, window: int, at: str) -> DataFrame:
     """Names of texts with spans of words to remove; docs: named."""
-    repeated_anchors(docs, lambda batch: _seeds(batch, window)[2][3]).write.parquet(f"{at}/anchors")
-    sent = docs.sparkSession.sparkContext.broadcast(filter_of(docs.sparkSession.read.parquet(f"{at}/anchors")))
 
-    def send(batch: pa.RecordBatch) -> tuple:
+    def runs(batch: pa.RecordBatch) -> tuple:
+        _, begin, (row, first, _, key, _) = _seeds(batch, window)
+        return row, first - begin[row], key
+
+    def send(batch: pa.RecordBatch, may, hot) -> tuple:
         h, begin, (row, first, count, key, place) = _seeds(batch, window)
-        may = sent.value.may_hold(key)
-        row, first, count, key, place = row[may], first[may], count[may], key[may], place[may]
+        picked = may(row, first - begin[row], key)
+        row, first, count, key, place = row[picked], first[picked], count[picked], key[picked], place[picked]
         ends = np.cumsum(count)
         start = np.repeat(first - (ends - count), count) + np.arange(int(count.sum()))
         data = extensions(h, start, np.repeat(place, count), window).astype("<u8").tobytes() if key.size else b""
         bodies = [data[8 * a : 8 * b] for a, b in zip((ends - count).tolist(), ends.tolist())]
-        row, first, count, key, bodies = by_window(sent.value.is_hot(key), row, first, count, key, bodies, lambda start: window_names(h, start, window))
+        row, first, count, key, bodies = by_window(hot(key), row, first, count, key, bodies, lambda start: window_names(h, start, window))
         return row, first - begin[row], count, key, bodies
 
     def meet(runs: dict[str, np.ndarray], bodies: list[bytes]) -> tuple:
@@ -83,7 +85,7 @@ def find_spans(docs: DataFrame, window: int, at: str) -> DataFrame:
         _, which, times = np.unique(mix(np.frombuffer(b"".join(bodies), "<u8") + runs["hash"][run]), return_inverse=True, return_counts=True)
         return stretches(run, window_, times[which] > 1)
 
-    return repeated_spans(docs, send, meet, window)
+    return repeated_spans(docs, at, runs, send, meet, window, body=4 * window)
 
 
 def remove_repeats(docs: DataFrame, window: int = 35) -> DataFrame:

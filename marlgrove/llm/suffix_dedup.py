@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import boxed, cover, flat, mix, runs_to_spans, scratch, slices
-from .windows import anchored_runs, by_window, filter_of, named, repeated_anchors, repeated_spans, spans_of, stretches, with_spans
+from .common import boxed, cover, flat, mix, runs_to_spans, scratch, slices, words
+from .windows import anchored_runs, by_window, named, repeated_spans, spans_of, stretches, with_spans
 
 #: Bytes of an anchor.
 GRAM = 32
@@ -139,16 +139,18 @@ def find_spans(docs: DataFrame, window: int, at: str) -> DataFrame:
     """Names of texts with spans of bytes to remove; docs: named."""
     if window < GRAM:
         raise ValueError(f"windows have {GRAM} bytes at least")
-    repeated_anchors(docs, lambda batch: _anchors(batch, window)[2][3]).write.parquet(f"{at}/anchors")
-    sent = docs.sparkSession.sparkContext.broadcast(filter_of(docs.sparkSession.read.parquet(f"{at}/anchors")))
 
-    def send(batch: pa.RecordBatch) -> tuple:
+    def runs(batch: pa.RecordBatch) -> tuple:
+        _, begin, (row, first, _, key, _) = _anchors(batch, window)
+        return row, first - begin[row], key
+
+    def send(batch: pa.RecordBatch, may, hot) -> tuple:
         data, begin, (row, first, count, key, _) = _anchors(batch, window)
-        may = sent.value.may_hold(key)
-        row, first, count, key = row[may], first[may], count[may], key[may]
+        picked = may(row, first - begin[row], key)
+        row, first, count, key = row[picked], first[picked], count[picked], key[picked]
         text = data.tobytes()
         bodies = [text[a : a + n + window - 1] for a, n in zip(first.tolist(), count.tolist())]
-        row, first, count, key, bodies = by_window(sent.value.is_hot(key), row, first, count, key, bodies, lambda start: window_names(data, start, window))
+        row, first, count, key, bodies = by_window(hot(key), row, first, count, key, bodies, lambda start: window_names(data, start, window))
         return row, first - begin[row], count, key, bodies
 
     def meet(runs: dict[str, np.ndarray], bodies: list[bytes]) -> tuple:
@@ -170,17 +172,20 @@ def find_spans(docs: DataFrame, window: int, at: str) -> DataFrame:
             begin = end
         return tuple(np.concatenate(x) for x in zip(*found))
 
-    return repeated_spans(docs, send, meet, window)
+    return repeated_spans(docs, at, runs, send, meet, window, body=window + (window - GRAM) // 2)
 
 
-def _rest(column: pa.Array, listed: list) -> Iterator[tuple[int, int, int, bytes]]:
-    """Bytes, removed bytes, removed spans and what is left of each text."""
+def _rest(column: pa.Array, listed: list, least_words: int = 0) -> Iterator[tuple[int, int, int, bytes]]:
+    """Bytes, removed bytes, removed spans and what is left of each text; spans of fewer words than asked for stay."""
     data, at = flat(column)
     for a, b, spans in zip(at.tolist(), at[1:].tolist(), listed):
         if not spans:
             yield b - a, 0, 0, data[a:b].tobytes()
             continue
         gone = cover(b - a, *spans_of(spans))
+        if least_words:
+            for first, end in zip(*runs_to_spans(gone)):
+                gone[first:end] = words(data[a + first : a + end], np.array([0, end - first]))[0].size >= least_words
         yield b - a, int(gone.sum()), runs_to_spans(gone)[0].size, data[a:b][~gone].tobytes()
 
 
@@ -197,14 +202,16 @@ def repeat_digests(docs: DataFrame, window: int = 400) -> DataFrame:
     return found.select("doc_id", "text", "__spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
-def clean_docs(docs: DataFrame, window: int = 400) -> DataFrame:
-    """The documents without their repeated bytes, with all their columns; n_chars, if there, follows the text."""
+def clean_docs(docs: DataFrame, window: int = 400, least_words: int = 0) -> DataFrame:
+    """The documents without their repeated bytes, with all their columns; n_chars, if there, follows the text.
+
+    least_words: only removed runs of as many words (parts of words at their ends count) go."""
     names = docs.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "doc.text"):
             doc = batch.column("doc")
-            left = [k.decode(errors="ignore") for *_, k in _rest(doc.field("text"), batch.column("__spans").to_pylist())]
+            left = [k.decode(errors="ignore") for *_, k in _rest(doc.field("text"), batch.column("__spans").to_pylist(), least_words)]
             new = {"text": pa.array(left, pa.string())} | ({"n_chars": pa.array([len(x) for x in left], pa.int64())} if "n_chars" in names else {})
             yield pa.RecordBatch.from_arrays([new.get(k, doc.field(i)) for i, k in enumerate(names)], names)
 

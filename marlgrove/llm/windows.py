@@ -4,14 +4,16 @@ Each window's anchor is its k-gram of least hash (the leftmost of equals), a fun
 content alone, so equal windows have equal anchors at equal places. Consecutive windows of one anchor
 place are a run. Only runs whose anchor occurs at two places or more can hold a repeated window; a
 first pass counts anchors, and a filter of at most ``FILTER_BITS`` bits tells the second pass which
-runs to send (it may send too many, never too few). Runs are dealt by their anchors' hash over buckets,
-packed into one row for each bucket and batch of texts. A text is named by its doc_id and a hash of
-it, so that equal rows share a name and a result.
+runs to send (it may send too many, never too few). Where there are more repeated anchors than that
+filter can tell apart, each text's runs are marked by a join with them instead. Runs are dealt by their
+anchors' hash over buckets of about ``BUCKET_BYTES``, packed into one row for each bucket and batch of
+texts. A text is named by its doc_id and a hash of it, so that equal rows share a name and a result.
 
 An anchor of more than ``HOT`` places (a passage that a great share of all texts have) would bring all of
 its distinct runs to one task. Its runs go out window by window instead, each window under its own
-hash: those that batches share are joined there, and the rest spread over all buckets. There are at
-most 1 / ``HOT_SHARE`` such anchors, as each has that share of all places at least.
+hash: those that batches share are joined there, and the rest spread over all buckets. Which anchors
+are hot is told by a second filter of at most ``HOT_BITS`` bits; as it depends on the anchor alone, one
+that it takes for hot by mistake is dealt by window from everywhere, which gives the same result.
 """
 
 from __future__ import annotations
@@ -32,9 +34,14 @@ FILTER_BITS = 1 << 27
 _PAGE = 1 << 18
 #: Buckets for each shuffle partition.
 BUCKETS = 8
-#: Places, and share of all places, beyond which an anchor's runs are dealt window by window.
-HOT = 50_000
-HOT_SHARE = 1e-4
+#: Bytes of runs that a bucket is meant to hold.
+BUCKET_BYTES = 4_000_000
+#: Bits of the filter for each repeated anchor below which runs are marked by a join.
+CROWDED = 4
+#: Places beyond which an anchor's runs are dealt window by window, whatever the size of the data.
+HOT = 4_000
+#: Most bits of the filter of hot anchors: 1 MB.
+HOT_BITS = 1 << 23
 #: Bytes that stand for a window of a hot anchor; no other body has as many.
 NAMED = 17
 _PLACE = np.uint64((1 << 30) - 1)
@@ -84,29 +91,26 @@ def repeated_anchors(docs: DataFrame, hashes: Callable[[pa.RecordBatch], np.ndar
     return docs.select("text").mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1")
 
 
+def _holds(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    place = h & np.uint64(8 * bits.size - 1)
+    return (bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
 class Filter:
-    """Which anchors may be repeated, and which are hot."""
+    """Which anchors may be repeated (all, where ``bits`` is None) and which are hot; places: those of all repeated anchors."""
 
-    def __init__(self, bits: np.ndarray, hot: np.ndarray):
-        self.bits, self.hot = bits, np.sort(hot)
+    def __init__(self, bits: np.ndarray | None, hot: np.ndarray | None, places: int):
+        self.bits, self.hot, self.places = bits, hot, places
 
     def is_hot(self, h: np.ndarray) -> np.ndarray:
-        if not self.hot.size:
-            return np.zeros(h.size, bool)
-        return self.hot[np.minimum(np.searchsorted(self.hot, h), self.hot.size - 1)] == h
+        return np.zeros(h.size, bool) if self.hot is None else _holds(self.hot, h)
 
     def may_hold(self, h: np.ndarray) -> np.ndarray:
-        place = h & np.uint64(8 * self.bits.size - 1)
-        return (self.bits[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8)) & 1 == 1
+        return np.ones(h.size, bool) if self.bits is None else _holds(self.bits, h)
 
 
-def filter_of(anchors: DataFrame) -> Filter:
-    """anchors: h, n of a written table, so that reading them again costs little."""
-    found, places = anchors.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
-    size = 1 << 18
-    while size < min(FILTER_BITS, 16 * found):
-        size *= 2
-    hot = anchors.filter(F.col("n") > max(HOT, int(HOT_SHARE * places))).select("h").collect()  # 1 / HOT_SHARE rows at most
+def _bits(hashes: DataFrame, size: int) -> np.ndarray:
+    """A filter of size bits in which those of all hashes are on; made in pages."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in groups(batches, "page"):
@@ -121,11 +125,23 @@ def filter_of(anchors: DataFrame) -> Filter:
             yield pa.record_batch({"page": pa.array(page[cut[:-1]]), "bits": pa.array(bits, pa.binary())})
 
     place = F.expr(f"h & {size - 1}L")
-    pages = deal(anchors.select(F.shiftright(place, 18).alias("page"), place.bitwiseAND(F.lit(_PAGE - 1)).alias("place")).distinct(), "page").sortWithinPartitions("page")
-    bits = np.zeros(size // 8, np.uint8)
+    pages = deal(hashes.select(F.shiftright(place, _PAGE.bit_length() - 1).alias("page"), place.bitwiseAND(F.lit(_PAGE - 1)).alias("place")).distinct(), "page").sortWithinPartitions("page")
+    out = np.zeros(size // 8, np.uint8)
     for page, some in pages.mapInArrow(run, "page long, bits binary").collect():  # size / 8 bytes at most
-        bits[page * _PAGE // 8 : (page + 1) * _PAGE // 8] = np.frombuffer(some, np.uint8)
-    return Filter(bits, np.array([r[0] for r in hot], np.int64).view(np.uint64))
+        out[page * _PAGE // 8 : (page + 1) * _PAGE // 8] = np.frombuffer(some, np.uint8)
+    return out
+
+
+def filter_of(anchors: DataFrame) -> Filter:
+    """anchors: h, n of a written table, so that reading them again costs little."""
+    hot = F.col("n") > HOT
+    found, places, hots = anchors.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0)), F.count_if(hot)).first()
+
+    def size(least: int, most: int) -> int:
+        return min(most, max(_PAGE, 1 << max(0, least - 1).bit_length()))
+
+    bits = None if CROWDED * found > FILTER_BITS else _bits(anchors, size(16 * found, FILTER_BITS))
+    return Filter(bits, _bits(anchors.filter(hot), size(64 * hots, HOT_BITS)) if hots else None, places)
 
 
 #: A row of a bucket: for each run its text's name, first window, windows and what ``pack`` made of it.
@@ -171,10 +187,6 @@ def unpack_blocks(part: pa.Table) -> dict[str, np.ndarray]:
     return {k: np.frombuffer(b"".join(part.column(k).to_pylist()), kind) for k, kind in kinds.items()}
 
 
-def n_buckets(df: DataFrame) -> int:
-    return BUCKETS * tasks_for(df)
-
-
 def one_of_each(h: np.ndarray, bodies: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """For runs of equal anchors and bodies: the number of the first of them, and whether there are more."""
     seen: dict[tuple[int, bytes], int] = {}
@@ -201,17 +213,48 @@ def by_window(hot: np.ndarray, row: np.ndarray, first: np.ndarray, count: np.nda
     )
 
 
-def repeated_spans(docs: DataFrame, send, meet, window: int) -> DataFrame:
-    """Names of texts with the spans of letters that repeated windows cover.
+def marked(docs: DataFrame, anchors: DataFrame, runs: Callable[[pa.RecordBatch], tuple[np.ndarray, np.ndarray, np.ndarray]]) -> DataFrame:
+    """docs (named) with the list of first windows of their runs whose anchors are repeated, as pieces of 32-bit numbers.
+
+    runs(batch): row, first window in its row, and anchor hash of each run."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, limit=BATCH_BYTES):
+            row, first, h = runs(batch)
+            yield pa.record_batch({"h": pa.array(h.view(np.int64)), "key_id": batch.column("key_id").take(pa.array(row)), "key_hash": batch.column("key_hash").take(pa.array(row)), "first": pa.array(first.astype(np.int32))})
+
+    places = docs.select("key_id", "key_hash", "text").mapInArrow(run, "h long, key_id long, key_hash long, first int").join(anchors.select("h"), "h", "left_semi")
+    listed = places.groupBy("key_id", "key_hash").agg(F.collect_set("first").alias("__marks"))
+    return docs.join(listed, ["key_id", "key_hash"], "left")
+
 
-    send(batch): row, first window, windows, anchor hash and body of each run of a batch whose anchor
-    may be repeated. meet(runs): of a bucket's distinct runs, the run and first and last window of each stretch
-    of windows that are equal to windows of others."""
-    buckets = n_buckets(docs)
+def repeated_spans(docs: DataFrame, at: str, runs, send, meet, window: int, body: int) -> DataFrame:
+    """Names of texts (docs: named) with the spans of letters that repeated windows cover; at: a folder for the anchors.
+
+    runs(batch): row, first window in its row, and anchor hash of each run of a batch. send(batch, may, hot): row,
+    first window, windows, anchor hash and body (of some ``body`` bytes) of each run for which
+    may(row, first, hash) holds, those for which hot(hash) does by window. meet(runs): of a bucket's distinct runs,
+    the run and first and last window of each stretch of windows that are equal to windows of others."""
+    spark = docs.sparkSession
+    repeated_anchors(docs, lambda batch: runs(batch)[2]).write.parquet(f"{at}/anchors")
+    anchors = spark.read.parquet(f"{at}/anchors")
+    known = filter_of(anchors)
+    sent = spark.sparkContext.broadcast(known)
+    by_join = known.bits is None
+    docs = (marked(docs, anchors, runs) if by_join else docs).select("key_id", "key_hash", "text", *["__marks"] * by_join)
+    buckets = max(BUCKETS * tasks_for(docs), known.places * (body + 40) // BUCKET_BYTES)
+
+    def may_of(batch: pa.RecordBatch) -> Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]:
+        if not by_join:
+            return lambda row, first, h: sent.value.may_hold(h)
+        listed = batch.column("__marks")
+        own = np.repeat(np.arange(batch.num_rows), np.asarray(pa.compute.fill_null(pa.compute.list_value_length(listed), 0)))
+        on = (own << 32) | listed.flatten().to_numpy().astype(np.int64)
+        return lambda row, first, h: np.isin((row.astype(np.int64) << 32) | first, on)
 
     def deal_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, limit=BATCH_BYTES):
-            row, first, windows, h, bodies = send(batch)
+            row, first, windows, h, bodies = send(batch, may_of(batch), sent.value.is_hot)
             if not h.size:
                 continue
             key_id, key_hash = batch.column("key_id").to_numpy()[row], batch.column("key_hash").to_numpy()[row]
@@ -220,9 +263,9 @@ def repeated_spans(docs: DataFrame, send, meet, window: int) -> DataFrame:
             alone = to == np.arange(h.size)
             keep = np.flatnonzero(alone)
             if more.any():
-                known = spans_rows(key_id[more], key_hash[more], first[more], first[more] + windows[more] + window - 1)
-                blank = pa.array([None] * known.num_rows, pa.binary())
-                yield pa.record_batch({"bucket": pa.array(-1 - (known.column("key_hash").to_numpy() & 0xFFFF)), "key_id": pa.array([x.tobytes() for x in known.column("key_id").to_numpy()], pa.binary()), "key_hash": pa.array([x.tobytes() for x in known.column("key_hash").to_numpy()], pa.binary()), **dict.fromkeys(("first", "windows", "hash"), blank), "body": known.column("spans"), "size": blank, "twice": blank})
+                sure = spans_rows(key_id[more], key_hash[more], first[more], first[more] + windows[more] + window - 1)
+                blank = pa.array([None] * sure.num_rows, pa.binary())
+                yield pa.record_batch({"bucket": pa.array(-1 - (sure.column("key_hash").to_numpy() & 0xFFFF)), "key_id": pa.array([x.tobytes() for x in sure.column("key_id").to_numpy()], pa.binary()), "key_hash": pa.array([x.tobytes() for x in sure.column("key_hash").to_numpy()], pa.binary()), **dict.fromkeys(("first", "windows", "hash"), blank), "body": sure.column("spans"), "size": blank, "twice": blank})
             yield pack_blocks(buckets, key_id[keep], key_hash[keep], first[keep], windows[keep], h[keep], [bodies[i] for i in keep.tolist()], more[keep])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -263,7 +306,7 @@ def repeated_spans(docs: DataFrame, send, meet, window: int) -> DataFrame:
                 first = runs["first"][run].astype(np.int64)
                 yield spans_rows(runs["key_id"][run], runs["key_hash"][run], first + begin, first + last + window)
 
-    blocks = docs.select("key_id", "key_hash", "text").mapInArrow(deal_out, BLOCK)
+    blocks = docs.mapInArrow(deal_out, BLOCK)
     return deal(blocks, "bucket").sortWithinPartitions("bucket").mapInArrow(gather, SPANS)
 
 

@@ -33,12 +33,17 @@ def some(spark, awkward, sf):
     return awkward.filter("doc_id is null or doc_id < 20").select("doc_id", "text").union(spark.read.parquet(f"{sf}/documents.parquet").filter("n_chars < 6000").select("doc_id", "text"))
 
 
-@pytest.fixture(params=["plain", "hot"])
+@pytest.fixture(params=["plain", "hot", "small hot filter", "crowded"])
 def heat(request, monkeypatch):
-    """Whether anchors of three places and more are dealt window by window."""
-    if request.param == "hot":
+    """Anchors of three places and more dealt window by window, more of them than their filter holds, or runs marked by a join in many buckets."""
+    if "hot" in request.param:
         monkeypatch.setattr(windows, "HOT", 2)
-        monkeypatch.setattr(windows, "HOT_SHARE", 0)
+    if request.param == "small hot filter":
+        monkeypatch.setattr(windows, "HOT_BITS", 8)
+        monkeypatch.setattr(windows, "_PAGE", 8)
+    if request.param == "crowded":
+        monkeypatch.setattr(windows, "FILTER_BITS", 8)
+        monkeypatch.setattr(windows, "BUCKET_BYTES", 1000)
 
 
 def test_suffix_dedup(some, heat):
@@ -55,6 +60,15 @@ def test_substring_dedup(some, heat):
     assert rows(substring_dedup.repeat_digests(some)) == want
 
 
+def test_passages_of_fewer_words_stay(spark):
+    """A repeated passage of 60 words goes, one of 45 words and more bytes stays."""
+    many, few = " ".join(f"m{i}ab" for i in range(60)), " ".join(f"f{i}abcdefgh" for i in range(45))
+    made = [(1, f"onx {many} two"), (2, f"thrz {many} six {few}"), (3, f"{few}\nfive"), (4, None), (5, "")]
+    df = spark.createDataFrame(made, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in suffix_dedup.clean_docs(df, window=200, least_words=50).collect()}
+    assert {d: re.sub(" +", " ", t).strip() for d, t in got.items()} == {1: "onxtwo", 2: f"thrzsix {few}", 3: f"{few}\nfive", 4: "", 5: ""}
+
+
 def test_suffix_order():
     rng, rnd = np.random.default_rng(1), random.Random(3)
     for _ in range(400):
