@@ -1,7 +1,7 @@
 """The corpus pipeline: language ID, quality rules, near-dedup, suffix dedup, packing.
 
 Each stage works on all documents that its predecessor kept. The first three drop documents, the fourth
-takes repeated bytes out of their texts, the last returns the packed pieces. A document whose text
+takes passages of 50 words and more that occur elsewhere out of their texts, the last returns the packed pieces. A document whose text
 loses all its bytes stays, as the end id alone.
 
 Stages are tested against brute force; SQL can't express learning, sketches or packing, so there is no
@@ -14,10 +14,13 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from marlgrove.llm import language_id, near_dedup, quality_rules, suffix_dedup
-from marlgrove.llm.common import scratch
+from marlgrove.llm.common import made, scratch, sweep
 from marlgrove.llm.packing import pack_documents
 from marlgrove.llm.queries import WORD_FILE
 
+#: A repeated passage goes if it has as many words; 50 words have 200 bytes in any text of words of three letters.
+PASSAGE_WORDS, PASSAGE_BYTES = 50, 200
+
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without letters and those of which no language has 35 % of the letters; texts in two languages stay."""
@@ -33,7 +36,7 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def remove_repeated_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return suffix_dedup.clean_docs(docs, window=400)
+    return suffix_dedup.clean_docs(docs, window=PASSAGE_BYTES, least_words=PASSAGE_WORDS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -55,6 +58,8 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each but the last written to the shared folder and read again."""
     docs, at = spark.read.parquet(f"{sf_dir}/documents.parquet"), scratch(spark)
     for name, stage in STAGES[:-1]:
+        before = made()
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
+        sweep(spark, since=before)
         docs = spark.read.parquet(f"{at}/{name}")
     return STAGES[-1][1](spark, docs, sf_dir)
