@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality_rules import FLOOR, GAMMA, LEAST, SPREAD, UPPER
+from .quality_rules import GAMMA, LEAST, LOOSEST, LOWER, MEASURES, SPREAD, UPPER
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
@@ -51,33 +51,32 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id, doc_id = comp
 """
 
 
-def _thresholds(keys: str, tag: str) -> str:
-    """One row a group: its documents, and for each measure the threshold of its merged sketch."""
-    over = f"PARTITION BY {keys}, measure" if keys else "PARTITION BY measure"
-    floor = "CASE measure " + " ".join(f"WHEN '{k}' THEN {v}::DOUBLE" for k, v in FLOOR.items()) + " END"
+def _quantiles(keys: str) -> str:
+    """Median, low and high quantile of each measure in each group, of its merged sketch."""
+    comma, over = f"{keys}, " if keys else "", f"PARTITION BY {keys + ', ' if keys else ''}measure"
     value = f"CASE WHEN step IS NULL THEN 0.0 ELSE pow({GAMMA}::DOUBLE, step) * {2 / (GAMMA + 1)!r}::DOUBLE END"
-    comma = f"{keys}, " if keys else ""
-    cuts = ", ".join(f"max(CASE WHEN measure = '{k}' THEN cut END) AS {tag}_{k}" for k in FLOOR)
-    group = f" GROUP BY {keys}" if keys else ""
-    return f"""(SELECT {comma}max(size) AS {tag}_size, {cuts} FROM (SELECT {comma}measure, max(size) AS size,
-  greatest(min(CASE WHEN upto >= 0.5 * size THEN v END) + {SPREAD}::DOUBLE * (min(CASE WHEN upto >= {UPPER} * size THEN v END) - min(CASE WHEN upto >= 0.5 * size THEN v END)), {floor}) AS cut
-  FROM (SELECT *, {value} AS v, sum(n) OVER ({over} ORDER BY step NULLS FIRST) AS upto, sum(n) OVER ({over}) AS size FROM (SELECT {comma}measure, step, sum(n) AS n FROM sketch GROUP BY {comma}measure, step)) GROUP BY {comma}measure){group})"""
+    reach = lambda q: f"min(CASE WHEN upto >= {q}::DOUBLE * size THEN v END)"
+    return f"""(SELECT {comma}measure, max(size) AS size, {reach(0.5)} AS mid, {reach(LOWER)} AS low, {reach(UPPER)} AS high
+  FROM (SELECT *, {value} AS v, sum(n) OVER ({over} ORDER BY step NULLS FIRST) AS upto, sum(n) OVER ({over}) AS size FROM (SELECT {comma}measure, step, sum(n) AS n FROM sketch GROUP BY {comma}measure, step)) GROUP BY {comma}measure)"""
 
 
-_RATES = {"symbol_rate": "n_symbols / n_words", "word_length": "word_chars / n_words", "dup_line_rate": "n_dup_lines / n_lines", "repeat_rate": "n_repeat_words / n_words", "echo_rate": "n_echo / n_words"}
-_RATE = {k: "CASE WHEN {1} > 0 THEN {0}::DOUBLE / {1} ELSE 0.0 END".format(*v.split(" / ")) for k, v in _RATES.items()}
-_PICK = {k: f"CASE WHEN f_size >= {LEAST} THEN f_{k} WHEN c_size >= {LEAST} THEN c_{k} ELSE a_{k} END" for k in FLOOR}
+_RATE = {k: f"CASE WHEN {n} > 0 THEN {c}::DOUBLE / {n} ELSE 0.0 END" for k, (c, n, _) in MEASURES.items()}
+_CUT = {t: f"({t}.mid + {SPREAD}::DOUBLE * CASE WHEN {t}.mid > {t}.low THEN {t}.mid - {t}.low ELSE coalesce(nullif(cw.wide, 0), aw.wide, a.high - a.mid) END)" for t in "fca"}
+_MIDDLE = f"quantile_disc(CASE WHEN size >= {LEAST} THEN high - mid END, 0.5) AS wide"
 
 OP9 = f"""
 WITH d AS (SELECT doc_id, lang, source, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS ws FROM documents),
 b AS (SELECT doc_id, unnest(range(len(ws))) AS i, unnest(ws) AS y FROM d),
 g AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, h) > 1 AS twice FROM (SELECT doc_id, i, array_to_string(ws[i + 1:i + 5], ' ') AS h FROM (SELECT doc_id, ws, unnest(range(len(ws) - 4)) AS i FROM d WHERE len(ws) >= 5))),
-c AS (SELECT b.doc_id, coalesce(max(CASE WHEN twice THEN b.i END) OVER (PARTITION BY b.doc_id ORDER BY b.i) > b.i - 5, false) AS again, coalesce(y = lag(y) OVER (PARTITION BY b.doc_id ORDER BY b.i), false) AS echo FROM b LEFT JOIN g USING (doc_id, i)),
-r AS (SELECT doc_id, sum(again::INT) AS n_repeat_words, sum(echo::INT) AS n_echo FROM c GROUP BY 1),
+k AS (SELECT b.doc_id, coalesce(max(CASE WHEN twice THEN b.i END) OVER (PARTITION BY b.doc_id ORDER BY b.i) > b.i - 5, false) AS again, coalesce(y = lag(y) OVER (PARTITION BY b.doc_id ORDER BY b.i), false) AS echo FROM b LEFT JOIN g USING (doc_id, i)),
+r AS (SELECT doc_id, sum(again::INT) AS n_repeat_words, sum(echo::INT) AS n_echo FROM k GROUP BY 1),
 l AS (SELECT doc_id, list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '{_WORD}')) AS ls FROM d),
-m AS (SELECT d.doc_id, lang, source, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(n_echo, 0)::BIGINT AS n_echo FROM d JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)),
+m AS (SELECT d.doc_id, lang, source, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars, len(regexp_extract_all(text, '[#*$%&|<>]'))::BIGINT AS n_symbols, len(ls)::BIGINT AS n_lines, (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(n_echo, 0)::BIGINT AS n_echo_words FROM d JOIN l USING (doc_id) LEFT JOIN r USING (doc_id)),
 v AS ({' UNION ALL '.join(f"SELECT lang, source, '{k}' AS measure, {x} AS value FROM m WHERE n_words > 0" for k, x in _RATE.items())}),
 sketch AS (SELECT lang, source, measure, CASE WHEN value > 0 THEN ceil(ln(value) / ln({GAMMA}::DOUBLE)) END AS step, count(*) AS n FROM v GROUP BY ALL),
-j AS (SELECT m.*, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed, {', '.join(f'{_PICK[k]} AS max_{k}' for k in FLOOR)} FROM m LEFT JOIN {_thresholds('lang, source', 'f')} f ON m.lang IS NOT DISTINCT FROM f.lang AND m.source IS NOT DISTINCT FROM f.source LEFT JOIN {_thresholds('lang', 'c')} c ON m.lang IS NOT DISTINCT FROM c.lang CROSS JOIN {_thresholds('', 'a')} a)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {' AND '.join(f'coalesce({x} <= max_{k}, false)' for k, x in _RATE.items())} AS kept FROM j
+f AS {_quantiles('lang, source')}, c AS {_quantiles('lang')}, a AS {_quantiles('')}, cw AS (SELECT lang, measure, {_MIDDLE} FROM f GROUP BY 1, 2), aw AS (SELECT measure, {_MIDDLE} FROM f GROUP BY 1),
+t AS (SELECT f.lang, f.source, f.measure, CASE WHEN f.size >= {LEAST} THEN CASE WHEN c.size >= {LEAST} AND {_CUT['c']} > 0 THEN least({_CUT['f']}, {LOOSEST}::DOUBLE * {_CUT['c']}) ELSE {_CUT['f']} END WHEN c.size >= {LEAST} THEN {_CUT['c']} ELSE {_CUT['a']} END AS cut FROM f JOIN c ON f.lang IS NOT DISTINCT FROM c.lang AND f.measure = c.measure JOIN a ON a.measure = f.measure LEFT JOIN cw ON cw.lang IS NOT DISTINCT FROM f.lang AND cw.measure = f.measure LEFT JOIN aw ON aw.measure = f.measure),
+w AS (SELECT lang, source, {', '.join(f"max(CASE WHEN measure = '{k}' THEN cut END) AS max_{k}" for k in MEASURES)} FROM t GROUP BY 1, 2),
+j AS (SELECT m.*, (n_words < 10 OR 100 * n_repeat_words > 20 * n_words) AS base_failed, {', '.join(f'max_{k}' for k in MEASURES)} FROM m LEFT JOIN w ON m.lang IS NOT DISTINCT FROM w.lang AND m.source IS NOT DISTINCT FROM w.source)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND {' AND '.join(f'coalesce({c} <= max_{k} * {n} + {chance}::DOUBLE, false)' for k, (c, n, chance) in MEASURES.items())} AS kept FROM j
 """

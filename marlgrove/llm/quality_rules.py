@@ -3,17 +3,17 @@
 One pass measures every whole text. The measures are counted on a logarithmic grid (each step 2 %
 wide) per language, source and measure; such counts are a quantile sketch that merges by addition,
 whose quantiles are right to within 1 % of the value at any size, and that doesn't depend on the order
-of rows. A group's threshold for a measure lies as far above its median as ``SPREAD`` times the
-distance from there to its upper quantile ``UPPER``, and never below the ``FLOOR`` of that measure, so
-that a group of clean documents loses none for being alike. Groups of fewer than ``LEAST`` documents
-take their language's sketch, and languages of fewer the whole corpus's: sums of the same counts.
-
-That rule is op9's, whose SQL fixes it, and it follows junk: where over a tenth of a group is junk,
-``UPPER`` lies within the junk. ``robust`` thresholds, which the pipeline takes, read the spread below
-the median instead, from the quantile ``LOWER``, which junk of under four tenths can't reach: median
-plus ``SPREAD`` times that, at least ``MARGIN`` of the floor above the median and never below ``LOWEST``
-of it. A group goes above the floor only as far as its language does, so a group that is mostly junk
-is judged by its language; so is a clean group whose language is nowhere else like it.
+of rows. A group's cut for a measure lies ``SPREAD`` times the group's spread above its median. The
+spread is read below the median (from there down to the quantile ``LOWER``), which junk of up to four
+tenths of a group can't move. A measure of which half the group has nothing has no spread there; it takes
+that from the median to the quantile ``UPPER``, of the middle one of the language's groups (each with the
+same say, so that junk in some sources, however large, doesn't set it), or, if that is 0, of all groups. Nothing is
+fixed beforehand but what counts can't tell from chance: a document fails a measure if its count is
+over cut * size + ``CHANCE``.
+
+Groups of fewer than ``LEAST`` documents take their language's cut, and languages of fewer the whole
+corpus's, from sums of the same counts. A group's cut goes to ``LOOSEST`` times its language's at
+most, so a group that is mostly junk is judged by its language.
 
 Defined results: null text counts as empty and fails the base rule, as does any text of under 10
 words; null languages and sources are groups of their own; repeated rows are kept alike; texts of any
@@ -35,16 +35,19 @@ from .common import _SPACE, boxed, flat, gram_hashes, mix, powers, scratch, slic
 
 #: Width of the grid's steps.
 GAMMA = 1.02
-#: Documents that a group needs for thresholds of its own.
+#: Documents that a group needs for cuts of its own.
 LEAST = 200
-UPPER = 0.9
-SPREAD = 5.0
-#: Robust thresholds: the quantile that gives the spread, and shares of FLOOR.
-LOWER = 0.1
-MARGIN = 0.25
-LOWEST = 0.85
-#: Measures, and values up to which no group's threshold goes down.
-FLOOR = {"symbol_rate": 0.10, "word_length": 12.0, "dup_line_rate": 0.50, "repeat_rate": 0.20, "echo_rate": 0.30}
+LOWER, UPPER = 0.1, 0.9
+SPREAD = 8.0
+LOOSEST = 2.0
+#: Measures: count, what it is a share of, and by how much chance may raise the count.
+MEASURES = {
+    "symbol_rate": ("n_symbols", "n_words", 4),
+    "word_length": ("word_chars", "n_words", 4),
+    "dup_line_rate": ("n_dup_lines", "n_lines", 4),
+    "repeat_rate": ("n_repeat_words", "n_words", 10),
+    "echo_rate": ("n_echo_words", "n_words", 4),
+}
 
 _SYMBOLS = np.zeros(256, dtype=bool)
 _SYMBOLS[list(b"#*$%&|<>")] = True
@@ -116,9 +119,8 @@ def measures(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "lang", "source", "text").mapInArrow(run, "doc_id long, lang string, source string, " + ", ".join(f"{k} long" for k in _COUNTS))
 
 
-def _rates(tag: str = "") -> dict[str, Column]:
-    ratio = lambda a, b: F.when(F.col(tag + b) > 0, F.col(tag + a) / F.col(tag + b)).otherwise(0.0)
-    return {"symbol_rate": ratio("n_symbols", "n_words"), "word_length": ratio("word_chars", "n_words"), "dup_line_rate": ratio("n_dup_lines", "n_lines"), "repeat_rate": ratio("n_repeat_words", "n_words"), "echo_rate": ratio("n_echo_words", "n_words")}
+def _rates() -> dict[str, Column]:
+    return {k: F.when(F.col(n) > 0, F.col(c) / F.col(n)).otherwise(0.0) for k, (c, n, _) in MEASURES.items()}
 
 
 def sketches(measured: DataFrame) -> DataFrame:
@@ -138,36 +140,35 @@ def quantiles(sketch: DataFrame, keys: list[str]) -> DataFrame:
     return running.groupBy(*keys, "measure").agg(reach(0.5).alias("mid"), reach(UPPER).alias("high"), reach(LOWER).alias("low"), F.max("size").alias("size"))
 
 
-def thresholds(sketch: DataFrame, keys: list[str], robust: bool = False) -> DataFrame:
-    """One row a group of keys: its documents and the threshold of each measure."""
-    floor = F.create_map(*[x for k, v in FLOOR.items() for x in (F.lit(k), F.lit(v))])
-    floor = floor[F.col("measure")]
-    cut = F.greatest(F.col("mid") + SPREAD * (F.col("high") - F.col("mid")), floor)
-    if robust:
-        cut = F.greatest(F.col("mid") + F.greatest(SPREAD * (F.col("mid") - F.col("low")), MARGIN * floor), LOWEST * floor)
-    rows = quantiles(sketch, keys).withColumn("cut", cut)
-    return rows.groupBy(*keys).agg(F.max("size").alias("size"), *[F.max(F.when(F.col("measure") == k, F.col("cut"))).alias(f"max_{k}") for k in FLOOR])
+def cuts(sketch: DataFrame) -> DataFrame:
+    """The cut of each measure for each language and source, and where it is from."""
+    fine, coarse, whole = (quantiles(sketch, keys) for keys in (["lang", "source"], ["lang"], []))
+    rename = lambda df, tag: df.select(*[F.col(c).alias(f"{tag}_{c}") for c in df.columns])
+    middle = F.expr("percentile_disc(0.5) WITHIN GROUP (ORDER BY CASE WHEN f_size >= %d THEN f_high - f_mid END)" % LEAST).alias("wide")
+    fine = rename(fine, "f")
+    coarse = rename(coarse, "c").join(rename(fine.groupBy(F.col("f_lang").alias("lang"), F.col("f_measure").alias("measure")).agg(middle), "cw"), F.col("c_lang").eqNullSafe(F.col("cw_lang")) & (F.col("c_measure") == F.col("cw_measure")), "left")
+    whole = rename(whole, "a").join(rename(fine.groupBy(F.col("f_measure").alias("measure")).agg(middle), "aw"), F.col("a_measure") == F.col("aw_measure"), "left")
+    # whole is one row a measure.
+    rows = fine.join(coarse, F.col("f_lang").eqNullSafe(F.col("c_lang")) & (F.col("f_measure") == F.col("c_measure"))).join(F.broadcast(whole), F.col("f_measure") == F.col("a_measure"))
+    wide = F.coalesce(F.nullif("cw_wide", F.lit(0.0)), "aw_wide", F.col("a_high") - F.col("a_mid"))
+    cut = lambda tag: F.col(f"{tag}_mid") + SPREAD * F.when(F.col(f"{tag}_mid") > F.col(f"{tag}_low"), F.col(f"{tag}_mid") - F.col(f"{tag}_low")).otherwise(wide)
+    own, lang = F.col("f_size") >= LEAST, F.col("c_size") >= LEAST
+    bound = F.when(lang & (cut("c") > 0), F.least(cut("f"), LOOSEST * cut("c"))).otherwise(cut("f"))
+    level = F.when(own, "source").when(lang, "language").otherwise("corpus")
+    return rows.select("f_lang", "f_source", F.col("f_measure").alias("measure"), F.when(own, bound).when(lang, cut("c")).otherwise(cut("a")).alias("cut"), level.alias("level"))
 
 
-def limits(docs: DataFrame, robust: bool = False) -> tuple[DataFrame, DataFrame]:
-    """The counts of all documents, and one row of thresholds per language and source.
+def limits(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The counts of all documents, and one row of cuts per language and source.
 
     Both are written to the shared folder: the measures are taken once, and Spark knows the size of the
-    thresholds, which it broadcasts or, beyond its limit for that, joins by a shuffle whose skew it splits."""
+    cuts, which it broadcasts or, beyond its limit for that, joins by a shuffle whose skew it splits."""
     spark, at = docs.sparkSession, scratch(docs.sparkSession)
     measures(docs).write.parquet(f"{at}/measures")
     measured = spark.read.parquet(f"{at}/measures")
     sketches(measured).write.parquet(f"{at}/sketches")
-    sketch = spark.read.parquet(f"{at}/sketches")
-    rename = lambda df, tag: df.select(*[F.col(c).alias(f"{tag}_{c}") for c in df.columns])
-    fine, coarse, whole = (rename(thresholds(sketch, keys, robust), tag) for tag, keys in (("f", ["lang", "source"]), ("c", ["lang"]), ("a", [])))
-    # whole is one row, or none if no document has a word.
-    rows = fine.join(coarse, F.col("f_lang").eqNullSafe(F.col("c_lang")), "left").join(F.broadcast(whole), F.col("f_size") >= 0, "left")
-    own, lang = F.col("f_size") >= LEAST, F.col("c_size") >= LEAST
-    wide = {k: F.when(lang, F.col(f"c_max_{k}")).otherwise(F.col(f"a_max_{k}")) for k in FLOOR}
-    fits = {k: F.least(F.col(f"f_max_{k}"), F.greatest(wide[k], F.lit(v))) if robust else F.col(f"f_max_{k}") for k, v in FLOOR.items()}
-    rows = rows.select("f_lang", "f_source", *[F.when(own, fits[k]).otherwise(wide[k]).alias(f"max_{k}") for k in FLOOR])
-    rows.coalesce(1).write.parquet(f"{at}/limits")
+    rows = cuts(spark.read.parquet(f"{at}/sketches")).groupBy("f_lang", "f_source").agg(*[F.max(F.when(F.col("measure") == k, F.col("cut"))).alias(f"max_{k}") for k in MEASURES])
+    rows.write.parquet(f"{at}/limits")
     return measured, spark.read.parquet(f"{at}/limits")
 
 
@@ -175,8 +176,8 @@ def _verdict(measured: DataFrame, rows: DataFrame) -> DataFrame:
     joined = measured.join(rows, F.col("lang").eqNullSafe(F.col("f_lang")) & F.col("source").eqNullSafe(F.col("f_source")), "left")
     failed = (F.col("__n_words") < 10) | (100 * F.col("__n_repeat_words") > 20 * F.col("__n_words"))
     within = F.lit(True)
-    for k, rate in _rates("__").items():
-        within = within & (rate <= F.col(f"max_{k}"))
+    for k, (count, size, chance) in MEASURES.items():
+        within = within & (F.col(f"__{count}") <= F.col(f"max_{k}") * F.col(f"__{size}") + F.lit(float(chance)))
     return joined.withColumn("__failed", failed).withColumn("__kept", ~failed & F.coalesce(within, F.lit(False)))
 
 
@@ -187,9 +188,9 @@ def judge(docs: DataFrame) -> DataFrame:
     return judged.select("doc_id", *[F.col(f"__{k}").alias(k) for k in _COUNTS[:3] + _COUNTS[4:6]], F.col("__failed").alias("base_failed"), F.col("__kept").alias("kept"))
 
 
-def filter_docs(docs: DataFrame, robust: bool = False) -> DataFrame:
+def filter_docs(docs: DataFrame) -> DataFrame:
     """The documents that are kept, with all their columns. Texts aren't shuffled: they are measured again beside their thresholds."""
-    _, rows = limits(docs, robust)
+    _, rows = limits(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "doc.text"):

@@ -4,6 +4,7 @@ import collections
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from marlgrove.llm import hash_index, language_id, quality_rules, queries
@@ -40,15 +41,61 @@ def test_awkward_vectors(spark):
     assert not hash_index.nearest(df.limit(0), "vec_id % 20 = 0", 20).collect()
 
 
-def test_probing_finds_every_code_within_the_radius():
+def test_probing_finds_every_code_within_the_radius_once():
     rng = np.random.default_rng(0)
-    data = rng.normal(size=(500, 32))
+    data = rng.normal(size=(500, 30))
     coder = hash_index.Coder(data, np.linalg.norm(data, axis=1).max())
-    block = hash_index.Block(np.arange(500), data, coder)
     codes = coder.query_codes(data[:20])
     for radius in (0, 3, 7, 12):
-        want = np.bitwise_count(codes[:, None] ^ block.codes[None, :]) <= radius
-        assert (block.probe(codes, radius) == want).all()
+        apart = np.bitwise_count(codes[:, None] ^ coder.codes(data)[None, :])
+        index = hash_index.Index(coder, radius, 500)
+        found = collections.Counter()
+        for p in index.parts():
+            found.update(zip(*(x.tolist() for x in hash_index.Block(np.arange(500), data, coder, p, radius).probe(codes))))
+        assert found == collections.Counter(zip(*(x.tolist() for x in np.nonzero(apart <= radius))))
+
+
+def exact_nearest(x, ids, q, k=20):
+    score = x @ x[q]
+    score[ids == ids[q]] = -np.inf
+    return np.lexsort((ids, -score))[:k]
+
+
+@pytest.mark.parametrize("kind", ["isotropic", "clustered", "norms"])
+@pytest.mark.parametrize("block", [8192, 100])
+def test_recall_over_keys_and_splits(spark, monkeypatch, kind, block):
+    """Vectors without structure, in tight clusters (one of a third of all), and of norms that differ; small keys and splits too."""
+    monkeypatch.setattr(hash_index, "BLOCK", block)
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(1500, 24))
+    if kind == "clustered":
+        x = rng.normal(size=(40, 24))[np.where(rng.random(1500) < 0.33, 0, rng.integers(0, 40, 1500))] + 0.1 * x
+    if kind == "norms":
+        x *= rng.lognormal(0, 0.5, 1500)[:, None]
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in sorted(hash_index.nearest(df, "vec_id % 20 = 0", 20).collect(), key=lambda r: (r.query_id, r["rank"])):
+        got[r.query_id].append(r.vec_id)
+    assert sorted(got) == list(range(0, 1500, 20)) and all(len(v) == 20 for v in got.values())
+    hit = sum(len(set(v) & set(exact_nearest(x, np.arange(1500), q).tolist())) for q, v in got.items())
+    assert hit >= 0.9 * 20 * len(got)
+
+
+def test_queries_far_from_all_are_asked_of_all_rows(spark):
+    """A query whose neighbours' codes are beyond the radius gets its exact neighbours."""
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(8, 16))[rng.integers(0, 8, 2000)] + 0.02 * rng.normal(size=(2000, 16))
+    x[0] = rng.normal(size=16)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = [r.vec_id for r in sorted(hash_index.nearest(df, "vec_id % 20 = 0", 20).filter("query_id = 0").collect(), key=lambda r: r["rank"])]
+    assert got == exact_nearest(x, np.arange(2000), 0).tolist()
+
+
+def test_repeated_ids_of_vectors(spark):
+    """Rows of one id are one query; equal rows are one result."""
+    df = spark.createDataFrame([(0, [1.0, 0.0]), (0, [0.0, 1.0]), (1, [1.0, 0.1]), (1, [1.0, 0.1]), (2, [0.2, 3.0])], "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in hash_index.nearest(df, "vec_id % 20 = 0", 2).collect())
+    assert got == [(0, 1, 2, 3.0), (0, 2, 1, 1.0)]
 
 
 def viterbi(scores):
@@ -134,7 +181,7 @@ def test_quantiles_of_the_sketch(spark):
     values = rng.integers(1, 1000, 5000)
     df = spark.createDataFrame([("en", "s", 100, int(v), 0, 1, 0, 0, 0) for v in values], "lang string, source string, n_words long, word_chars long, n_symbols long, n_lines long, n_dup_lines long, n_repeat_words long, n_echo_words long")
     r = quality_rules.quantiles(quality_rules.sketches(df), ["lang"]).filter("measure = 'word_length'").first()
-    for got, q in ((r.mid, 0.5), (r.high, quality_rules.UPPER)):
+    for got, q in ((r.mid, 0.5), (r.high, quality_rules.UPPER), (r.low, quality_rules.LOWER)):
         assert abs(got / np.quantile(values / 100, q, method="inverted_cdf") - 1) < 0.011
 
 
@@ -142,7 +189,7 @@ def test_clean_documents_stay_and_junk_goes(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{x}.parquet") for x in ("documents", "labels"))
     got = quality_rules.judge(docs).join(labels, "doc_id").toPandas()
     good, bad = got[(got.quality == 1) & ~got.base_failed], got[got.quality == 0]
-    assert good.kept.mean() > 0.99 and bad.kept.mean() < 0.35
+    assert good.kept.mean() > 0.99 and bad.kept.mean() < 0.1
     kept = quality_rules.filter_docs(docs)
     assert kept.columns == docs.columns and kept.count() == quality_rules.judge(docs).filter("kept").count()
 
@@ -161,14 +208,6 @@ def test_junk_does_not_set_its_own_threshold(spark, sf):
     assert got == {"clean-a": 300, "clean-b": 100, "clean-c": 900}
 
 
-def test_robust_thresholds_keep_clean_documents(spark):
-    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{x}.parquet") for x in ("documents", "labels"))
-    base = quality_rules.judge(docs).filter("not base_failed").select("doc_id")
-    both = base.join(labels, "doc_id").join(quality_rules.filter_docs(docs, robust=True).select("doc_id", F.lit(1).alias("stays")), "doc_id", "left").toPandas()
-    stays = both.stays.notna()
-    assert stays[both.quality == 1].mean() > 0.99 and stays[both.quality == 0].mean() < 0.1
-
-
 def test_quality_of_no_rows(nothing):
     assert not quality_rules.judge(nothing).collect() and not quality_rules.filter_docs(nothing).collect()
 
