@@ -23,16 +23,16 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return joined.filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).union(joined.select("a", F.col("m").alias("b"))).distinct()
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, root (the least node of its component, never the node itself) from pairs of longs a, b.
 
-    Every node of an edge but the roots is in the result once. Each round's edges are checkpointed."""
+    Every node of an edge but the roots is in the result once. Each round's edges are checkpointed. Rounds
+    go on until the edges stay as they are, after a number of them that grows with the logarithm of the nodes."""
     edges = edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct().checkpoint()
     seen = None
-    for _ in range(most_rounds):
+    while True:
         edges = _small_star(_large_star(edges)).checkpoint()
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if now == seen:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("root"))
         seen = now
-    raise RuntimeError("components did not settle")

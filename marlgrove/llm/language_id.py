@@ -11,8 +11,10 @@ part do together, no switch can pay.
 All texts of a batch are tested at once, and the others are labelled at once, word by word.
 
 Learning uses about ``SAMPLE_DOCS`` labelled documents, chosen by a hash, in whole; all of them if
-there are no more. The model has ``LANGS`` languages at most (the most frequent) and ``BUCKETS``
-n-gram buckets, so what is broadcast is bounded by 4 * LANGS * BUCKETS bytes.
+there are no more. Each language has an equal share of them or, if it has fewer, all it has, and
+``LANG_DOCS`` of them at least, so that a rare one doesn't vanish. All languages that are labelled are
+learned. The model has ``CELLS`` scores, as n-gram buckets by languages, up to 4 * CELLS bytes; beyond
+CELLS / LEAST_BUCKETS languages it grows with their number alone.
 
 Defined results: null text and texts without a letter are ``und`` with score 0, as is every text if
 nothing is labelled; ties go to the first language in order of its name; repeated rows are labelled
@@ -32,8 +34,11 @@ from pyspark.sql import functions as F
 from .common import mix, powers, slices, texts
 
 SAMPLE_DOCS = 20_000
-LANGS = 200
+LANG_DOCS = 50
+#: Most n-gram buckets, fewest, and buckets times languages.
 BUCKETS = 1 << 15
+LEAST_BUCKETS = 1 << 11
+CELLS = 1 << 23
 #: Sizes of the n-grams, in bytes.
 GRAMS = (2, 3, 4)
 #: Log-likelihood that a switch of language must win.
@@ -84,8 +89,8 @@ def letters_of(word: bytes) -> tuple[bytes, int, int]:
     return text.encode(), len(text), bits
 
 
-def gram_buckets(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of all n-grams of ' word ' and, for each, the word's number; words are not empty."""
+def gram_buckets(words: list[bytes], n_buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets (a power of 2) of all n-grams of ' word ' and, for each, the word's number; words are not empty."""
     data = np.frombuffer(b"".join([b" " + w + b" " for w in words]), np.uint8).astype(np.uint64) + np.uint64(1)
     owner = np.repeat(np.arange(len(words)), [len(w) + 2 for w in words])
     p, buckets, owners = powers(max(GRAMS) + 2), [], []
@@ -97,7 +102,7 @@ def gram_buckets(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         for j in range(k):
             h += data[j : j + n] * p[j + 1]
         whole = owner[:n] == owner[k - 1 :]
-        buckets.append((mix(h) % np.uint64(BUCKETS)).astype(np.int64)[whole])
+        buckets.append((mix(h) & np.uint64(n_buckets - 1)).astype(np.int64)[whole])
         owners.append(owner[:n][whole])
     return np.concatenate(buckets), np.concatenate(owners)
 
@@ -109,18 +114,32 @@ class Model:
         self.langs, self.table, self.scripts = langs, table.astype(np.float32), scripts
 
 
+def share_of(sizes: list[int], most: int) -> int:
+    """The documents a language may give, so that all give about ``most`` together; LANG_DOCS at least."""
+    left = most
+    for k, n in enumerate(sorted(sizes)):
+        if n * (len(sizes) - k) > left:
+            return max(LANG_DOCS, left // (len(sizes) - k))
+        left -= n
+    return max([LANG_DOCS, *sizes])
+
+
 def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
     """From documents whose lang isn't null; callers leave out those held out."""
     labelled = docs.select("doc_id", "lang", "text").filter("lang is not null and text is not null")
-    n = max(1, labelled.select("lang").count())
-    if n > sample_docs:
-        labelled = labelled.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * sample_docs / n))
-    frequent = labelled.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGS).select("lang")
-    langs = sorted(r[0] for r in frequent.collect())
+    sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # one row a language
+    langs = sorted(sizes)
     number = {name: k for k, name in enumerate(langs)}
+    share = share_of(list(sizes.values()), sample_docs)
+    n_buckets = BUCKETS
+    while n_buckets > LEAST_BUCKETS and n_buckets * len(langs) > CELLS:
+        n_buckets //= 2
+    if any(n > share for n in sizes.values()):
+        rates = docs.sparkSession.createDataFrame([(k, int((1 << 30) * min(1.0, share / n))) for k, n in sizes.items()], "lang string, __rate long")
+        labelled = labelled.join(F.broadcast(rates), "lang").filter(F.pmod(F.xxhash64("doc_id", F.crc32("text")), F.lit(1 << 30)) < F.col("__rate")).drop("__rate")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((len(langs), BUCKETS + _OTHER.bit_length()), np.int64)
+        total = np.zeros((len(langs), n_buckets + _OTHER.bit_length()), np.int64)
         for batch in slices(batches):
             count: dict[int, dict[bytes, int]] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), texts(batch.column("text"))):
@@ -132,21 +151,21 @@ def learn(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> Model:
                 known = [(*letters_of(w), n) for w, n in own.items()]
                 known = [x for x in known if x[1]]
                 if known:
-                    buckets, owner = gram_buckets([x[0] for x in known])
+                    buckets, owner = gram_buckets([x[0] for x in known], n_buckets)
                     times = np.array([x[3] for x in known])
-                    total[lang, :BUCKETS] += np.bincount(buckets, weights=times[owner], minlength=BUCKETS).astype(np.int64)
+                    total[lang, :n_buckets] += np.bincount(buckets, weights=times[owner], minlength=n_buckets).astype(np.int64)
                     for _, size, bits, n in known:
                         for k in range(_OTHER.bit_length()):
                             if bits >> k & 1:
-                                total[lang, BUCKETS + k] += n * size
+                                total[lang, n_buckets + k] += n * size
         lang, cell = np.nonzero(total)
         yield pa.record_batch({"lang": pa.array(lang.astype(np.int32)), "cell": pa.array(cell.astype(np.int32)), "n": pa.array(total[lang, cell])})
 
     cells = labelled.mapInArrow(run, "lang int, cell int, n long").groupBy("lang", "cell").agg(F.sum("n").alias("n")).toPandas() if langs else None
-    total = np.zeros((len(langs), BUCKETS + _OTHER.bit_length()))
+    total = np.zeros((len(langs), n_buckets + _OTHER.bit_length()))
     if langs:
         total[cells["lang"].to_numpy(), cells["cell"].to_numpy()] = cells["n"].to_numpy()
-    grams, letters = total[:, :BUCKETS] + 0.5, total[:, BUCKETS:]
+    grams, letters = total[:, :n_buckets] + 0.5, total[:, n_buckets:]
     share = letters / np.maximum(1, letters.sum(axis=1, keepdims=True))
     scripts = ((share >= SCRIPT_SHARE) * (1 << np.arange(_OTHER.bit_length()))).sum(axis=1)
     return Model(langs, np.log(grams / grams.sum(axis=1, keepdims=True)).T, scripts)
@@ -180,7 +199,7 @@ class Labeller:
         if full.size:
             for begin in range(0, full.size, 20_000):
                 some = full[begin : begin + 20_000]
-                buckets, owner = gram_buckets([known[i][0] for i in some])
+                buckets, owner = gram_buckets([known[i][0] for i in some], self.model.table.shape[0])
                 for lang in range(part.shape[1]):
                     part[some, lang] = np.bincount(owner, weights=self.model.table[buckets, lang], minlength=some.size)
             fits = (bits[:, None] & self.model.scripts[None, :]) != 0

@@ -3,11 +3,15 @@
 A document's set has the hashes of its distinct five-word shingles. Equal sets are one class, of
 which one representative goes on. In each of several independent trees, a class goes to the node
 of its ``FIRST`` minwise tokens: similar sets choose the same token with a probability of their
-similarity. Nodes of at most ``NODE`` classes are compared exhaustively by sketches, larger ones in
-pairs of blocks, so that each two classes of a node are compared at any size. Pairs at or above the
-threshold s miss each other with probability (1 - s**3)**trees, 2.4e-7 at 0.85, and the sketches drop
-them with as little. Trees and the sketches' cut follow from the threshold (``Join``); at 0.80 there
-are 22 trees, at 0.85 there are 16.
+similarity. Pairs at or above the threshold s miss each other with probability (1 - s**3)**trees, 2.4e-7
+at 0.85, and the sketches drop them with as little. Trees and the sketches' cut follow from the threshold
+(``Join``); at 0.80 there are 22 trees, at 0.85 there are 16.
+
+Nodes of at most ``NODE`` classes are compared exhaustively by sketches. One of more than ``BRANCH`` times
+as many branches again, by ``NEXT`` further tokens in so many independent forks that a pair at the
+threshold misses them all with as little, wherever the children's pairs, all forks together, are fewer
+than its own; so do the children. Others are compared in pairs of blocks, so that each two classes of
+such a node are compared at any size.
 
 Nodes emit only star edges of what the sketches link, whose components (a superset of the true ones)
 bring the full sets together: there all links are confirmed on the sets, component by component,
@@ -38,6 +42,9 @@ from .components import components
 MISS = 2.5e-7
 #: Minwise tokens of a tree's nodes.
 FIRST = 3
+#: Times NODE from which a node branches again, and the minwise tokens of such a branch.
+BRANCH = 16
+NEXT = 2
 #: Values of a sketch, unless the trees need more tokens.
 VALUES = 128
 #: Classes that a task compares by sketches at once.
@@ -60,6 +67,17 @@ class Join:
         together = (self.percent / 100) ** FIRST
         return 1 if together == 1 else math.ceil(math.log(MISS) / math.log1p(-together))
 
+    @property
+    def forks(self) -> int:
+        """Independent branchings of a large node."""
+        together = (self.percent / 100) ** NEXT
+        return 1 if together == 1 else math.ceil(math.log(MISS) / math.log1p(-together))
+
+    @property
+    def levels(self) -> int:
+        """How often a node can branch again by values that no branch before it used."""
+        return max(0, (self.tokens - self.trees * FIRST) // (NEXT * self.forks))
+
     @property
     def tokens(self) -> int:
         return max(VALUES, self.trees * FIRST)
@@ -235,13 +253,34 @@ def _blocks(rows: DataFrame, key: str, count: str, most: int) -> DataFrame:
     return met.withColumn("task", task).drop("__block", "__other")
 
 
+def branched(nodes: DataFrame, reps: DataFrame, join: Join, level: int) -> DataFrame:
+    """The nodes (rep, node, members, whole), those that are large replaced by their children where these have fewer pairs, else ``whole``."""
+    large = nodes.filter((F.col("members") > BRANCH * NODE) & ~F.col("whole"))
+    first = join.trees * FIRST + level * NEXT * join.forks
+    fork = lambda i: F.xxhash64("node", F.lit(i), F.substring("sketch", 2 * (first + NEXT * i) + 1, 2 * NEXT))
+    forked = large.join(reps.select("rep", "sketch"), "rep").select("rep", "node", "members", F.explode(F.array(*[fork(i) for i in range(join.forks)])).alias("child"))
+    sizes = forked.groupBy("node", "members", "child").agg(F.count("*").alias("n"))
+    square = F.col("n").cast("double") * F.col("n")
+    better = sizes.groupBy("node", "members").agg(F.sum(square).alias("pairs")).filter(F.col("pairs") < F.col("members").cast("double") * F.col("members")).select("node")
+    split = sizes.join(better, "node", "left_semi").filter("n > 1").select("child", "n")
+    children = forked.select("rep", "child").join(split, "child").select("rep", F.col("child").alias("node"), F.col("n").alias("members"), F.lit(False).alias("whole"))
+    kept = large.join(better, "node", "left_anti").select("rep", "node", "members", F.lit(True).alias("whole"))
+    return nodes.filter((F.col("members") <= BRANCH * NODE) | F.col("whole")).unionByName(kept).unionByName(children)
+
+
 def candidate_edges(reps: DataFrame, at: str, join: Join) -> DataFrame:
     """Edges between classes that the sketches link in some node of some tree."""
     spark = reps.sparkSession
     rows = reps.select("rep", F.explode("paths").alias("node"))
     shared = rows.groupBy("node").agg(F.count("*").alias("members")).filter("members > 1")
-    rows.join(shared, "node").write.parquet(f"{at}/nodes")
-    met = _blocks(spark.read.parquet(f"{at}/nodes"), "node", "members", NODE).select("rep", F.col("task").alias("node"))
+    rows.join(shared, "node").withColumn("whole", F.lit(False)).write.parquet(f"{at}/nodes")
+    nodes = spark.read.parquet(f"{at}/nodes")
+    for level in range(join.levels):
+        if nodes.filter((F.col("members") > BRANCH * NODE) & ~F.col("whole")).isEmpty():
+            break
+        branched(nodes, reps, join, level).write.parquet(f"{at}/nodes-{level}")
+        nodes = spark.read.parquet(f"{at}/nodes-{level}")
+    met = _blocks(nodes, "node", "members", NODE).select("rep", F.col("task").alias("node"))
     full = met.join(reps.select("rep", "n_shingles", "sketch"), "rep")
     return deal(full, "node").sortWithinPartitions("node", "rep").mapInArrow(node_edges(join), "a long, b long")
 

@@ -142,10 +142,11 @@ def test_pipeline_links_from_80_percent(spark, sf):
     assert near_dedup.filter_docs(df).count() == 200
 
 
-@pytest.mark.parametrize("node, block", [(1, 8192), (10, 10)])
-def test_pairs_in_large_nodes_are_found(spark, monkeypatch, node, block):
-    """Pairs of 0.85 among documents that share boilerplate meet whatever the size of nodes and blocks."""
+@pytest.mark.parametrize("node, block, branch", [(1, 8192, 10**9), (10, 10, 10**9), (10, 10, 2), (4, 8192, 1)])
+def test_pairs_in_large_nodes_are_found(spark, monkeypatch, node, block, branch):
+    """Pairs of 0.85 among documents that share boilerplate meet whatever the size of nodes and blocks, branched again or not."""
     monkeypatch.setattr(near_dedup, "NODE", node)
+    monkeypatch.setattr(near_dedup, "BRANCH", branch)
     monkeypatch.setattr(near_dedup, "BLOCK", block)
     base = [f"b{i}" for i in range(40)]
     made = []
@@ -159,6 +160,19 @@ def test_pairs_in_large_nodes_are_found(spark, monkeypatch, node, block):
     assert got == {d: d - d % 2 for d, _ in made}
 
 
+def test_large_nodes_branch(spark, monkeypatch):
+    """A node of documents that share a tenth of their words only has far smaller children; one that can't shrink stays whole."""
+    monkeypatch.setattr(near_dedup, "NODE", 4)
+    monkeypatch.setattr(near_dedup, "BRANCH", 1)
+    join, rng = near_dedup.Join(85), np.random.default_rng(0)
+    sketches = [(i, rng.integers(0, 256, 2 * join.tokens).astype(np.uint8).tobytes()) for i in range(200)] + [(i, bytes(2 * join.tokens)) for i in range(200, 260)]
+    reps = spark.createDataFrame(sketches, "rep long, sketch binary")
+    nodes = spark.createDataFrame([(i, 1 if i < 200 else 2, 200 if i < 200 else 60, False) for i in range(260)], "rep long, node long, members long, whole boolean")
+    got = near_dedup.branched(nodes, reps, join, 0).collect()
+    assert sorted(r.rep for r in got if r.whole) == list(range(200, 260))
+    assert all(r.members < 10 for r in got if not r.whole)
+
+
 def test_one_doc_id_with_two_texts(spark):
     df = spark.createDataFrame([(1, "a b c d e f g"), (1, "h i j k l m n"), (2, "a b c d e f g"), (3, "h i j k l m n")], "doc_id long, text string")
     assert sorted((r.doc_id, r.component_id) for r in near_dedup.near_duplicates(df).collect()) == [(1, 1), (1, 1), (2, 1), (3, 1)]

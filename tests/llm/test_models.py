@@ -142,6 +142,24 @@ def test_held_out_accuracy(spark):
     assert got.score.between(0, 1).all()
 
 
+def test_rare_and_many_languages_are_learned(spark, monkeypatch):
+    """Of 300 languages, one with a third of all documents, each is learned from a small sample and found again; buckets give way to languages."""
+    monkeypatch.setattr(language_id, "CELLS", 1 << 21)
+    words = [[f"{chr(97 + k % 26)}{chr(97 + k // 26)}{x}" for x in ("orn", "ilt", "esk", "abu", "oth")] for k in range(300)]
+    docs = [(10_000 * k + i, " ".join(words[k]), f"l{k}") for k in range(300) for i in range(1500 if k == 7 else 10)]
+    df = spark.createDataFrame(docs, "doc_id long, text string, lang string")
+    model = language_id.learn(df, sample_docs=1000)
+    assert len(model.langs) == 300 and model.table.shape == (4096, 300)
+    got = language_id.identify(df.dropDuplicates(["lang"]), model).join(df, "doc_id").toPandas()
+    assert (got.lang == got.lang_pred).mean() > 0.98
+
+
+def test_share_of_languages():
+    assert language_id.share_of([], 100) == language_id.LANG_DOCS
+    assert language_id.share_of([10, 2000, 3000], 2000) == 995
+    assert language_id.share_of([10, 20], 2000) == 50
+
+
 def test_mixed_text_has_spans(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     model = language_id.learn(docs)
