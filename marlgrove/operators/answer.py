@@ -96,6 +96,13 @@ def rewritten(c: Column) -> Column:
     return F.when(F.size(expanded(c)) == 0, c).otherwise(F.concat(c, F.lit(" "), F.array_join(expanded(c), " ")))
 
 
+def sub_queries(c: Column) -> Column:
+    """The query, the query with each of its first four expansion terms, and its entities with the first two; once each."""
+    terms, named = expanded(c), F.array_join(entities(c), " ")
+    more = F.concat(F.transform(F.slice(terms, 1, 4), lambda x: F.concat(c, F.lit(" "), x)), F.when(named != "", F.transform(F.slice(terms, 1, 2), lambda x: F.concat(named, F.lit(" "), x))).otherwise(F.array().cast("array<string>")))
+    return F.array_distinct(F.concat(F.array(c), more))
+
+
 def depth(intent_: Column, default: int = 10) -> Column:
     out = None
     for k, v in DEPTHS.items():
@@ -136,6 +143,19 @@ def on_topic(topics_: Column, text: Column) -> Column:
     return F.exists(F.slice(topics_, 1, 6), lambda x: F.contains(body, F.lower(x)))
 
 
+def with_answerability(df: DataFrame) -> DataFrame:
+    """Ranked chunks (text of the query, chunk_text, label) with their answerability."""
+    q = F.col("text")
+    return df.withColumn("answerability", answerability(q, intent(q), F.col("chunk_text"), F.col("label"), entities(q)))
+
+
+def with_precision(df: DataFrame) -> DataFrame:
+    """The same with precision_score: their score, answerability, and what section, topics and citations add."""
+    q, body = F.col("text"), F.col("chunk_text")
+    bonus = precision_bonus(intent(q), F.col("label"), on_topic(topics(q), body), t.citation_density_quality(body))
+    return df.withColumn("precision_score", t.rounded(F.col("score") + F.col("answerability") * 0.30 + bonus, 6))
+
+
 def keep_answerable(df: DataFrame, score: str = "answerability", least: float = 0.15) -> DataFrame:
     """Rows at or above the threshold; all of a query's rows if none is."""
     return df.withColumn("__top", F.max(score).over(Window.partitionBy("query_id"))).filter((F.col(score) >= least) | (F.col("__top") < least)).drop("__top")
@@ -152,11 +172,35 @@ def first_merge(sets: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, tagged).groupBy("query_id", "chunk_id").agg(F.min_by("score", "set").alias("score"), F.min("set").alias("from_set"))
 
 
-def lexical_rescue(terms: Column, text: Column) -> Column:
-    """0.9 + 0.15 for each unit of terms that the text holds (several words 1, one word 0.5); 0 if it holds none."""
-    body = F.lower(text)
-    s = F.aggregate(terms, F.lit(0.0), lambda a, x: a + F.when(F.contains(body, F.lower(x)), F.when(x.contains(" "), 1.0).otherwise(0.5)).otherwise(0.0))
-    return F.when(s > 0, t.rounded(s * 0.15 + 0.9, 6)).otherwise(F.lit(0.0))
+def best_sentence(text: Column, query: Column) -> Column:
+    """The sentence with the most distinct words of the query; of equals the longest, then the first."""
+    asked = F.array_distinct(t.found(F.lower(query), OVERLAP_WORD))
+    all_ = F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), t.strip), lambda x: x != "")
+    scored = F.transform(all_, lambda s, i: F.struct(F.size(F.array_intersect(asked, t.found(F.lower(s), OVERLAP_WORD))).alias("hits"), F.length(s).alias("n"), (-i).alias("at"), s.alias("s")))
+    return F.array_max(scored)["s"]
+
+
+def citation_label(paper: Column, section: Column) -> Column:
+    return F.concat(F.lit("["), paper, F.lit(" §"), section, F.lit("]"))
+
+
+def structured_answers(df: DataFrame, cited: int = 4, quote: int = 900) -> DataFrame:
+    """query_id, answer, evidence, citations, pieces, chunk_ids of ranked chunks (query_id, rank, chunk_id, paper_id, label, chunk_text, text).
+
+    The answer has the best sentence of each of the first chunks with its citation; the evidence is the beginning
+    of every chunk."""
+    label = citation_label(F.col("paper_id"), F.col("label"))
+    rows = df.withColumns({"said": F.when(F.col("rank") <= cited, F.concat(best_sentence(F.col("chunk_text"), F.col("text")), F.lit(" "), label)), "cited": F.when(F.col("rank") <= cited, label), "quote": F.substring("chunk_text", 1, quote)})
+    listed = rows.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "said", "cited", "quote"))).alias("rows"))
+    pick = lambda name: F.filter(F.transform("rows", lambda r: r[name]), lambda x: x.isNotNull())
+    return listed.select("query_id", F.array_join(pick("said"), " ").alias("answer"), F.array_join(pick("quote"), "\n").alias("evidence"), F.size(F.array_distinct(F.transform(F.filter("rows", lambda r: r["said"].isNotNull()), lambda r: r["cited"]))).cast("long").alias("citations"), F.size("rows").cast("long").alias("pieces"), pick("chunk_id").alias("chunk_ids"))
+
+
+def with_grounding(df: DataFrame) -> DataFrame:
+    """Answers with n_claims, unsupported_ratio, score and the coverage of their claims by citations."""
+    out = df.withColumn("g", grounding(F.col("answer"), F.col("evidence"), F.col("citations"), F.col("pieces")))
+    out = out.select(*df.columns, "g.*")
+    return out.withColumn("coverage", F.least(F.col("citations") / F.greatest(F.col("n_claims"), F.lit(1)), F.lit(1.0)))
 
 
 def claims(c: Column) -> Column:
@@ -183,6 +227,12 @@ def grounding(answer: Column, evidence: Column, citations: Column, pieces: Colum
     return t.let(claims(answer), body)
 
 
+def contrast_share(answer: Column) -> Column:
+    """The share of an answer's claims that mark a contrast."""
+    marks = ("however", "in contrast", "whereas", "but")
+    return t.let(claims(answer), lambda all_: t.rounded(F.least(F.size(F.filter(all_, lambda x: any_of(F.lower(x), marks))) / F.greatest(F.size(all_), F.lit(1)), F.lit(1.0)), 6))
+
+
 def hallucination(unsupported: Column, coverage: Column, citations: Column, pieces: Column) -> Column:
     return t.rounded(F.least(F.lit(1.0), unsupported * 0.55 + (1 - coverage) * 0.25 + (1 - F.least(citations / F.greatest(pieces, F.lit(1)), F.lit(1.0))) * 0.20), 6)
 
@@ -223,16 +273,18 @@ def contradictions(df: DataFrame) -> DataFrame:
     return met.select("query_id", F.col("chunk_id").alias("a"), F.col("b_chunk_id").alias("b"))
 
 
-def compress(df: DataFrame, most_alike: float = 0.72, share: float = 0.5) -> DataFrame:
-    """query_id, chunk_id of the chunks that a greedy choice keeps: each query's rows by rank; one too like a kept one, or whose
-    trade of score against likeness is negative, is dropped; at most half are kept. Folded inside the group's array."""
-    toks = F.array_distinct(t.found(F.lower("chunk_text"), OVERLAP_WORD))
-    listed = df.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("rank", "chunk_id", "score", toks.alias("w")))).alias("rows"))
+def compress(df: DataFrame, most_alike: float = 0.72, share: float = 0.5, most_sentences: int = 2) -> DataFrame:
+    """query_id, place, chunk_id of the chunks that a greedy choice keeps: each query's rows by score, the first in any case; one too
+    like a kept one, or whose trade of score against likeness is negative, is dropped; at most half are kept. Likeness is
+    of the chunks' first sentences. Folded inside the group's array."""
+    head = F.array_join(F.slice(claims(F.col("chunk_text")), 1, most_sentences), " ")
+    toks = F.array_distinct(t.found(F.lower(head), OVERLAP_WORD))
+    listed = df.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("order"), "chunk_id", "score", toks.alias("w")))).alias("rows"))
     kept0 = F.array().cast("array<struct<chunk_id:bigint,w:array<string>>>")
 
     def step(kept, r):
         alike = F.aggregate(kept, F.lit(0.0), lambda m, k: F.greatest(m, t.jaccard(k["w"], r["w"])))
-        drop = (alike > most_alike) | (r["score"] * 0.7 - alike * 0.3 < 0)
+        drop = (F.size(kept) > 0) & ((alike > most_alike) | (r["score"] * 0.7 - alike * 0.3 < 0))
         return F.when(drop, kept).otherwise(F.concat(kept, F.array(F.struct(r["chunk_id"].alias("chunk_id"), r["w"].alias("w")))))
 
     kept = F.aggregate("rows", kept0, step, lambda k: F.transform(k, lambda x: x["chunk_id"]))

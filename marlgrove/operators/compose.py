@@ -21,6 +21,14 @@ def flag_for_review(retrieval: Column, noise: Column, integrity: Column, anomaly
     return (retrieval < 0.52) | (noise > 0.28) | (integrity < 0.62) | (anomaly > 0.4)
 
 
+def structure(text: Column) -> dict[str, Column]:
+    """coherence, noise and integrity of a chunk that nothing was repaired in."""
+    length = t.token_estimate(text) / F.greatest(F.lit(1), t.count(text, r"[.!?]"))
+    coherence = t.unit(1 - F.abs(length - 24) / 32, 4)
+    noise = t.unit(t.count(text, r"[^\p{L}\p{N}_\s.,;:()\-]") / F.greatest(F.length(text), F.lit(1)) * 4, 4)
+    return {"coherence": coherence, "noise": noise, "integrity": t.unit(F.lit(0.45) + (1 - noise) * 0.3 + coherence * 0.25, 4)}
+
+
 def strong_boundary(before: Column, now: Column) -> Column:
     return before.rlike(r"[.!?]$") & now.rlike(r"^\p{Lu}")
 
@@ -80,18 +88,6 @@ def cited(text: Column, labels: Column) -> Column:
     return F.when((F.size(labels) == 0) | (text == ""), text).otherwise(F.array_join(F.transform(listed, mark), " "))
 
 
-def citation_label(paper: Column, section: Column) -> Column:
-    return F.concat(F.lit("["), paper, F.lit(" §"), section, F.lit("]"))
-
-
-def best_sentence(text: Column, query: Column) -> Column:
-    """The sentence with the most distinct words of the query; of equals the longest, then the first."""
-    asked = F.array_distinct(t.found(F.lower(query), a.OVERLAP_WORD))
-    all_ = F.filter(F.transform(F.split(text, r"(?<=[.!?])\s+"), t.strip), lambda x: x != "")
-    scored = F.transform(all_, lambda s, i: F.struct(F.size(F.array_intersect(asked, t.found(F.lower(s), a.OVERLAP_WORD))).alias("hits"), F.length(s).alias("n"), (-i).alias("at"), s.alias("s")))
-    return F.array_max(scored)["s"]
-
-
 def reflection(unsupported: Column, pieces: Column, contradiction: Column) -> Column:
     """What to do about an answer, in order."""
     steps = (("retry_retrieval", unsupported > 0), ("expand_retrieval", pieces < 3), ("inspect_contradictions", contradiction > 0.1))
@@ -133,6 +129,11 @@ def abstract(summaries: Column, most: int = 650) -> Column:
     return t.strip(F.substring(F.array_join(F.slice(F.filter(summaries, lambda s: s != ""), 1, 3), " "), 1, most))
 
 
+def least_rows(df: DataFrame, group: str, order: str, n: int) -> DataFrame:
+    """The n rows of least order of each group; cut before and after the shuffle, so a large group is no large task."""
+    return df.withColumn("__r", F.row_number().over(Window.partitionBy(group).orderBy(order))).filter(F.col("__r") <= n).drop("__r")
+
+
 def column_spread(blocks: DataFrame, most: float = 120.0) -> DataFrame:
     """paper_id, page_no, multi_column of pages by the spread of their blocks' left edges (paper_id, page_no, x0)."""
     return blocks.groupBy("paper_id", "page_no").agg(((F.count("*") >= 2) & (F.max("x0") - F.min("x0") > most)).alias("multi_column"))
@@ -140,4 +141,4 @@ def column_spread(blocks: DataFrame, most: float = 120.0) -> DataFrame:
 
 def review_sample(chunks: DataFrame, n: int, least: float = 0.0, seed: int = 7) -> DataFrame:
     """n chunks of at least that quality, in an order that a hash gives."""
-    return chunks.filter(F.col("retrieval_quality_score") >= least).orderBy(F.xxhash64("chunk_id", F.lit(seed)), "chunk_id").limit(n)
+    return chunks.filter(F.col("retrieval_quality_score") >= least).orderBy(F.sha2(F.concat("chunk_id", F.lit(f"-{seed}")), 256), "chunk_id").limit(n)

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..sources.scratch import written
 
 # The index's tokens and the constants of BM25 and of rank fusion.
 BM25_TOKEN = r"[a-z0-9][a-z0-9_\-\.]+"
@@ -36,28 +37,40 @@ def ranked(df: DataFrame, score: str, k: int | None = None, by: str = "query_id"
     return out.filter(F.col(rank) <= k) if k else out
 
 
+#: Distinct terms of a batch of queries up to which they are sent to all tasks; more meet the corpus's by a shuffle.
+SENT_TERMS = 200_000
+
+
 def postings(chunks: DataFrame) -> DataFrame:
     """chunk_id, term, tf, dl (the chunk's tokens)."""
     listed = chunks.select("chunk_id", tokens(F.col("chunk_text")).alias("ts"))
     return listed.select("chunk_id", F.size("ts").alias("dl"), F.explode("ts").alias("term")).groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.first("dl").alias("dl"))
 
 
-def corpus_stats(chunks: DataFrame) -> DataFrame:
-    """One row: n chunks and their mean number of tokens."""
-    return chunks.agg(F.count("*").alias("n"), F.avg(F.size(tokens(F.col("chunk_text")))).alias("avgdl"))
+def corpus_stats(postings_: DataFrame, chunks: DataFrame) -> DataFrame:
+    """One row: n chunks and their mean number of tokens; the chunks' texts aren't read."""
+    return postings_.agg(F.coalesce(F.sum("tf"), F.lit(0)).alias("tokens")).crossJoin(F.broadcast(chunks.agg(F.count("*").alias("n")))).select("n", (F.col("tokens") / F.col("n")).alias("avgdl"))
 
 
 def bm25(chunks: DataFrame, queries: DataFrame, k: int | None = CANDIDATES) -> DataFrame:
     """query_id, chunk_id, score, rank; a term counts as often as the query has it.
 
-    Only postings of query terms are kept, before anything is shuffled by term."""
+    Texts are cut into tokens once, and what the queries need of them is written. Each chunk gives a row of its own, under the empty term, for the number and
+    length of all chunks, and one for each token that a query has; only these are shuffled."""
     asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    met = postings(chunks).join(asked.select("term").distinct(), "term", "left_semi")
+    terms = asked.select("term").union(queries.sparkSession.createDataFrame([("",)], "term string")).distinct()
+    terms = F.broadcast(terms) if terms.count() <= SENT_TERMS else terms
+    # explode_outer: no filter is inferred that would cut the texts once more. The array is never empty.
+    listed = chunks.select("chunk_id", F.concat(F.array(F.lit("")), F.coalesce(tokens(F.col("chunk_text")), F.array().cast("array<string>"))).alias("ts"))
+    rows = listed.select("chunk_id", (F.size("ts") - 1).alias("dl"), F.explode_outer("ts").alias("term")).filter("term is not null").join(terms, "term", "left_semi")
+    met = written(rows.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl")))
+    stats = met.filter("term = ''").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
+    met = met.filter("term <> ''")
     df = met.groupBy("term").agg(F.count("*").alias("df"))
     n, avgdl = F.col("n"), F.greatest(F.col("avgdl"), F.lit(1.0))
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.greatest(F.col("dl"), F.lit(1)) / avgdl))
-    scored = met.join(df.crossJoin(F.broadcast(corpus_stats(chunks))), "term").withColumn("part", part)
+    scored = met.join(df.crossJoin(F.broadcast(stats)), "term").withColumn("part", part)
     total = scored.join(asked, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("part") * F.col("times")), 6).alias("score"))
     return ranked(total, "score", k)
 
@@ -66,7 +79,8 @@ def exact_dense(vectors: DataFrame, queries: DataFrame, k: int = CANDIDATES, but
     """query_id, chunk_id, score, rank by largest inner product.
 
     vectors: chunk_id, v; queries: query_id, v. Shards of the vectors meet blocks of the queries, each pair
-    in a task that multiplies two matrices and passes on k rows a query."""
+    in a task that multiplies two matrices and passes on k rows a query. This is all pairs by design, for a
+    stated set of queries; a large one is for an index (``llm.hash_index`` has one)."""
     n, m = vectors.count(), queries.count()
     shards, blocks = max(1, -(-n // SHARD)), max(1, -(-m // QUERY_BLOCK))
     left = vectors.select(F.col("chunk_id").cast("long"), F.col("v").cast("array<double>"), F.pmod(F.xxhash64("chunk_id"), F.lit(shards)).alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"))
@@ -158,19 +172,20 @@ def overlap_rerank(query: Column, text: Column, label: Column, has_entities: Col
     return F.round(base + F.when(has_entities, F.lit(0.06)).otherwise(F.lit(0.0)) + F.when(label.isin("introduction", "methodology", "results", "discussion", "conclusion"), F.lit(0.08)).otherwise(F.lit(0.0)), 6)
 
 
-def hybrid(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = FINAL, section: str | None = None, rerank: bool = False) -> DataFrame:
-    """query_id, rank, chunk_id, score and its parts. queries: query_id, text, v.
+def hybrid(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = FINAL, section: str | None = None, rerank: bool = False, texts: bool = False) -> DataFrame:
+    """query_id, rank, chunk_id, score and its parts; with chunk_text and the query's text if asked for. queries: query_id, text, v.
 
     A section filter applies after the candidates are cut, so it may leave fewer than k."""
     fused = rrf(exact_dense(vectors, queries.select("query_id", "v")), bm25(chunks, queries.select("query_id", "text")))
     met = fused.join(chunks.select("chunk_id", "paper_id", "chunk_text", "label"), "chunk_id").join(queries.select("query_id", "text"), "query_id")
     if section:
         met = met.filter(F.col("label") == section)
-    met = met.withColumn("section_boost", section_boost(F.col("text"), F.col("label"))).withColumn("section_weight", section_weight(F.col("label")))
+    names = t.found(F.col("chunk_text"), ENTITY)
+    met = met.withColumns({"section_boost": section_boost(F.col("text"), F.col("label")), "section_weight": section_weight(F.col("label")), "citation_boost": citation_boost(F.col("text"), names, t.citation_density_quality(F.col("chunk_text")))})
     if rerank:
-        met = met.withColumn("rerank_score", overlap_rerank(F.col("text"), F.col("chunk_text"), F.col("label"), F.lit(False)))
-    met = met.withColumn("score", final_score(F.col("fused_score"), F.col("section_weight"), F.col("rerank_score") if rerank else None, F.col("section_boost")))
-    keep = ["query_id", "rank", "chunk_id", "paper_id", "label", "score", "dense_score", "sparse_score", "fused_score", "section_boost", "section_weight"] + ["rerank_score"] * rerank
+        met = met.withColumn("rerank_score", overlap_rerank(F.col("text"), F.col("chunk_text"), F.col("label"), F.size(names) > 0))
+    met = met.withColumn("score", final_score(F.col("fused_score"), F.col("section_weight"), F.col("rerank_score") if rerank else None, F.col("section_boost") + F.col("citation_boost")))
+    keep = ["query_id", "rank", "chunk_id", "paper_id", "label", "score", "dense_score", "sparse_score", "fused_score", "section_boost", "citation_boost", "section_weight"] + ["rerank_score"] * rerank + ["chunk_text", "text"] * texts
     return ranked(met, "score", k).select(*keep)
 
 

@@ -9,18 +9,14 @@ from ..operators import answer as a
 from ..operators import compose as c
 from ..operators import report as r
 from ..sources.tables import CHUNKS_SQL, LINES_SQL, chunks, lines, table
-from .rag import ANSWERS_, INTENT_, RANKED_, grounded, ranked
+from ..sources import manifest
+from .rag import ANSWERS_, HALLUCINATION_, INTENT_, PRECISE_, RANKED_, answers_sql, compressed_sql, grounded, ranked, recursive_
 from .registry import query
-from .scores import QUALITY_CTE, TOPICS_, quality, topic_signature
+from .scores import QUALITY_CTE, TOPICS_, n_, quality, topic_signature
 
 SENTS_ = "list_filter(list_transform(string_split(regexp_replace({}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '')"
 
 
-@query(f"WITH {QUALITY_CTE} SELECT doc_id FROM judged WHERE retrieval_quality_score >= 0.55::DOUBLE AND NOT retrieval_excluded AND noise_score <= 0.60::DOUBLE")
-def embedding_eligibility(spark, sf_dir):
-    return quality(spark, sf_dir).withColumn("flagged_for_review", F.lit(False)).filter(c.embedding_eligible()).select("doc_id")
-
-
 _b = "avg((regexp_matches(b, '[.!?]$') AND regexp_matches(line, '^\\p{Lu}'))::INT)"
 _c = "avg((regexp_matches(b, '[^.!?:;]$') AND regexp_matches(line, '^\\p{Ll}'))::INT)"
 
@@ -34,6 +30,40 @@ def transition_scores(spark, sf_dir):
     return c.transitions(lines(spark, sf_dir).select(F.col("paper_id").alias("group_id"), F.col("ord").alias("place"), F.col("line").alias("text")))
 
 
+_r4 = "floor(({}) * 10000.0::DOUBLE + 0.5::DOUBLE) / 10000.0::DOUBLE"
+_unit4 = lambda x: _r4.format(f"least(1.0::DOUBLE, greatest(0.0::DOUBLE, {x}))")
+#: Of each document as a chunk: coherence, noise, integrity and the anomaly that follows from them and from its lines' transitions.
+STRUCTURE_ = f"""tr AS (SELECT group_id AS doc_id, transition_quality, continuity FROM (WITH {LINES_SQL}, l AS (SELECT *, lag(line) OVER (PARTITION BY paper_id ORDER BY ord) AS b FROM lines), s AS (SELECT paper_id, count(*) AS n, {_b} AS b, {_c} AS c FROM l GROUP BY 1) SELECT paper_id AS group_id, {_score('b * 0.35::DOUBLE + 0.55::DOUBLE', 0.92)} AS transition_quality, {_score('c * 0.35::DOUBLE + 0.5::DOUBLE + 0.1::DOUBLE', 0.94)} AS continuity FROM s)),
+co AS (SELECT doc_id, {_unit4(f"1 - abs(greatest(1, floor({n_(chr(92) + 'S+')} * 1.25::DOUBLE)) / greatest(1, {n_('[.!?]')}) - 24) / 32")} AS coherence, {_unit4(f"{n_('[^' + chr(92) + 'p{L}' + chr(92) + 'p{N}_' + chr(92) + 's.,;:()' + chr(92) + '-]')}::DOUBLE / greatest(length(text), 1) * 4")} AS noise FROM documents),
+st AS (SELECT *, {_unit4('0.45::DOUBLE + (1 - noise) * 0.3::DOUBLE + coherence * 0.25::DOUBLE')} AS integrity FROM co JOIN tr USING (doc_id)),
+flag AS (SELECT doc_id, integrity, anomaly, (retrieval_quality_score < 0.52::DOUBLE OR noise > 0.28::DOUBLE OR integrity < 0.62::DOUBLE OR anomaly > 0.4::DOUBLE) AS flagged_for_review FROM (SELECT *, {_unit4('noise * 0.45::DOUBLE + (1 - integrity) * 0.25::DOUBLE + greatest(0.0::DOUBLE, 0.7 - transition_quality) * 0.2::DOUBLE + greatest(0.0::DOUBLE, 0.7 - continuity) * 0.1::DOUBLE')} AS anomaly FROM st) JOIN judged USING (doc_id))"""
+
+
+def flagged(spark, sf_dir):
+    """Every document's quality columns with integrity, anomaly and flagged_for_review."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", *[x.alias(k) for k, x in c.structure(F.col("text")).items()])
+    moves = transition_scores(spark, sf_dir).select(F.col("group_id").alias("doc_id"), "transition_quality", "continuity")
+    met = quality(spark, sf_dir).join(docs, "doc_id").join(moves, "doc_id")
+    met = met.withColumn("anomaly", c.anomaly(F.col("noise"), F.col("integrity"), F.col("transition_quality"), F.col("continuity")))
+    return met.withColumn("flagged_for_review", c.flag_for_review(F.col("retrieval_quality_score"), F.col("noise"), F.col("integrity"), F.col("anomaly")))
+
+
+@query(f"WITH {QUALITY_CTE}, {STRUCTURE_} SELECT doc_id, integrity, anomaly, flagged_for_review FROM flag")
+def review_flags(spark, sf_dir):
+    return flagged(spark, sf_dir).select("doc_id", "integrity", "anomaly", "flagged_for_review")
+
+
+@query(f"WITH {QUALITY_CTE}, {STRUCTURE_} SELECT doc_id FROM judged JOIN flag USING (doc_id) WHERE retrieval_quality_score >= 0.55::DOUBLE AND NOT flagged_for_review AND NOT retrieval_excluded AND noise_score <= 0.60::DOUBLE")
+def embedding_eligibility(spark, sf_dir):
+    return flagged(spark, sf_dir).filter(c.embedding_eligible()).select("doc_id")
+
+
+@query(f"WITH {QUALITY_CTE} SELECT doc_id, retrieval_quality_score FROM judged WHERE retrieval_quality_score >= 0.6::DOUBLE ORDER BY sha256(doc_id || '-7'), doc_id LIMIT 25")
+def review_sample(spark, sf_dir):
+    """Twenty-five good documents for a reader, by a hash."""
+    return c.review_sample(quality(spark, sf_dir).withColumnRenamed("doc_id", "chunk_id"), 25, 0.6).select(F.col("chunk_id").alias("doc_id"), "retrieval_quality_score")
+
+
 @query(f"WITH {LINES_SQL}, h AS (SELECT * FROM lines WHERE ord < 25), e AS (SELECT DISTINCT paper_id, unnest(regexp_extract_all(line, '{t.ARTEFACTS[2][1]}')) AS e FROM h), l AS (SELECT DISTINCT paper_id, unnest(regexp_extract_all(line, 'https?://[^\\s]+')) AS l FROM h) SELECT p.paper_id, coalesce((SELECT string_agg(e, '|' ORDER BY e) FROM e WHERE e.paper_id = p.paper_id), '') AS emails, coalesce((SELECT string_agg(l, '|' ORDER BY l) FROM l WHERE l.paper_id = p.paper_id), '') AS links FROM (SELECT DISTINCT paper_id FROM h) p")
 def front_matter(spark, sf_dir):
     return c.front_matter(lines(spark, sf_dir))
@@ -59,7 +89,7 @@ def heuristic_generation(spark, sf_dir):
 
 @query(RANKED_ + f", l AS (SELECT query_id, list('[' || paper_id || ' §' || label || ']' ORDER BY rank) AS labels, arg_min(chunk_text, rank) AS body FROM res GROUP BY 1), s AS (SELECT query_id, labels, {SENTS_.format('body')} AS ss FROM l) SELECT query_id, md5(array_to_string(list_transform(range(1, len(ss) + 1), lambda i: CASE WHEN contains(ss[i], labels[least(i, len(labels))]) THEN ss[i] ELSE ss[i] || ' ' || labels[least(i, len(labels))] END), ' ')) AS cited_md5 FROM s")
 def cited_answers(spark, sf_dir):
-    rows = ranked(spark, sf_dir).withColumn("m", c.citation_label(F.col("paper_id"), F.col("label")))
+    rows = ranked(spark, sf_dir).withColumn("m", a.citation_label(F.col("paper_id"), F.col("label")))
     one = rows.groupBy("query_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "m"))), lambda x: x["m"]).alias("labels"), F.min_by("chunk_text", "rank").alias("body"))
     return one.select("query_id", F.md5(c.cited(F.col("body"), F.col("labels"))).alias("cited_md5"))
 
@@ -69,21 +99,29 @@ _hits = f"len(list_intersect(list_distinct(regexp_extract_all(lower(text), '{a.O
 
 @query(RANKED_ + f", s AS (SELECT query_id, text, unnest(range(len({SENTS_.format('chunk_text')}))) AS i, unnest({SENTS_.format('chunk_text')}) AS s FROM res WHERE rank = 1) SELECT query_id, s AS best FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY {_hits} DESC, length(s) DESC, i) AS r FROM s) WHERE r = 1")
 def best_sentences(spark, sf_dir):
-    return ranked(spark, sf_dir).filter("rank = 1").select("query_id", c.best_sentence(F.col("chunk_text"), F.col("text")).alias("best"))
+    return ranked(spark, sf_dir).filter("rank = 1").select("query_id", a.best_sentence(F.col("chunk_text"), F.col("text")).alias("best"))
+
 
+#: The share of an answer's claims that mark a contrast.
+MARKED_ = "mark AS (SELECT query_id, floor(least(sum((contains(lower(c), 'however') OR contains(lower(c), 'in contrast') OR contains(lower(c), 'whereas') OR contains(lower(c), 'but'))::INT)::DOUBLE / greatest(any_value(n), 1), 1.0::DOUBLE) * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE AS contradiction FROM cl GROUP BY 1)"
 
-@query(ANSWERS_ + " SELECT query_id, array_to_string(list_filter([CASE WHEN unsupported_ratio > 0 THEN 'retry_retrieval' END, 'expand_retrieval'], lambda x: x IS NOT NULL), '|') AS actions FROM gr")
+
+@query(f"{ANSWERS_}, {MARKED_} SELECT query_id, contradiction, array_to_string(list_filter([CASE WHEN unsupported_ratio > 0 THEN 'retry_retrieval' END, CASE WHEN pieces < 3 THEN 'expand_retrieval' END, CASE WHEN contradiction > 0.1::DOUBLE THEN 'inspect_contradictions' END], lambda x: x IS NOT NULL), '|') AS actions FROM gr JOIN mark USING (query_id)")
 def reflection(spark, sf_dir):
-    return grounded(spark, sf_dir).select("query_id", F.array_join(c.reflection(F.col("unsupported_ratio"), F.lit(1), F.lit(0.0)), "|").alias("actions"))
+    rows = grounded(spark, sf_dir).withColumn("contradiction", a.contrast_share(F.col("answer")))
+    return rows.select("query_id", "contradiction", F.array_join(c.reflection(F.col("unsupported_ratio"), F.col("pieces"), F.col("contradiction")), "|").alias("actions"))
 
 
 _r6 = "floor(({}) * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE"
 
 
-@query(ANSWERS_ + f" SELECT query_id, {_r6.format('greatest(0.0::DOUBLE, 1 - score)')} AS retrieval_drift, 0.2::DOUBLE AS chunk_utilization, 0.8::DOUBLE AS context_waste, {_r6.format('least(1.0::DOUBLE, unsupported_ratio * 0.55::DOUBLE + 0.5::DOUBLE * 0.25::DOUBLE + 0.0::DOUBLE)')} AS hotspot, unsupported_ratio AS unsupported_frequency FROM gr")
+@query(recursive_(f"{PRECISE_}, {compressed_sql('prec', 'precision_score')}, {answers_sql('res')} SELECT query_id, {_r6.format('greatest(0.0::DOUBLE, 1 - score)')} AS retrieval_drift, {_r6.format('used::DOUBLE / pieces')} AS chunk_utilization, {_r6.format('1 - used::DOUBLE / pieces')} AS context_waste, {HALLUCINATION_} AS hotspot, unsupported_ratio AS unsupported_frequency FROM gr JOIN (SELECT query_id, count(*) AS used FROM mkept GROUP BY 1) USING (query_id)"))
 def rag_observability(spark, sf_dir):
-    rows = grounded(spark, sf_dir).withColumn("hallucination", a.hallucination(F.col("unsupported_ratio"), F.lit(0.5), F.lit(2), F.lit(1))).withColumns({"used": F.lit(2), "offered": F.lit(10)})
-    return c.trace(rows)
+    """Of each answer, with the share of its chunks that compression keeps."""
+    hits = a.with_precision(a.with_answerability(ranked(spark, sf_dir))).drop("score").withColumnRenamed("precision_score", "score")
+    used = a.compress(hits).groupBy("query_id").agg(F.count("*").alias("used"))
+    rows = grounded(spark, sf_dir).withColumn("hallucination", a.hallucination(F.col("unsupported_ratio"), F.col("coverage"), F.col("citations"), F.col("pieces"))).join(used, "query_id")
+    return c.trace(rows.withColumn("offered", F.col("pieces")))
 
 
 @query(ANSWERS_ + " SELECT count(*) AS answers, round(avg(score), 6) AS mean_grounding, round(avg(unsupported_ratio), 6) AS mean_unsupported, round(avg(n_claims), 6) AS mean_claims FROM gr")
@@ -107,17 +145,16 @@ def sentence_citations(spark, sf_dir):
     return c.sentence_citations(best, hits)
 
 
-@query("SELECT source, trim(substr(string_agg(s, ' ' ORDER BY doc_id), 1, 650), ' ' || chr(10) || chr(9) || chr(13)) AS abstract FROM (SELECT source, doc_id, string_split(text, chr(10))[1] AS s, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents WHERE string_split(text, chr(10))[1] <> '') WHERE r <= 3 GROUP BY 1")
+@query(f"WITH d AS (SELECT source, doc_id, {SENTS_.format('text')} AS ss FROM documents), f AS (SELECT source, doc_id, array_to_string(ss[1:2], ' ') AS s, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM d WHERE array_to_string(ss[1:2], ' ') <> '') SELECT source, trim(substr(string_agg(s, ' ' ORDER BY r), 1, 650), ' ' || chr(10) || chr(9) || chr(13)) AS abstract FROM f WHERE r <= 3 GROUP BY 1")
 def report_abstracts(spark, sf_dir):
-    first = table(spark, sf_dir, "documents").select("source", "doc_id", F.element_at(F.split("text", "\n"), 1).alias("s")).filter("s <> ''")
-    from pyspark.sql import Window
-
-    top = first.withColumn("r", F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))).filter("r <= 3")
+    """A report a source: the first sentences of its first three texts that have any, joined and cut."""
+    said = F.array_join(F.slice(r.sentences(F.col("text")), 1, 2), " ")
+    first = table(spark, sf_dir, "documents").select("source", "doc_id", said.alias("s")).filter("s <> ''")
+    top = c.least_rows(first, "source", "doc_id", 3)
     return top.groupBy("source").agg(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "s"))), lambda x: x["s"]).alias("ss")).select("source", c.abstract(F.col("ss")).alias("abstract"))
 
 
-@query("SELECT max(ts) AS watermark, count(*) AS entries FROM events WHERE event_type <> (SELECT max(event_type) FROM events)")
+@query("SELECT max(ts) AS watermark, count(*) AS entries FROM events WHERE event_type <> 'error'")
 def watermark_advance(spark, sf_dir):
-    e = table(spark, sf_dir, "events")
-    failed = e.agg(F.max("event_type").alias("failed"))
-    return e.join(F.broadcast(failed), F.col("event_type") != F.col("failed")).agg(F.max("ts").alias("watermark"), F.count("*").alias("entries"))
+    """The watermark after a run: the latest time of all entries that didn't fail."""
+    return manifest.watermark(table(spark, sf_dir, "events").select("ts", (F.col("event_type") == "error").alias("failed")))

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import answer as a
+from ..operators import rescue
 from ..operators import search as s
-from ..sources.tables import chunks, table
+from ..sources.tables import CHUNKS_SQL, chunks, table
 from .registry import query
-from .retrieval import ALL_, HYBRID_, bm25_topk, dense_topk, hybrid_search, questions
+from .retrieval import ALL_, HYBRID_, bm25_topk, dense_topk, questions, results_sql, vectors
+from .scores import n_
 
 
 def like_(c: str, parts) -> str:
@@ -21,7 +23,23 @@ def list_(parts) -> str:
 
 
 INTENT_ = "CASE " + " ".join(f"WHEN {like_('lower({q})', m)} THEN '{k}'" for k, m in a.INTENTS) + " ELSE 'definition' END"
-_words = "list_filter(regexp_extract_all(lower({q}), '[a-z][a-z0-9\\-]{{3,}}'), lambda x: x NOT IN ('" + "','".join(a.NO_TOPIC) + "'))"
+_words = "list_filter(regexp_extract_all(lower(text), '[a-z][a-z0-9\\-]{3,}'), lambda x: x NOT IN ('" + "','".join(a.NO_TOPIC) + "'))"
+
+
+def first_(listed: str) -> str:
+    """SQL: a list's items once each, in order; listed names a column."""
+    return f"list_filter({listed}, lambda x, i: list_position({listed}, x) = i)"
+
+
+#: All topics and entities of a text, in order, some of them several times.
+TOPIC_LIST_ = "list_concat(" + ", ".join(f"CASE WHEN contains(lower(text), '{k}') THEN {list_((k, *v))} ELSE []::VARCHAR[] END" for k, v in a.ACRONYMS.items()) + f", {_words})"
+ENTITY_LIST_ = "regexp_extract_all(regexp_replace(text, '[^\\x00-\\x7F]', '_', 'g'), '\\b(?:[A-Z]{2,}|[A-Z][a-zA-Z0-9\\-]+(?:\\s+[A-Z][a-zA-Z0-9\\-]+)*)\\b')"
+
+
+def understood_(source: str) -> str:
+    """SQL: the source's rows with the intent k, the topics and the entities of their text."""
+    ents = f"list_filter(list_transform({first_('el')}, lambda x: trim(regexp_replace(x, '(?i)^(?:compare|define|explain|summarize)\\s+', ''))), lambda x: x <> '' AND lower(x) NOT IN ('" + "','".join(a.NO_TOPIC) + "'))"
+    return f"(SELECT *, {INTENT_.format(q='text')} AS k, ({first_('tl')})[1:12] AS topics, {ents} AS ents FROM (SELECT *, {TOPIC_LIST_} AS tl, {ENTITY_LIST_} AS el FROM {source}))"
 
 
 def _turns(spark, sf_dir):
@@ -34,15 +52,14 @@ def query_intent(spark, sf_dir):
     return _turns(spark, sf_dir).select("conv_id", "turn", kind.alias("intent"), a.depth(kind).alias("depth"))
 
 
-@query(f"SELECT conv_id, turn, array_to_string(list_sort(list_distinct({_words.format(q='text')})), '|') AS words FROM conversations")
+@query(f"SELECT conv_id, turn, array_to_string(topics, '|') AS topics FROM {understood_('conversations')}")
 def query_topics(spark, sf_dir):
-    words = F.filter(t.found(F.lower("text"), r"[a-z][a-z0-9\-]{3,}"), lambda x: ~x.isin(*a.NO_TOPIC))
-    return _turns(spark, sf_dir).select("conv_id", "turn", F.array_join(F.array_sort(F.array_distinct(words)), "|").alias("words"))
+    return _turns(spark, sf_dir).select("conv_id", "turn", F.array_join(a.topics(F.col("text")), "|").alias("topics"))
 
 
-@query("SELECT conv_id, turn, array_to_string(list_sort(list_filter(list_distinct(list_transform(regexp_extract_all(regexp_replace(text, '[^\\x00-\\x7F]', '_', 'g'), '\\b(?:[A-Z]{2,}|[A-Z][a-zA-Z0-9\\-]+(?:\\s+[A-Z][a-zA-Z0-9\\-]+)*)\\b'), lambda x: trim(regexp_replace(x, '(?i)^(?:compare|define|explain|summarize)\\s+', '')))), lambda x: x <> '' AND lower(x) NOT IN ('" + "','".join(a.NO_TOPIC) + "'))), '|') AS entities FROM conversations")
+@query(f"SELECT conv_id, turn, array_to_string(ents, '|') AS entities FROM {understood_('conversations')}")
 def query_entities(spark, sf_dir):
-    return _turns(spark, sf_dir).select("conv_id", "turn", F.array_join(F.array_sort(F.array_distinct(a.entities(F.col("text")))), "|").alias("entities"))
+    return _turns(spark, sf_dir).select("conv_id", "turn", F.array_join(a.entities(F.col("text")), "|").alias("entities"))
 
 
 _w = "list_transform(regexp_extract_all(text, '[A-Za-z][A-Za-z0-9\\-]+'), lambda x: lower(x))"
@@ -54,13 +71,13 @@ def query_expansion(spark, sf_dir):
     return _turns(spark, sf_dir).select("conv_id", "turn", F.array_join(a.expanded(F.col("text")), "|").alias("terms"))
 
 
-@query()
+EXPANDED_ = f"list_sort(list_distinct(list_filter({_terms}, lambda x: NOT contains(lower(text), lower(x)))))"
+
+
+@query(f"WITH u AS (SELECT *, {EXPANDED_} AS terms FROM (SELECT *, {_w} AS w FROM {understood_('conversations')})), l AS (SELECT conv_id, turn, list_concat([text], list_transform(terms[1:4], lambda x: text || ' ' || x), CASE WHEN len(ents) > 0 THEN list_transform(terms[1:2], lambda x: array_to_string(ents, ' ') || ' ' || x) ELSE []::VARCHAR[] END) AS l FROM u), f AS (SELECT conv_id, turn, {first_('l')} AS l FROM l) SELECT conv_id, turn, unnest(range(len(l)))::INT AS place, unnest(l) AS sub_query FROM f")
 def multi_query(spark, sf_dir):
     """The query itself, with each of its first four expansion terms, and its entities with the first two."""
-    c = F.col("text")
-    terms, named = a.expanded(c), F.array_join(a.entities(c), " ")
-    more = F.concat(F.transform(F.slice(terms, 1, 4), lambda x: F.concat(c, F.lit(" "), x)), F.when(named != "", F.transform(F.slice(terms, 1, 2), lambda x: F.concat(named, F.lit(" "), x))).otherwise(F.array().cast("array<string>")))
-    return _turns(spark, sf_dir).select("conv_id", "turn", F.posexplode(F.array_distinct(F.concat(F.array(c), more))).alias("place", "sub_query"))
+    return _turns(spark, sf_dir).select("conv_id", "turn", F.posexplode(a.sub_queries(F.col("text"))).alias("place", "sub_query"))
 
 
 MERGE_ = "u AS (SELECT query_id, chunk_id, score, 0 AS s FROM dense UNION ALL SELECT query_id, chunk_id, score, 1 FROM sparse)"
@@ -77,13 +94,13 @@ def first_wins_merge(spark, sf_dir):
 
 
 _prior = "CASE " + " ".join(f"WHEN {INTENT_.format(q='text')} = '{i}' AND label = '{k}' THEN {v}::DOUBLE" for i, p in a.PRIORS.items() for k, v in p.items()) + " ELSE 0.0 END"
-RANKED_ = HYBRID_ + ", res AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id))::INT AS rank FROM (SELECT *, round((fused_score + section_boost) * section_weight, 6) AS score FROM met) QUALIFY rank <= 10)"
+RANKED_ = f"{HYBRID_}, {results_sql()}"
 
 
 def ranked(spark, sf_dir):
     """The hybrid results of all benchmark queries with both texts."""
-    hits = hybrid_search(spark, sf_dir).select("query_id", "rank", "chunk_id", "paper_id", "label", "score")
-    return hits.join(chunks(spark, sf_dir).select("chunk_id", "chunk_text"), "chunk_id").join(questions(spark, sf_dir).select("query_id", "text"), "query_id")
+    hits = s.hybrid(chunks(spark, sf_dir), vectors(spark, sf_dir), questions(spark, sf_dir), texts=True)
+    return hits.select("query_id", "rank", "chunk_id", "paper_id", "label", "score", "chunk_text", "text")
 
 
 @query(RANKED_ + f" SELECT query_id, chunk_id, {_prior} AS section_bonus, least((count(*) FILTER (rank <= 8) OVER (PARTITION BY query_id, paper_id)), 3) * 0.01::DOUBLE AS paper_bonus FROM res")
@@ -100,17 +117,16 @@ _add = " + ".join(
         f"CASE WHEN k = 'definition' AND {like_('lower(chunk_text)', (' is ', ' refers to ', ' framework', ' optimization'))} THEN 0.12::DOUBLE ELSE 0 END",
         f"CASE WHEN k = 'comparison' AND {like_('lower(chunk_text)', ('however', 'whereas', 'compared', 'in contrast'))} THEN 0.10::DOUBLE ELSE 0 END",
         "CASE WHEN k = 'methodology_explanation' AND label IN ('methods', 'methodology') THEN 0.10::DOUBLE ELSE 0 END",
-        "0.0::DOUBLE",
+        "CASE WHEN len(list_filter(ents[1:3], lambda x: contains(lower(chunk_text), lower(x)))) > 0 THEN 0.08::DOUBLE ELSE 0 END",
         "CASE WHEN k = 'definition' AND label IN ('abstract', 'introduction') THEN 0.08::DOUBLE ELSE 0 END",
         "CASE WHEN k IN ('comparison', 'benchmark_performance') AND label IN ('results', 'discussion', 'experiments') THEN 0.08::DOUBLE ELSE 0 END",
     ]
 )
-ANSWERABLE_ = RANKED_ + f", ans AS (SELECT *, floor(least(1.0::DOUBLE, {_share} + {_add}) * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE AS answerability FROM (SELECT *, {INTENT_.format(q='text')} AS k FROM res))"
+ANSWERABLE_ = RANKED_ + f", ans AS (SELECT *, floor(least(1.0::DOUBLE, {_share} + {_add}) * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE AS answerability FROM {understood_('res')})"
 
 
 def answerable(spark, sf_dir):
-    none = F.array().cast("array<string>")
-    return ranked(spark, sf_dir).withColumn("answerability", a.answerability(F.col("text"), a.intent(F.col("text")), F.col("chunk_text"), F.col("label"), none))
+    return a.with_answerability(ranked(spark, sf_dir))
 
 
 @query(ANSWERABLE_ + " SELECT query_id, chunk_id, answerability FROM ans")
@@ -126,58 +142,76 @@ def answerability_filter(spark, sf_dir):
 _fits = "CASE WHEN (k IN ('definition', 'methodology_explanation') AND label IN ('abstract', 'introduction', 'methodology', 'methods')) OR (k IN ('comparison', 'benchmark_performance') AND label IN ('results', 'discussion')) THEN 0.15::DOUBLE ELSE 0.0 END"
 
 
-@query(ANSWERABLE_ + f" SELECT query_id, chunk_id, floor((score + answerability * 0.30::DOUBLE + {_fits}) * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE AS precision_score FROM ans")
+_cites = f"least(round({n_(t.CITATION_MARK, 'chunk_text')}::DOUBLE / greatest({n_(t.WORD, 'chunk_text')}, 1), 6) * 10, 1.0::DOUBLE) * 0.10::DOUBLE"
+_bonus = f"({_cites} + {_fits} + CASE WHEN len(list_filter(topics[1:6], lambda x: contains(lower(chunk_text), lower(x)))) > 0 THEN 0.20::DOUBLE ELSE 0.0 END)"
+PRECISE_ = ANSWERABLE_ + f", prec AS (SELECT *, floor((score + answerability * 0.30::DOUBLE + {_bonus}) * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE AS precision_score FROM ans)"
+
+
+@query(PRECISE_ + " SELECT query_id, chunk_id, precision_score FROM prec")
 def precision_rerank(spark, sf_dir):
-    bonus = a.precision_bonus(a.intent(F.col("text")), F.col("label"), F.lit(False), F.lit(0.0))
-    return answerable(spark, sf_dir).select("query_id", "chunk_id", t.rounded(F.col("score") + F.col("answerability") * 0.30 + bonus, 6).alias("precision_score"))
+    return a.with_precision(answerable(spark, sf_dir)).select("query_id", "chunk_id", "precision_score")
+
+
+RESCUE_ = f"resc AS (SELECT query_id, chunk_id, score, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id))::INT AS rank FROM (SELECT query_id, chunk_id, floor((0.9::DOUBLE + 0.15::DOUBLE * sum(w)) * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE AS score FROM (SELECT query_id, term, CASE WHEN contains(term, ' ') THEN 1.0::DOUBLE ELSE 0.5::DOUBLE END AS w FROM (SELECT query_id, unnest(list_transform(list_concat(ents, {EXPANDED_}, topics), lambda x: lower(trim(x)))) AS term FROM (SELECT *, {_w} AS w FROM {understood_('qs')})) WHERE term <> '') JOIN (SELECT chunk_id, lower(label || chr(10) || chunk_text) AS body FROM chunks) ON contains(body, term) GROUP BY 1, 2) QUALIFY rank <= 10)"
 
 
-@query("WITH q AS (SELECT item_id AS query_id, list_distinct(regexp_extract_all(lower(text), '[a-z]{9,}')) AS terms FROM benchmark), d AS (SELECT DISTINCT doc_id, unnest(list_distinct(regexp_extract_all(lower(text), '[a-z]{9,}'))) AS w FROM documents) SELECT query_id, doc_id AS chunk_id, floor((0.9::DOUBLE + 0.15::DOUBLE * 0.5::DOUBLE * count(*)) * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE AS score FROM (SELECT query_id, unnest(terms) AS w FROM q) JOIN d USING (w) GROUP BY 1, 2")
+@query(f"WITH {CHUNKS_SQL}, qs AS (SELECT item_id AS query_id, text FROM benchmark), {RESCUE_} SELECT query_id, chunk_id, score, rank FROM resc")
 def lexical_rescue(spark, sf_dir):
-    """Whole-word terms of nine letters and more, met by a join on the word."""
-    q = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(t.found(F.lower("text"), "[a-z]{9,}"))).alias("w"))
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_id"), F.explode(F.array_distinct(t.found(F.lower("text"), "[a-z]{9,}"))).alias("w"))
-    return d.join(q, "w").groupBy("query_id", "chunk_id").agg(t.rounded(F.count("*") * F.lit(0.15 * 0.5) + 0.9, 6).alias("score"))
+    """Each query's best chunks by the entities, expansion terms and topics that section and text hold somewhere."""
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), "text")
+    return rescue.lexical_rescue(chunks(spark, sf_dir), asked)
 
 
 def answers(spark, sf_dir):
-    """One answer a query: its best chunk's text, grounded on its second best's."""
-    r = ranked(spark, sf_dir)
-    one = r.filter("rank = 1").select("query_id", F.col("chunk_text").alias("answer"))
-    two = r.filter("rank = 2").select("query_id", F.col("chunk_text").alias("evidence"))
-    return one.join(two, "query_id")
+    """query_id, answer, evidence, citations, pieces: each query's best sentences of its first chunks, cited, and what all its chunks say."""
+    return a.structured_answers(ranked(spark, sf_dir))
 
 
 _cl = f"list_filter(list_transform(string_split(regexp_replace(answer, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '')"
 _ws = f"list_filter(list_distinct(regexp_extract_all(lower(c), '{a.CLAIM_WORD}')), lambda x: length(x) > 3)"
-ANSWERS_ = RANKED_ + f""", pairs AS (SELECT x.query_id, x.chunk_text AS answer, y.chunk_text AS evidence FROM res x JOIN res y ON x.query_id = y.query_id AND x.rank = 1 AND y.rank = 2),
-cl AS (SELECT query_id, answer, lower(evidence) AS ev, len({_cl}) AS n, unnest({_cl}) AS c FROM pairs), sup AS (SELECT query_id, answer, n, len(list_filter({_ws}, lambda w: contains(ev, w)))::DOUBLE / greatest(len({_ws}), 1) >= 0.35::DOUBLE AS ok FROM cl),
-g AS (SELECT query_id, any_value(answer) AS answer, any_value(n) AS n, sum(ok::INT)::DOUBLE / greatest(any_value(n), 1) AS share FROM sup GROUP BY 1),
-gr AS (SELECT query_id, answer, n::INT AS n_claims, floor((1 - share) * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE AS unsupported_ratio, floor((share * 0.55::DOUBLE + least(2::DOUBLE / greatest(n, 1), 1.0::DOUBLE) * 0.25::DOUBLE + least(1::DOUBLE / greatest(n, 1), 1.0::DOUBLE) * 0.20::DOUBLE) * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE AS score FROM g)"""
+_sn = "list_filter(list_transform(string_split(regexp_replace(chunk_text, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, ' ' || chr(9) || chr(10) || chr(13))), lambda x: x <> '')"
+_hits = f"len(list_intersect(list_distinct(regexp_extract_all(lower(text), '{a.OVERLAP_WORD}')), regexp_extract_all(lower(s), '{a.OVERLAP_WORD}')))"
+
+
+def answers_sql(source: str) -> str:
+    """Answers from the ranked chunks of the table source, their claims, and grounding, in the tables bs, pairs, cl, sup, g and gr."""
+    return f"""bs AS (SELECT * FROM (SELECT query_id, rank, paper_id, label, text, unnest(range(len({_sn}))) AS i, unnest({_sn}) AS s FROM {source} WHERE rank <= 4) QUALIFY row_number() OVER (PARTITION BY query_id, rank ORDER BY {_hits} DESC, length(s) DESC, i) = 1),
+pairs AS (SELECT * FROM (SELECT query_id, string_agg(s || ' [' || paper_id || ' §' || label || ']', ' ' ORDER BY rank) AS answer, count(DISTINCT paper_id || ' §' || label) AS cites FROM bs GROUP BY 1) JOIN (SELECT query_id, string_agg(substr(chunk_text, 1, 900), chr(10) ORDER BY rank) AS evidence, count(*) AS pieces FROM {source} GROUP BY 1) USING (query_id)),
+cl AS (SELECT query_id, answer, cites, pieces, lower(evidence) AS ev, len({_cl}) AS n, unnest({_cl}) AS c FROM pairs), sup AS (SELECT query_id, answer, cites, pieces, n, len(list_filter({_ws}, lambda w: contains(ev, w)))::DOUBLE / greatest(len({_ws}), 1) >= 0.35::DOUBLE AS ok FROM cl),
+g AS (SELECT query_id, any_value(answer) AS answer, any_value(cites) AS cites, any_value(pieces) AS pieces, any_value(n) AS n, sum(ok::INT)::DOUBLE / greatest(any_value(n), 1) AS share FROM sup GROUP BY 1),
+gr AS (SELECT query_id, answer, cites::BIGINT AS citations, pieces::BIGINT AS pieces, n::INT AS n_claims, least(cites::DOUBLE / greatest(n, 1), 1.0::DOUBLE) AS coverage, floor((1 - share) * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE AS unsupported_ratio, floor((share * 0.55::DOUBLE + least(cites::DOUBLE / greatest(n, 1), 1.0::DOUBLE) * 0.25::DOUBLE + least(pieces::DOUBLE / greatest(n, 1), 1.0::DOUBLE) * 0.20::DOUBLE) * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE AS score FROM g)"""
+
+
+ANSWERS_ = f"{RANKED_}, {answers_sql('res')}"
 
 
 def grounded(spark, sf_dir):
-    g = a.grounding(F.col("answer"), F.col("evidence"), F.lit(2), F.lit(1))
-    return answers(spark, sf_dir).select("query_id", "answer", g.alias("g")).select("query_id", "answer", "g.*")
+    return a.with_grounding(answers(spark, sf_dir))
 
 
 @query(ANSWERS_ + " SELECT query_id, n_claims, unsupported_ratio, score FROM gr")
 def grounding(spark, sf_dir):
-    return grounded(spark, sf_dir).drop("answer")
+    return grounded(spark, sf_dir).select("query_id", "n_claims", "unsupported_ratio", "score")
 
 
-@query(ANSWERS_ + " SELECT query_id, floor(least(1.0::DOUBLE, unsupported_ratio * 0.55::DOUBLE + (1 - 0.5::DOUBLE) * 0.25::DOUBLE + (1 - 1.0::DOUBLE) * 0.20::DOUBLE) * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE AS hallucination FROM gr")
+HALLUCINATION_ = "floor(least(1.0::DOUBLE, unsupported_ratio * 0.55::DOUBLE + (1 - coverage) * 0.25::DOUBLE + (1 - least(citations::DOUBLE / greatest(pieces, 1), 1.0::DOUBLE)) * 0.20::DOUBLE) * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE"
+
+
+@query(ANSWERS_ + f" SELECT query_id, {HALLUCINATION_} AS hallucination FROM gr")
 def hallucination(spark, sf_dir):
-    return grounded(spark, sf_dir).select("query_id", a.hallucination(F.col("unsupported_ratio"), F.lit(0.5), F.lit(2), F.lit(1)).alias("hallucination"))
+    return grounded(spark, sf_dir).select("query_id", a.hallucination(F.col("unsupported_ratio"), F.col("coverage"), F.col("citations"), F.col("pieces")).alias("hallucination"))
 
 
 _r6 = "floor(({}) * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE"
 
 
-@query(ANSWERS_ + f""", w AS (SELECT *, list_transform(regexp_extract_all(answer, '{t.WORD}'), lambda x: lower(x)) AS ws FROM gr), v AS (SELECT *, greatest(len(ws), 1) AS n, greatest(0.0::DOUBLE, 1 - len(list_distinct(ws))::DOUBLE / greatest(len(ws), 1)) AS red, least(len(ws) / 120.0::DOUBLE, 1.0::DOUBLE) AS comp, greatest(0.0::DOUBLE, 1 - unsupported_ratio) AS fact, 2::DOUBLE / greatest(len(ws), 1) AS dens FROM w), y AS (SELECT *, comp * 0.4::DOUBLE + (1 - red) * 0.2::DOUBLE + dens * 10 * 0.2::DOUBLE + fact * 0.2::DOUBLE AS syn FROM v)
-SELECT query_id, {_r6.format('red')} AS redundancy, {_r6.format('comp')} AS completeness, {_r6.format('least(syn, 1.0::DOUBLE)')} AS synthesis, {_r6.format('least(dens * 6 * 0.1::DOUBLE + score * 0.30::DOUBLE + comp * 0.15::DOUBLE + (1 - red) * 0.15::DOUBLE + fact * 0.25::DOUBLE + score * 0.20::DOUBLE + syn * 0.05::DOUBLE, 1.0::DOUBLE)')} AS overall FROM y""")
+QUALITY_ = f"""w AS (SELECT *, list_transform(regexp_extract_all(answer, '{t.WORD}'), lambda x: lower(x)) AS ws FROM gr), v AS (SELECT *, greatest(0.0::DOUBLE, 1 - len(list_distinct(ws))::DOUBLE / greatest(len(ws), 1)) AS red, least(len(ws) / 120.0::DOUBLE, 1.0::DOUBLE) AS comp, greatest(0.0::DOUBLE, 1 - unsupported_ratio) AS fact, citations::DOUBLE / greatest(len(ws), 1) AS dens FROM w), y AS (SELECT *, comp * 0.4::DOUBLE + (1 - red) * 0.2::DOUBLE + dens * 10 * 0.2::DOUBLE + fact * 0.2::DOUBLE AS syn FROM v),
+qual AS (SELECT *, {_r6.format('red')} AS redundancy, {_r6.format('comp')} AS completeness, {_r6.format('least(syn, 1.0::DOUBLE)')} AS synthesis, {_r6.format('least(dens * 6 * 0.1::DOUBLE + score * 0.30::DOUBLE + comp * 0.15::DOUBLE + (1 - red) * 0.15::DOUBLE + fact * 0.25::DOUBLE + score * 0.20::DOUBLE + syn * 0.05::DOUBLE, 1.0::DOUBLE)')} AS overall FROM y)"""
+
+
+@query(f"{ANSWERS_}, {QUALITY_} SELECT query_id, redundancy, completeness, synthesis, overall FROM qual")
 def answer_quality(spark, sf_dir):
-    return grounded(spark, sf_dir).select("query_id", *[c.alias(k) for k, c in a.answer_quality(F.col("answer"), F.lit(2), F.col("score"), F.col("unsupported_ratio")).items()])
+    return grounded(spark, sf_dir).select("query_id", *[c.alias(k) for k, c in a.answer_quality(F.col("answer"), F.col("citations"), F.col("score"), F.col("unsupported_ratio")).items()])
 
 
 @query(RANKED_ + " SELECT x.query_id, x.chunk_id AS a, y.chunk_id AS b, CASE WHEN x.paper_id = y.paper_id THEN 'same_paper' ELSE 'cross_paper' END AS relation, CASE WHEN x.paper_id = y.paper_id THEN 0.8::DOUBLE ELSE 0.5::DOUBLE END AS weight FROM res x JOIN res y ON x.query_id = y.query_id AND x.rank < y.rank")
@@ -198,12 +232,26 @@ def prompt_packing(spark, sf_dir):
     return a.pack_prompts(ranked(spark, sf_dir).select("query_id", "rank", "chunk_id", F.col("chunk_text").alias("text"))).select("query_id", "chunk_id", "chars")
 
 
-@query()
-def mmr_compress(spark, sf_dir):
-    return a.compress(ranked(spark, sf_dir).withColumn("score", F.lit(1.0)))
+_two = f"array_to_string(({_sn})[1:2], ' ')"
+
+
+def compressed_sql(source: str, score: str) -> str:
+    """The greedy choice among each query's rows of the table source by score, in the tables mrows, mfold and mkept (query_id, place, chunk_id)."""
+    alike = "coalesce(list_max(list_transform(ktoks, lambda k: CASE WHEN len(k) = 0 OR len(w) = 0 THEN 0.0::DOUBLE ELSE len(list_intersect(k, w))::DOUBLE / len(list_distinct(list_concat(k, w))) END)), 0.0::DOUBLE)"
+    drop = f"(f.r > 0 AND ({alike} > 0.72::DOUBLE OR m.score * 0.7::DOUBLE - {alike} * 0.3::DOUBLE < 0))"
+    return f"""mrows AS (SELECT query_id, chunk_id, {score} AS score, row_number() OVER (PARTITION BY query_id ORDER BY {score} DESC, chunk_id) AS r, count(*) OVER (PARTITION BY query_id) AS size, list_distinct(regexp_extract_all(lower({_two}), '{a.OVERLAP_WORD}')) AS w FROM {source}),
+mfold AS (SELECT DISTINCT query_id, size, 0::BIGINT AS r, []::BIGINT[] AS kept, []::VARCHAR[][] AS ktoks FROM mrows UNION ALL SELECT f.query_id, f.size, m.r, CASE WHEN {drop} THEN kept ELSE list_append(kept, m.chunk_id) END, CASE WHEN {drop} THEN ktoks ELSE list_append(ktoks, w) END FROM mfold f JOIN mrows m ON m.query_id = f.query_id AND m.r = f.r + 1),
+mkept AS (SELECT query_id, unnest(range(len(k)))::INT AS place, unnest(k) AS chunk_id FROM (SELECT query_id, kept[1:greatest(1, floor(size * 0.5::DOUBLE)::BIGINT)] AS k FROM mfold WHERE r = size))"""
+
 
+def recursive_(sql: str) -> str:
+    return sql.replace("WITH ", "WITH RECURSIVE ", 1)
 
 
+@query(recursive_(f"{PRECISE_}, {compressed_sql('prec', 'precision_score')} SELECT query_id, place, chunk_id FROM mkept"))
+def mmr_compress(spark, sf_dir):
+    return a.compress(a.with_precision(answerable(spark, sf_dir)).withColumn("score", F.col("precision_score")))
+
 
 @query("SELECT conv_id, count(*) AS turns, max(turn) AS last_turn FROM conversations WHERE role = 'user' GROUP BY 1")
 def session_rollup(spark, sf_dir):
@@ -212,23 +260,7 @@ def session_rollup(spark, sf_dir):
     return a.sessions(turns).select("conv_id", "turns").join(last, "conv_id")
 
 
-@query()
+@query(f"""WITH u AS (SELECT conv_id, turn, topics, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS back, count(*) OVER (PARTITION BY conv_id) AS turns FROM {understood_("(SELECT * FROM conversations WHERE role = 'user')")}),
+l AS (SELECT conv_id, any_value(turns) AS turns, flatten(list(topics ORDER BY turn)) AS l FROM u WHERE back <= 20 GROUP BY 1) SELECT conv_id, turns, array_to_string(({first_('l')})[1:12], '|') AS topics FROM l""")
 def session_topics(spark, sf_dir):
-    return a.sessions(_turns(spark, sf_dir))
-
-
-
-
-@query()
-def coverage_loop(spark, sf_dir):
-    """Share of a query's five best chunks that hold one of its topics, for its plain and its first-topics form; the first at 0.6 or more wins, else the best, of equals the later."""
-    from pyspark.sql import Window
-
-    q = questions(spark, sf_dir).select("query_id", "text", a.topics(F.col("text")).alias("topics"))
-    forms = q.select("query_id", "topics", F.posexplode(F.array(F.col("text"), F.array_join(F.slice("topics", 1, 4), " "))).alias("attempt", "text"))
-    key = F.col("query_id") * 2 + F.col("attempt")
-    hits = s.bm25(chunks(spark, sf_dir), forms.select(key.alias("query_id"), "text"), k=5)
-    met = hits.withColumnRenamed("query_id", "form").join(forms.select(key.alias("form"), "query_id", "attempt", "topics"), "form").join(chunks(spark, sf_dir).select("chunk_id", "chunk_text"), "chunk_id")
-    covered = met.groupBy("query_id", "attempt").agg(F.avg(a.on_topic(F.col("topics"), F.col("chunk_text")).cast("int")).alias("coverage"))
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.col("coverage") >= 0.6), F.when(F.col("coverage") >= 0.6, F.col("attempt")), F.desc("coverage"), F.desc("attempt"))
-    return covered.withColumn("r", F.row_number().over(order)).filter("r = 1").select("query_id", "attempt", F.round("coverage", 6).alias("coverage"))
+    return a.sessions(_turns(spark, sf_dir)).select("conv_id", "turns", F.array_join("topics", "|").alias("topics"))
