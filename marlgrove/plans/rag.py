@@ -122,7 +122,14 @@ _add = " + ".join(
         "CASE WHEN k IN ('comparison', 'benchmark_performance') AND label IN ('results', 'discussion', 'experiments') THEN 0.08::DOUBLE ELSE 0 END",
     ]
 )
-ANSWERABLE_ = RANKED_ + f", ans AS (SELECT *, floor(least(1.0::DOUBLE, {_share} + {_add}) * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE AS answerability FROM {understood_('res')})"
+
+
+def ans_sql(source: str, x: str = "", known: bool = False) -> str:
+    """SQL: the rows of source with their answerability, as ans with the ending x; known: source has intents, topics and entities."""
+    return f"ans{x} AS (SELECT *, floor(least(1.0::DOUBLE, {_share} + {_add}) * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE AS answerability FROM {source if known else understood_(source)})"
+
+
+ANSWERABLE_ = f"{RANKED_}, {ans_sql('res')}"
 
 
 def answerable(spark, sf_dir):
@@ -144,7 +151,13 @@ _fits = "CASE WHEN (k IN ('definition', 'methodology_explanation') AND label IN
 
 _cites = f"least(round({n_(t.CITATION_MARK, 'chunk_text')}::DOUBLE / greatest({n_(t.WORD, 'chunk_text')}, 1), 6) * 10, 1.0::DOUBLE) * 0.10::DOUBLE"
 _bonus = f"({_cites} + {_fits} + CASE WHEN len(list_filter(topics[1:6], lambda x: contains(lower(chunk_text), lower(x)))) > 0 THEN 0.20::DOUBLE ELSE 0.0 END)"
-PRECISE_ = ANSWERABLE_ + f", prec AS (SELECT *, floor((score + answerability * 0.30::DOUBLE + {_bonus}) * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE AS precision_score FROM ans)"
+
+
+def prec_sql(x: str = "") -> str:
+    return f"prec{x} AS (SELECT *, floor((score + answerability * 0.30::DOUBLE + {_bonus}) * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE AS precision_score FROM ans{x})"
+
+
+PRECISE_ = f"{ANSWERABLE_}, {prec_sql()}"
 
 
 @query(PRECISE_ + " SELECT query_id, chunk_id, precision_score FROM prec")
