@@ -13,7 +13,9 @@ differs in at most its share of r, so every code within r is met. Where a query
 those in buckets within its reach are retrieved; one that an earlier substring retrieves too is left to
 that, so each is tested once. Codes within r of the query's are then scored on the vectors, and the k
 best pass on. Keys of more than ``BLOCK`` vectors are split by the vectors' ids, and the queries go to all
-their splits. Queries that find fewer than k are asked again of all rows, in blocks, which is exact.
+their splits. Where there are several keys a substring, queries first visit the ``HOME`` keys that their own
+values have, and take the k-th best score from there to the others, which pass on nothing below it; so
+what passes on doesn't grow with the number of keys. Queries that find fewer than k are asked again of all rows, in blocks, which is exact.
 
 Defined results: vectors that are null, zero, or hold null or non-finite components, and those whose
 number of components isn't the most frequent one, take no part, neither do rows without an id; equal
@@ -39,6 +41,8 @@ SAMPLE = 4096
 ASKED = 256
 TARGET = 0.95
 PARTS = 4
+#: Substrings by which queries are asked first.
+HOME = 2
 #: Vectors of a key that a task holds at once.
 BLOCK = 8192
 #: Queries that a row carries, and queries that are probed at once.
@@ -128,8 +132,8 @@ class Block:
             keep &= np.bitwise_count(self.coder.value(apart, p)) > self.reach[p]
         return query[keep], at[keep]
 
-    def search(self, ids: np.ndarray, vectors: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, ...]]:
-        """Query number, id and score of each query's k best here."""
+    def search(self, ids: np.ndarray, vectors: np.ndarray, least: np.ndarray, k: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """Query number, id and score of each query's k best here, of those of at least the query's least score."""
         codes = self.coder.query_codes(vectors)
         for begin in range(0, ids.size, PROBED):
             query, at = self.probe(codes[begin : begin + PROBED])
@@ -139,7 +143,8 @@ class Block:
             score = np.empty(query.size)
             for a in range(0, query.size, 100_000):
                 score[a : a + 100_000] = (vectors[query[a : a + 100_000]] * self.vectors[at[a : a + 100_000]]).sum(axis=1)
-            yield best(query, self.ids[at], score, k)
+            enough = score >= least[query]
+            yield best(query[enough], self.ids[at[enough]], score[enough], k)
 
 
 def best(query: np.ndarray, ids: np.ndarray, score: np.ndarray, k: int) -> tuple[np.ndarray, ...]:
@@ -167,7 +172,7 @@ def valid_vectors(df: DataFrame, id_: str = "vec_id", vector: str = "embedding")
 
 
 RESULT = "query_id long, vec_id long, score double"
-_BLOCK = "key long, asks int, ids binary, vectors binary"
+_BLOCK = "key long, asks int, ids binary, vectors binary, least binary"
 
 
 class Index:
@@ -194,21 +199,22 @@ class Index:
     def parts(self) -> list[int]:
         return [p for p in range(self.coder.parts) if self.reach[p] >= 0]
 
-    def posted(self, ids: np.ndarray, vectors: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Keys of all vectors, for each substring, and the vectors' numbers."""
+    def posted(self, ids: np.ndarray, vectors: np.ndarray, parts: int = PARTS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Keys of all vectors, for each of the first so many substrings, and the vectors' numbers."""
         codes = self.coder.codes(vectors.astype(np.float64))
-        for p in self.parts():
+        for p in self.parts()[:parts]:
             group = self.group(codes, p)
             split = (ids * 0x9E3779B1 >> 7) % self.splits[p][group] if p in self.splits else 0 * ids
             yield self.key(p, group, split), np.arange(ids.size)
 
-    def asked(self, ids: np.ndarray, vectors: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Keys that queries visit, and the queries' numbers."""
+    def asked(self, ids: np.ndarray, vectors: np.ndarray, home: bool) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Keys that queries visit first (home) or then, and the queries' numbers."""
         codes = self.coder.query_codes(vectors.astype(np.float64))
         groups = np.arange(1 << self.bits)
-        for p in self.parts():
+        for k, p in enumerate(self.parts()):
             for begin in range(0, ids.size, PROBED):
-                query, group = np.nonzero(np.bitwise_count(self.group(codes[begin : begin + PROBED], p)[:, None] ^ groups[None, :]) <= self.reach[p])
+                apart = np.bitwise_count(self.group(codes[begin : begin + PROBED], p)[:, None] ^ groups[None, :])
+                query, group = np.nonzero((apart <= self.reach[p]) & (((apart == 0) & (k < HOME or not self.bits)) == home))
                 n = self.splits[p][group] if p in self.splits else np.ones(group.size, np.int64)
                 split = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
                 yield self.key(p, np.repeat(group, n), split), np.repeat(query + begin, n)
@@ -219,18 +225,19 @@ def _vectors(batch: pa.RecordBatch, dims: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _dealt(rows: DataFrame, keys, asks: int, dims: int) -> DataFrame:
-    """Rows packed by key; keys(ids, vectors): arrays of keys and of the rows' numbers."""
+    """Rows packed by key; keys(ids, vectors): arrays of keys and of the rows' numbers; queries with their ``least``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, values = _vectors(batch, dims)
+            least = batch.column("least").to_numpy() if asks else None
             for key, at in keys(ids, values):
                 order = np.argsort(key, kind="stable")
                 key, at = key[order], at[order]
                 cut = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [key.size])).tolist() if key.size else [0]
                 own = [at[a:b][c : c + QUERIES] for a, b in zip(cut, cut[1:]) for c in range(0, b - a, QUERIES)]
                 of = [key[a] for a, b in zip(cut, cut[1:]) for _ in range(0, b - a, QUERIES)]
-                yield pa.record_batch({"key": pa.array(of, pa.int64()), "asks": pa.array([asks] * len(of), pa.int32()), "ids": pa.array([ids[x].astype("<i8").tobytes() for x in own], pa.binary()), "vectors": pa.array([values[x].tobytes() for x in own], pa.binary())})
+                yield pa.record_batch({"key": pa.array(of, pa.int64()), "asks": pa.array([asks] * len(of), pa.int32()), "ids": pa.array([ids[x].astype("<i8").tobytes() for x in own], pa.binary()), "vectors": pa.array([values[x].tobytes() for x in own], pa.binary()), "least": pa.array([least[x].astype("<f8").tobytes() if asks else None for x in own], pa.binary())})
 
     return rows.mapInArrow(run, _BLOCK)
 
@@ -241,7 +248,7 @@ def _met(held: DataFrame, asked: DataFrame, sent, k: int, dims: int, kind: str,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, now, parts, block = sent.value, None, [], None
         for batch in batches:
-            for key, asks, ids, vectors in zip(*(batch.column(c).to_pylist() for c in ("key", "asks", "ids", "vectors"))):
+            for key, asks, ids, vectors, least in zip(*(batch.column(c).to_pylist() for c in ("key", "asks", "ids", "vectors", "least"))):
                 ids, vectors = np.frombuffer(ids, "<i8"), np.frombuffer(vectors, kind).reshape(-1, dims)
                 if key != now:
                     now, parts, block = key, [], None
@@ -253,7 +260,7 @@ def _met(held: DataFrame, asked: DataFrame, sent, k: int, dims: int, kind: str,
                 if block is None:  # a key's vectors come before its queries
                     block = Block(*(np.concatenate(x) for x in zip(*parts)), index.coder, None if exact else key >> 58, index.radius)
                     parts = []
-                for query, near, score in block.search(ids, vectors.astype(np.float64), k):
+                for query, near, score in block.search(ids, vectors.astype(np.float64), np.frombuffer(least, "<f8"), k):
                     yield pa.record_batch({"query_id": pa.array(ids[query]), "vec_id": pa.array(near), "score": pa.array(score)})
 
     return held.union(asked).repartition(tasks, "key").sortWithinPartitions("key", "asks").mapInArrow(run, RESULT)
@@ -313,13 +320,23 @@ def nearest(df: DataFrame, queries, k: int = 20) -> DataFrame:
                 key, n = np.unique(key, return_counts=True)  # a key without splits stands for its group
                 yield pa.record_batch({"key": pa.array(key), "n": pa.array(n)})
 
-    if index.bits:
+    if index.bits:  # several keys a substring
         counted = rows.mapInArrow(sizes, "key long, n long").groupBy("key").agg(F.sum("n").alias("n")).filter(F.col("n") > 2 * BLOCK)
         index.split({r["key"]: r["n"] for r in counted.collect()})  # PARTS * 2**(64 / PARTS) rows at most
     sent = spark.sparkContext.broadcast(index)
-    held, visits = _dealt(rows, lambda *x: sent.value.posted(*x), 0, dims), _dealt(asked, lambda *x: sent.value.asked(*x), 1, dims)
-    at = scratch(spark)
-    _top(_met(held, visits, sent, k, dims, kind, tasks, exact=False), k).write.parquet(f"{at}/found")
+    lowest = F.lit(float("-inf"))
+    at, asked = scratch(spark), asked.withColumn("least", lowest)
+    held = _dealt(rows, lambda *x: sent.value.posted(*x, HOME if index.bits else PARTS), 0, dims)
+    first = _met(held, _dealt(asked, lambda *x: sent.value.asked(*x, True), 1, dims), sent, k, dims, kind, tasks, exact=False)
+    if index.bits:
+        _top(first, k).write.parquet(f"{at}/first")
+        near = spark.read.parquet(f"{at}/first")
+        bound = near.filter(F.col("rank") == k).select(F.col("query_id").alias("vec_id"), F.col("score").alias("__least"))
+        known = asked.join(bound, "vec_id", "left").select("vec_id", "v", F.coalesce("__least", lowest).alias("least"))
+        every_part = _dealt(rows, lambda *x: sent.value.posted(*x), 0, dims)
+        then = _met(every_part, _dealt(known, lambda *x: sent.value.asked(*x, False), 1, dims), sent, k, dims, kind, tasks, exact=False)
+        first = near.select("query_id", "vec_id", "score").union(then)
+    _top(first, k).write.parquet(f"{at}/found")
     found = spark.read.parquet(f"{at}/found")
     full = found.groupBy("query_id").count().filter(F.col("count") >= k).select(F.col("query_id").alias("vec_id"))
     few = asked.join(full, "vec_id", "left_anti")
