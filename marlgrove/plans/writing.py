@@ -8,7 +8,7 @@ from ..functions import text as t
 from ..operators import answer as a
 from ..operators import report as r
 from ..sources.tables import CHUNKS_SQL, chunks, table
-from .rag import INTENT_, ranked
+from .rag import INTENT_
 from .registry import query
 from .scores import n_
 
@@ -45,38 +45,6 @@ def citation_numbers(spark, sf_dir):
     return r.citation_numbers(table(spark, sf_dir, "events").select(F.col("user_id").alias("report_id"), F.col("event_id").alias("place"), F.col("event_type").alias("paper_id")))
 
 
-def _evidence(spark, sf_dir):
-    """Each query's ranked evidence sentences: group_id, place, paper_id, sentence."""
-    hits = ranked(spark, sf_dir)
-    found = r.evidence_sentences(hits.select(F.struct("query_id", "rank", "paper_id").alias("chunk_id"), "chunk_text"))
-    return found.select(F.col("chunk_id.query_id").alias("group_id"), (F.col("chunk_id.rank") * 10 + F.col("place")).alias("place"), F.col("chunk_id.paper_id").alias("paper_id"), "sentence")
-
-
-@query()
-def evidence_clusters(spark, sf_dir):
-    return r.clusters(_evidence(spark, sf_dir))
-
-
-@query()
-def claim_novelty(spark, sf_dir):
-    return r.novel(_evidence(spark, sf_dir))
-
-
-@query()
-def reports(spark, sf_dir):
-    kept = _evidence(spark, sf_dir)
-    fresh = kept.join(r.novel(kept), ["group_id", "place"])
-    return r.draft(fresh.withColumnRenamed("group_id", "report_id"))
-
-
-@query()
-def writer_evaluation(spark, sf_dir):
-    """Words, diversity, readability and repetition of every report."""
-    c = F.col("markdown")
-    rep = r.repetition(c)
-    return reports(spark, sf_dir).select("report_id", t.count(c, t.WORD).alias("words"), rep["diversity"].alias("diversity"), rep["repeated"].alias("repeated"), r.readability(c).alias("readability"))
-
-
 @query("WITH w AS (SELECT DISTINCT source, lang, unnest(regexp_extract_all(lower(text), '[a-z]{4,}')) AS term FROM documents), n AS (SELECT source, count(DISTINCT lang) AS n FROM documents GROUP BY 1) SELECT source, count(*) AS shared_terms FROM (SELECT source, term, count(*) AS k FROM w GROUP BY 1, 2) JOIN n USING (source) WHERE k = n GROUP BY 1")
 def shared_terminology(spark, sf_dir):
     """Terms that every language of a source uses."""
