@@ -29,4 +29,4 @@ def query(oracle: str | None = None, name: str | None = None) -> Callable[[Query
 
 def load() -> None:
     """Imports the modules that register queries."""
-    from . import agentic, analytics, composing, corpus, drafting, rag, relational, retrieval, scores, streams, writing  # noqa: F401
+    from . import agentic, analytics, composing, corpus, drafting, rag, relational, retrieval, scores, stores, streams, writing  # noqa: F401

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from marlgrove.functions import text as t
 from marlgrove.functions import udfs
-from marlgrove.operators import answer, chunker, evaluate, layout, report, rescue, search
+from marlgrove.operators import agentic, answer, chunker, compose, driver, evaluate, layout, report, rescue, search, writer
 from marlgrove.sources import artefacts, manifest
 
 
@@ -245,3 +245,158 @@ def test_command_line(sf, tmp_path, spark):
 
     main(["value_counts", sf, "--out", f"file://{tmp_path}/o"])
     assert spark.read.parquet(f"file://{tmp_path}/o").count() == 4
+
+
+def test_answers_are_refined(spark):
+    """The second of two equal paragraphs goes, and a caution comes where sources conflict."""
+    df = spark.createDataFrame([("A b.\n\na  B.\n\nC.", 0.5), ("A.", 0.0)], "x string, c double")
+    got = [r[0] for r in df.select(compose.refined(F.col("x"), F.col("c"))).collect()]
+    assert got[0].startswith("A b.\n\nC.\n\nCaution") and got[1] == "A."
+
+
+def test_revision_against_plain_python(spark):
+    texts = ["One two. Three four.\n\nOne  TWO. Five six seven.", "", "Alpha beta.\n\n" + "word " * 20 + "end.\n\nShort one.", "Same. Same.\n\nSame."]
+
+    def sentences(p):
+        return [s for s in (x.strip() for x in re.split(r"(?<=[.!?])\s+", p)) if s]
+
+    def paragraphs(x):
+        return [p.strip() for p in x.split("\n\n") if p.strip()]
+
+    def once(x):
+        seen, out = set(), []
+        for p in paragraphs(x):
+            kept = []
+            for s in sentences(p):
+                key = re.sub(r"\s+", " ", s.lower())
+                if key not in seen:
+                    seen.add(key)
+                    kept.append(s)
+            if kept:
+                out.append(" ".join(kept))
+        return "\n\n".join(out)
+
+    def joined(x):
+        out = []
+        for p in paragraphs(x):
+            if out and len(p.split()) < writer.SHORT:
+                out[-1] += " " + p
+            else:
+                out.append(p)
+        return "\n\n".join(out)
+
+    assert one(spark, writer.without_repeats, *texts) == [once(x) for x in texts]
+    assert one(spark, writer.joined_short, *texts) == [joined(x) for x in texts]
+    evidence = F.lit("three four five six seven words")
+    assert one(spark, lambda c: writer.without_unsupported(c, evidence), "Three four.\n\nWhales swim.") == ["Three four."]
+
+
+def test_anchors_against_plain_python(spark):
+    rnd = random.Random(9)
+    words = ["red", "blue", "green", "black", "white", "gold"]
+    rows = [(g, i, i % 5 + 1, " ".join(rnd.sample(words, 3)), rnd.choice([0.1, 0.2, 0.3])) for g in range(5) for i in range(12)]
+    got = {}
+    for r in writer.anchors(spark.createDataFrame(rows, "group_id long, place int, cluster int, sentence string, score double")).collect():
+        got.setdefault(r.group_id, []).append((r.place, r.cluster, r.anchor, r.members))
+    for g in range(5):
+        own = [r for r in rows if r[0] == g]
+        made = []
+        for k in range(1, 6):
+            part = [r for r in own if r[2] == k]
+            made.append((-max(r[4] for r in part), -len(part), k, part[0][3]))
+        kept = []
+        for score, n, k, anchor in sorted(made):
+            if all(jaccard(set(anchor.split()), set(a.split())) < 0.55 for _, a, _ in kept):
+                kept.append((k, anchor, -n))
+        assert sorted(got[g]) == [(i, k, a, n) for i, (k, a, n) in enumerate(kept[:8])]
+
+
+def test_writer_memory(spark):
+    claim = "array<struct<claim:string,mark:string>>"
+    rows = [(1, 0, "A", [("c1", "[p §x]"), ("c2", "[q §x]")], ["Term", "Other"], ["weak support"], 0.5, 1.0, 0.4, 0.0, 3), (1, 1, "B", [("c3", "[p §x]"), ("c1", "[p §x]")], ["term"], ["weak support", "sources differ"], 0.7, 0.5, 0.6, 0.1, 2)]
+    df = spark.createDataFrame(rows, f"query_id long, place int, title string, claims {claim}, terms array<string>, gaps array<string>, quality double, coverage double, coherence double, gain double, pieces int")
+    r = writer.memory(df, claims=2).first()
+    assert r.claim_memory == ["c2", "c3"] and r.citation_reuse == {"[p §x]": 3, "[q §x]": 1}
+    assert r.terminology == {"term": "Term", "other": "Other"} and r.unresolved_gaps == ["weak support", "sources differ"]
+    assert r.section_quality == {0: 0.5, 1: 0.7} and r.section_pieces == {0: 3, 1: 2}
+
+
+def loop_search(spark, answers):
+    """A search whose results are given by the text of the query."""
+    rows = [(text, rank, chunk, f"p{chunk}", "body", 1.0 / rank, f"chunk {chunk} {words}") for text, found in answers.items() for rank, (chunk, words) in enumerate(found, 1)]
+    table = spark.createDataFrame(rows, "text string, rank int, chunk_id long, paper_id string, label string, score double, chunk_text string")
+    return lambda asked: asked.select("query_id", "text").join(table, "text").select("query_id", "rank", "chunk_id", "paper_id", "label", "score", "chunk_text", "text")
+
+
+def test_retrieval_loop_stops_where_enough_is_covered(spark):
+    q = spark.createDataFrame([(3, "Alpha gradient policy", [1.0])], "query_id long, text string, v array<double>")
+    forms = q.select(agentic.reformulations(F.col("text"))).first()[0]
+    assert forms == ["Alpha gradient policy", "Alpha", "alpha gradient policy"]
+    found = {forms[0]: [(1, "none"), (2, "none")], forms[1]: [(3, "policy"), (4, "none")], forms[2]: [(5, "gradient"), (6, "policy")]}
+    hits, report = agentic.retrieval_loop(loop_search(spark, found), q)
+    assert tuple(report.first()) == (3, 2, 2, 1.0, "covered") and sorted(r.chunk_id for r in hits.collect()) == [5, 6]
+    del found[forms[2]]
+    found[forms[0]] = [(1, "policy"), (2, "none")]
+    hits, report = agentic.retrieval_loop(loop_search(spark, found), q)
+    assert tuple(report.first()) == (3, 1, 2, 0.5, "no_more_forms") and sorted(r.chunk_id for r in hits.collect()) == [3, 4]
+
+
+def test_multi_hop_keeps_the_first_score(spark):
+    q = spark.createDataFrame([(3, "Alpha gradient policy", [1.0])], "query_id long, text string, v array<double>")
+    found = {"Alpha gradient policy": [(1, "x"), (2, "y")], "Alpha gradient policy Alpha": [(2, "y"), (7, "z")], "Alpha gradient policy alpha": [(8, "w")]}
+    got = {r.chunk_id: (r.score, r.from_set) for r in agentic.multi_hop(loop_search(spark, found), q).collect()}
+    assert got == {1: (1.0, 0), 2: (0.5, 0), 7: (0.5, 1), 8: (1.0, 2)}
+
+
+def test_post_processing_judges_again(spark):
+    ev = spark.createDataFrame([(1, 1, 10, "p", "body", 0.9, "Policy gradient works. However it fails.", "policy"), (1, 2, 11, "q", "body", 0.8, "Policy gradient is stable.", "policy")], "query_id long, rank int, chunk_id long, paper_id string, label string, score double, chunk_text string, text string")
+    out = agentic.post_process(agentic.judged(answer.structured_answers(ev)), ev).first()
+    assert out.edges == 1 and out.contradiction == 0.5 and "Caution" in out.answer and "expand_retrieval" in out.actions
+
+
+def test_driver_takes_up_what_is_new(spark, tmp_path):
+    at = f"file://{tmp_path}/build"
+    lines = spark.createDataFrame([(p, i, x) for p, text in ((1, "Introduction\nFirst words here.\nx = y + z"), (2, "Other text that goes on."), (3, " \n ")) for i, x in enumerate(text.split("\n"))], "paper_id long, ord int, line string")
+    assert driver.run(lines.filter("paper_id = 1"), at) == {"processed": 1, "failed": 0, "skipped": 0}
+    assert driver.run(lines, at) == {"processed": 1, "failed": 1, "skipped": 1}
+    assert driver.run(lines, at, force=True, mode="skip_repair") == {"processed": 2, "failed": 1, "skipped": 0}
+    assert {r.paper_id for r in driver.read(spark, at, "paragraphs").collect()} == {1, 2}
+    assert driver.read(spark, at, "equations").count() == 0 and spark.read.parquet(f"{at}/equations").count() == 1
+    assert spark.read.json(f"{at}/failures").count() == 2
+    with pytest.raises(ValueError):
+        driver.artefacts(lines, "other")
+    assert set(driver.artefacts(lines, "repair_only")) == {"paragraphs", "sections", "headings", "chunks", "equations", "regions", "excluded"}
+
+
+def test_plain_pdf_round_trip(spark, tmp_path):
+    pages = ["a (b) \\ c\n\nline é", "two"]
+    (tmp_path / "x.pdf").write_bytes(artefacts.plain_pdf(pages))
+    got = sorted((r.page_no, r.text, r.backend) for r in artefacts.pdf_pages(spark, f"file://{tmp_path}").collect())
+    assert got == [(0, pages[0], "plain"), (1, pages[1], "plain")]
+
+
+def test_retries():
+    calls, waits = [], []
+
+    def call():
+        calls.append(1)
+        if len(calls) < 3:
+            raise OSError
+        return 7
+
+    assert artefacts.with_retries(call, sleep=waits.append) == 7 and waits == [0.5, 1.0]
+    with pytest.raises(OSError):
+        artefacts.with_retries(lambda: (_ for _ in ()).throw(OSError()), attempts=2, sleep=waits.append)
+
+
+def test_cache_computes_what_is_new_once(spark, tmp_path):
+    at, met = f"file://{tmp_path}/cache", []
+
+    def compute(rows):
+        met.append(sorted(r.key for r in rows.collect()))
+        return rows.select("key", F.upper("key").alias("up"))
+
+    df = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3)], "key string, n long")
+    assert artefacts.cached(df.filter("key = 'a'"), "key", at, compute).count() == 2
+    assert sorted((r.n, r.up) for r in artefacts.cached(df, "key", at, compute).collect()) == [(1, "A"), (2, "B"), (3, "A")]
+    assert met == [["a"], ["b"]]
