@@ -12,7 +12,8 @@ from ..operators.contain import containing
 from ..sources.tables import CHUNKS_SQL, LINES_SQL, chunks, lines, table
 from .registry import query
 from .retrieval import BM25_, bm25_topk, knn_graph
-from .scores import n_
+from .corpus import JOINED_, PARA_, ROLE_
+from .scores import DENSITY_CHUNKER_, n_, unit_
 
 REL_ = "rel AS (SELECT b.item_id AS query_id, d.doc_id AS chunk_id FROM benchmark b JOIN documents d ON contains(d.text, b.text))"
 
@@ -30,19 +31,34 @@ def section_neighbors(spark, sf_dir):
     return evaluate.section_neighbours(chunks(spark, sf_dir))
 
 
-ENT_ = "ent AS (SELECT DISTINCT doc_id AS chunk_id, unnest(regexp_extract_all(text, '\\b[A-Z]{3,}\\b')) AS entity FROM (SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F]', '_', 'g') AS text FROM documents)), cnt AS (SELECT entity, count(*) AS n, min(chunk_id) AS first FROM ent GROUP BY 1), few AS (SELECT chunk_id, entity FROM ent JOIN cnt USING (entity) WHERE n BETWEEN 2 AND 50), star AS (SELECT chunk_id AS src, first AS dst FROM ent JOIN cnt USING (entity) WHERE n > 50 AND chunk_id <> first)"
+ENT_ = """ent AS (SELECT DISTINCT doc_id AS chunk_id, unnest(regexp_extract_all(text, '\\b[A-Z]{3,}\\b')) AS entity FROM (SELECT doc_id, regexp_replace(text, '[^\\x00-\\x7F]', '_', 'g') AS text FROM documents)),
+sets AS (SELECT chunk_id, list_sort(list(entity)) AS es FROM ent GROUP BY 1), cls AS (SELECT es, min(chunk_id) AS class, count(*) AS n FROM sets GROUP BY 1), own AS (SELECT class, n, unnest(es) AS entity FROM cls),
+links AS (SELECT a.class AS src, b.class AS dst, any_value(b.n) AS n, count(*) AS shared FROM own a JOIN own b USING (entity) WHERE a.class <> b.class GROUP BY 1, 2)"""
 
 
-@query(f"WITH {ENT_} SELECT a.chunk_id AS src, b.chunk_id AS dst FROM few a JOIN few b USING (entity) WHERE a.chunk_id <> b.chunk_id UNION SELECT src, dst FROM star UNION SELECT dst, src FROM star")
-def citation_neighbors(spark, sf_dir):
+def _entities(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     plain = F.regexp_replace("text", r"[^\x00-\x7F]", "_")
-    return evaluate.entity_neighbours(docs.select(F.col("doc_id").alias("chunk_id"), F.explode(F.array_distinct(t.found(plain, r"\b[A-Z]{3,}\b"))).alias("entity")), most=50)
+    return docs.select(F.col("doc_id").alias("chunk_id"), F.explode(F.array_distinct(t.found(plain, r"\b[A-Z]{3,}\b"))).alias("entity"))
+
+
+@query(f"WITH {ENT_} SELECT chunk_id, class, n - 1 + coalesce((SELECT sum(l.n) FROM links l WHERE l.src = class), 0)::BIGINT AS links FROM sets JOIN cls USING (es)")
+def citation_neighbors(spark, sf_dir):
+    """Every chunk with its class and the number of chunks that it shares an entity with."""
+    return evaluate.entity_links(_entities(spark, sf_dir))
 
 
-@query(f"WITH {CHUNKS_SQL}, {ENT_}, p AS (SELECT chunk_id AS src, lead(chunk_id) OVER (PARTITION BY paper_id ORDER BY chunk_index) AS dst FROM chunks), k AS (SELECT a.vec_id AS src, b.vec_id AS dst, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) DESC, b.vec_id) AS r FROM embeddings a, embeddings b) SELECT 'section_neighbor' AS relation, 2 * count(dst) AS n FROM p UNION ALL SELECT 'citation_neighbor', count(*) FROM (SELECT a.chunk_id AS src, b.chunk_id AS dst FROM few a JOIN few b USING (entity) WHERE a.chunk_id <> b.chunk_id UNION SELECT src, dst FROM star UNION SELECT dst, src FROM star) UNION ALL SELECT 'semantic_neighbor', count(*) FROM k WHERE r <= 3 AND src <> dst")
+@query(f"WITH {ENT_} SELECT src AS class, dst AS other, shared FROM links WHERE src < dst")
+def citation_links(spark, sf_dir):
+    """The links between classes; those of their chunks follow from the classes' members."""
+    return evaluate.entity_groups(_entities(spark, sf_dir))[1]
+
+
+@query(f"WITH {CHUNKS_SQL}, {ENT_}, p AS (SELECT chunk_id AS src, lead(chunk_id) OVER (PARTITION BY paper_id ORDER BY chunk_index) AS dst FROM chunks), k AS (SELECT a.vec_id AS src, b.vec_id AS dst, row_number() OVER (PARTITION BY a.vec_id ORDER BY round(list_inner_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 6) DESC, b.vec_id) AS r FROM embeddings a, embeddings b) SELECT 'section_neighbor' AS relation, 2 * count(dst) AS n FROM p UNION ALL SELECT 'citation_neighbor', count(*) FROM links HAVING count(*) > 0 UNION ALL SELECT 'semantic_neighbor', count(*) FROM k WHERE r <= 3 AND src <> dst")
 def memory_graph(spark, sf_dir):
-    graph = evaluate.memory_graph(section_neighbors(spark, sf_dir), citation_neighbors(spark, sf_dir), knn_graph(spark, sf_dir))
+    """Edges by kind; those of shared entities are between classes of chunks, both ways."""
+    shared = citation_links(spark, sf_dir).select(F.col("class").alias("src"), F.col("other").alias("dst"))
+    graph = evaluate.memory_graph(section_neighbors(spark, sf_dir), shared.union(shared.select("dst", "src")), knn_graph(spark, sf_dir))
     return graph.groupBy("relation").agg(F.count("*").alias("n"))
 
 
@@ -85,14 +101,38 @@ def validator_report(spark, sf_dir):
     return rows.withColumn("status", F.when(F.col("empty") > 0, "failed").when(F.col("short") / F.col("n_lines") > 0.5, "needs_review").otherwise("ready"))
 
 
-@query()
-def semantic_chunks(spark, sf_dir):
+_tok = "greatest(1, floor(len(regexp_extract_all({}, '\\S+')) * 1.25::DOUBLE))::BIGINT"
+_sum = f"coalesce(list_sum(list_transform(texts, lambda x: {_tok.format('x')})), 0)"
+_last = "rtrim(texts[-1], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+_goes = f"((ends_with({_last}, '-') AND small) OR (NOT regexp_matches({_last}, '[.!?:;]$') AND small) OR (regexp_matches({_last}, '(Figure|Table|Algorithm) \\d+$') AND large))"
+_apart = "('" + "','".join(sorted(chunker.APART)) + "')"
+_cuts = f"(fresh > 0 AND CASE WHEN {_sum} >= {chunker.MOST} THEN true WHEN roles[-1] IN {_apart} OR (role IN {_apart} AND {_sum} < {chunker.TARGET}) OR {_goes} THEN false WHEN {_sum} + {_tok.format('p.text')} > {chunker.TARGET} AND {_sum} >= {chunker.LEAST} THEN true ELSE regexp_matches({_last}, '[.!?]$') AND large AND {_sum} >= {int(0.85 * chunker.TARGET)} END)"
+_keep = lambda x: f"CASE WHEN {_tok.format('texts[-1]')} >= 80 OR len(texts) = 1 THEN {x}[-1:] ELSE {x}[-2:] END"
+#: Paragraphs and the chunks that a fold in reading order makes of them.
+CHUNKED_ = f"""{LINES_SQL}, {PARA_}, pt AS (SELECT paper_id, paragraph, {JOINED_} AS text FROM (SELECT paper_id, paragraph, list(line ORDER BY ord) AS ls FROM para GROUP BY 1, 2)),
+pr AS (SELECT paper_id, paragraph::BIGINT AS ord, text, coalesce({ROLE_.replace('line', 'text')}, '') AS role, regexp_matches(text, '^\\p{{Ll}}') AS small, regexp_matches(text, '^\\p{{Lu}}') AS large, row_number() OVER (PARTITION BY paper_id ORDER BY paragraph) AS r, count(*) OVER (PARTITION BY paper_id) AS size FROM pt WHERE text <> ''),
+cf AS (SELECT DISTINCT paper_id, size, 0::BIGINT AS r, []::BIGINT[] AS ords, []::VARCHAR[] AS texts, []::VARCHAR[] AS roles, 0::BIGINT AS fresh, []::STRUCT(o BIGINT[], t VARCHAR)[] AS done FROM pr
+UNION ALL SELECT f.paper_id, f.size, p.r, CASE WHEN {_cuts} THEN list_append({_keep('ords')}, p.ord) ELSE list_append(ords, p.ord) END, CASE WHEN {_cuts} THEN list_append({_keep('texts')}, p.text) ELSE list_append(texts, p.text) END, CASE WHEN {_cuts} THEN list_append({_keep('roles')}, p.role) ELSE list_append(roles, p.role) END, CASE WHEN {_cuts} THEN 1 ELSE fresh + 1 END, CASE WHEN {_cuts} THEN list_append(done, {{'o': ords, 't': array_to_string(texts, chr(10) || chr(10))}}) ELSE done END FROM cf f JOIN pr p ON p.paper_id = f.paper_id AND p.r = f.r + 1),
+ch AS (SELECT paper_id, unnest(range(len(d)))::BIGINT AS chunk_index, unnest(d) AS c FROM (SELECT paper_id, list_append(done, {{'o': ords, 't': array_to_string(texts, chr(10) || chr(10))}}) AS d FROM cf WHERE r = size)), sc AS (SELECT paper_id, chunk_index, c.o AS ids, c.t AS text FROM ch)"""
+
+
+def chunked(spark, sf_dir):
     return chunker.chunk(o.paragraphs(lines(spark, sf_dir)).select("paper_id", F.col("paragraph").alias("ord"), "text", o.structural_role(F.col("text")).alias("role")))
 
 
-@query()
+@query(f"WITH RECURSIVE {CHUNKED_} SELECT paper_id, chunk_index, md5(text) AS text_md5, array_to_string(ids, '|') AS paragraphs FROM sc")
+def semantic_chunks(spark, sf_dir):
+    return chunked(spark, sf_dir).select("paper_id", "chunk_index", F.md5("chunk_text").alias("text_md5"), F.array_join(F.col("paragraph_ids").cast("array<string>"), "|").alias("paragraphs"))
+
+
+_dens = DENSITY_CHUNKER_.replace("doc_id", "paper_id, chunk_index").replace("FROM documents", "FROM sc")
+SCORED_ = f"""SELECT *, {unit_('coherence_score * 0.24::DOUBLE + (1 - noise_score) * 0.24::DOUBLE + 0.45::DOUBLE * 0.18::DOUBLE + semantic_density_score * 0.18::DOUBLE + least(1.0::DOUBLE, semantic_density_score * 0.45::DOUBLE + least(tokens / 700.0::DOUBLE, 0.15::DOUBLE)) * 0.16::DOUBLE', 4)} AS retrieval_quality_score FROM (
+SELECT paper_id, chunk_index, {_tok.format('text')} AS tokens, {unit_(f"1 - abs({_tok.format('text')} / greatest(1, {n_('[.!?]')}) - 24) / 32", 4)} AS coherence_score, {unit_(f"{n_('[^' + chr(92) + 'p{L}' + chr(92) + 'p{N}_' + chr(92) + 's.,;:()' + chr(92) + '-]')}::DOUBLE / greatest(length(text), 1) * 4", 4)} AS noise_score, density AS semantic_density_score FROM sc JOIN ({_dens}) USING (paper_id, chunk_index))"""
+
+
+@query(f"WITH RECURSIVE {CHUNKED_} {SCORED_}")
 def chunk_scores(spark, sf_dir):
-    return chunker.scored(semantic_chunks(spark, sf_dir))
+    return chunker.scored(chunked(spark, sf_dir))
 
 
 @query("SELECT page_id, regexp_extract(url, '^https?://([^/]+)', 1) AS host FROM pages")

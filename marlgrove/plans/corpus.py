@@ -70,7 +70,11 @@ def paragraph_islands(spark, sf_dir):
     return o.numbered_paragraphs(lines(spark, sf_dir)).groupBy("paper_id", "paragraph").agg(F.count("*").alias("n_lines"), F.sum(F.length("line")).alias("chars"))
 
 
-@query()
+#: Lines joined to a paragraph.
+JOINED_ = "list_reduce(ls, lambda s, x: CASE WHEN s = '' THEN x WHEN ends_with(s, '-') AND regexp_matches(x, '^\\p{Ll}') THEN regexp_replace(s, '-$', '') || x ELSE s || ' ' || x END)"
+
+
+@query(f"WITH {LINES_SQL}, {PARA_} SELECT paper_id, paragraph::BIGINT AS paragraph, len(ls) AS n_lines, {JOINED_} AS text FROM (SELECT paper_id, paragraph, list(line ORDER BY ord) AS ls FROM para GROUP BY 1, 2)")
 def paragraph_texts(spark, sf_dir):
     return o.paragraphs(lines(spark, sf_dir))
 

@@ -202,10 +202,24 @@ def test_lexical_rescue_by_parts_of_words(spark):
     assert sorted(find("ushers")) == ["he", "hers", "she"]
 
 
-def test_entity_neighbours_stay_linear(spark):
-    df = spark.createDataFrame([(i, "hot") for i in range(500)] + [(1, "cold"), (2, "cold")], "chunk_id long, entity string")
-    got = {(r.src, r.dst) for r in evaluate.entity_neighbours(df, most=50).collect()}
-    assert {(1, 2), (2, 1), (0, 499), (499, 0)} <= got and len(got) == 2 * 499 + 2
+def test_entity_links_are_all_counted(spark):
+    """Against all pairs; a hot entity's chunks are few classes, and no pair of chunks is listed."""
+    rnd = random.Random(3)
+    rows = [(i, "hot") for i in range(400)] + [(i, f"e{rnd.randint(0, 5)}") for i in range(100)] + [(500, "lone")]
+    df = spark.createDataFrame(rows, "chunk_id long, entity string")
+    have = {}
+    for i, x in rows:
+        have.setdefault(i, set()).add(x)
+    want = {i: sum(1 for j in have if j != i and have[i] & have[j]) for i in have}
+    assert {r.chunk_id: r.links for r in evaluate.entity_links(df).collect()} == want
+    members, links = evaluate.entity_groups(df)
+    assert links.count() <= 21
+    group = {}
+    for r in members.collect():
+        group.setdefault(r["class"], []).append(r.chunk_id)
+    pairs = {(i, j) for m in group.values() for i in m for j in m if i != j and have[i] & have[j]}
+    pairs |= {p for r in links.collect() for i in group[r["class"]] for j in group[r.other] for p in ((i, j), (j, i))}
+    assert len(pairs) == sum(want.values())
 
 
 def test_manifest(spark, tmp_path):
