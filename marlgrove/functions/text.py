@@ -5,6 +5,8 @@ Scores are rounded where later scores read them, so that sums of them agree what
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -96,19 +98,27 @@ def density_quality(c: Column) -> Column:
 
 
 def language_entropy(c: Column) -> Column:
-    """Entropy of letters over its most; 0 if there is one letter only."""
+    """Entropy of letters over its most; 0 if there is one letter only. Common letters are taken out one after the other, the most frequent first, and only what is left is listed."""
 
     def score(letters: Column) -> Column:
         n = F.length(letters)
+        state = "struct<rest:string,counts:array<int>>"
+
+        def take(s: Column, x: Column) -> Column:
+            return let(F.replace(s["rest"], x, F.lit("")), lambda r: F.struct(r.alias("rest"), F.concat(s["counts"], F.array(F.length(s["rest"]) - F.length(r))).alias("counts")).cast(state))
+
+        def others(s: Column) -> Column:
+            kinds = F.filter(F.array_distinct(F.split(s["rest"], "")), lambda x: x != "")
+            return F.concat(s["counts"], F.transform(kinds, lambda x: F.length(s["rest"]) - F.length(F.replace(s["rest"], x, F.lit("")))))
 
-        def body(kinds: Column) -> Column:
-            parts = F.transform(kinds, lambda x: (n - F.length(F.replace(letters, x, F.lit("")))) / n)
-            total = F.aggregate(parts, F.lit(0.0), lambda s, p: s - p * F.log2(p))
-            return F.when(F.size(kinds) <= 1, F.lit(0.0)).otherwise(unit(total / F.log2(F.least(F.lit(26), F.size(kinds)).cast("double"))))
+        def body(counts: Column) -> Column:
+            total = F.aggregate(counts, F.lit(0.0), lambda s, k: s - k / n * F.log2(k / n))
+            return F.when(F.size(counts) <= 1, F.lit(0.0)).otherwise(unit(total / F.log2(F.least(F.lit(26), F.size(counts)).cast("double"))))
 
-        return let(F.filter(F.array_distinct(F.split(letters, "")), lambda x: x != ""), body)
+        start = F.struct(letters.alias("rest"), F.array().cast("array<int>").alias("counts")).cast(state)
+        return let(F.filter(F.aggregate(F.array(*[F.lit(x) for x in "etaoinshrdlucmfwypvbgkjqxz"]), start, take, others), lambda k: k > 0), body)
 
-    return let(F.regexp_replace(F.lower(c), r"[^\p{L}]", ""), score)
+    return let(F.regexp_replace(F.lower(c), r"[^\p{L}]+", ""), score)
 
 
 def average_sentence_length(c: Column) -> Column:
@@ -124,7 +134,7 @@ def numeric_ratio(c: Column) -> Column:
 
 
 def alphabetic_ratio(c: Column) -> Column:
-    return F.round(share(count(c, r"\p{L}"), F.length(c)), 6)
+    return F.round(share(F.length(F.regexp_replace(c, r"[^\p{L}]+", "")), F.length(c)), 6)  # runs of others are fewer than letters
 
 
 def lines(c: Column, stripped: bool = True) -> Column:
@@ -172,7 +182,7 @@ def table_probability(c: Column) -> Column:
 
 def benchmark_probability(c: Column) -> Column:
     def score(all_: Column) -> Column:
-        term = _lines_with(all_, lambda x: x.rlike("|".join(BENCHMARK_TERMS)))
+        term = _lines_with(all_, lambda x: reduce(lambda a, b: a | b, (x.contains(k) for k in BENCHMARK_TERMS)))
         rate = _lines_with(all_, lambda x: x.contains("%") | x.rlike(r"\b\d+\.\d+\b"))
         return unit(term * 0.55 + rate * 0.45)
 
