@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import boxed, cover, flat, mix, runs_to_spans, scratch, slices, words
+from .common import _SPACE, boxed, flat, mix, scratch, slices
 from .windows import anchored_runs, by_window, named, repeated_spans, spans_of, stretches, with_spans
 
 #: Bytes of an anchor.
@@ -175,6 +175,19 @@ def find_spans(docs: DataFrame, window: int, at: str) -> DataFrame:
     return repeated_spans(docs, at, runs, send, meet, window, body=window + (window - GRAM) // 2)
 
 
+def merged(begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The maximal runs that spans cover, in order."""
+    order = np.argsort(begin, kind="stable")
+    begin, end = begin[order], np.maximum.accumulate(end[order])
+    new = np.flatnonzero(np.concatenate(([True], begin[1:] > end[:-1])))
+    return begin[new], end[np.append(new[1:], begin.size) - 1]
+
+
+def _n_words(data: np.ndarray) -> int:
+    inside = ~_SPACE[data]
+    return int(inside[0]) + int(np.count_nonzero(inside[1:] & ~inside[:-1]))
+
+
 def _rest(column: pa.Array, listed: list, least_words: int = 0) -> Iterator[tuple[int, int, int, bytes]]:
     """Bytes, removed bytes, removed spans and what is left of each text; spans of fewer words than asked for stay."""
     data, at = flat(column)
@@ -182,11 +195,10 @@ def _rest(column: pa.Array, listed: list, least_words: int = 0) -> Iterator[tupl
         if not spans:
             yield b - a, 0, 0, data[a:b].tobytes()
             continue
-        gone = cover(b - a, *spans_of(spans))
-        if least_words:
-            for first, end in zip(*runs_to_spans(gone)):
-                gone[first:end] = words(data[a + first : a + end], np.array([0, end - first]))[0].size >= least_words
-        yield b - a, int(gone.sum()), runs_to_spans(gone)[0].size, data[a:b][~gone].tobytes()
+        runs = [(first, end) for first, end in zip(*(x.tolist() for x in merged(*spans_of(spans)))) if not least_words or _n_words(data[a + first : a + end]) >= least_words]
+        cut = [0, *(x for run in runs for x in run), b - a]
+        left = b"".join([data[a + x : a + y].tobytes() for x, y in zip(cut[::2], cut[1::2])])
+        yield b - a, b - a - len(left), len(runs), left
 
 
 def repeat_digests(docs: DataFrame, window: int = 400) -> DataFrame:
