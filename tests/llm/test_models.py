@@ -125,6 +125,18 @@ def test_labels_are_the_best():
             assert abs(got - viterbi(scores)) < 1e-6
 
 
+def test_word_scores_that_start_anew(monkeypatch):
+    """A labeller whose table overflows labels as one that holds all words."""
+    rng = np.random.default_rng(1)
+    model = language_id.Model(["a", "b"], rng.normal(-8, 1, (language_id.BUCKETS, 2)), np.ones(2, int))
+    batches = [[[b"w%d" % rng.integers(200) for _ in range(rng.integers(0, 30))] for _ in range(5)] for _ in range(20)]
+    whole = language_id.Labeller(model)
+    want = [whole.label(b)[0].tolist() for b in batches]
+    monkeypatch.setattr(language_id, "TABLE_ROWS", 20)
+    small = language_id.Labeller(model)
+    assert [small.label(b)[0].tolist() for b in batches] == want
+
+
 def test_halves_in_two_languages_neither_the_best():
     """Each half gains 10 over the best single language, under SWITCH, and both together 20."""
     model = language_id.Model(["a", "b", "c"], np.zeros((language_id.BUCKETS, 3)), np.ones(3, int))

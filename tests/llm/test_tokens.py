@@ -6,12 +6,14 @@ import zlib
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from marlgrove.llm import packing, piece_codec, queries, token_count, token_files
+from marlgrove.llm import packing, piece_codec, queries, token_count, token_files, word_codec
+from marlgrove.llm.common import flat
 
 from .conftest import rows, texts
 
@@ -56,6 +58,28 @@ def test_fit_is_the_definition():
         assert m._fit(a, b) == (m.merged(a + b) == [a, b])
 
 
+def test_tables_that_start_anew(monkeypatch):
+    """Each worker's table overflows at every batch; results stay those of the libraries."""
+    monkeypatch.setattr(piece_codec, "TABLE_ROWS", 5)
+    monkeypatch.setattr(word_codec, "TABLE_ROWS", 5)
+    monkeypatch.setattr(token_count, "TABLE_ROWS", 5)
+    monkeypatch.setattr(token_count, "EDGES", 40)
+    sp, lib, byte = sentencepiece.SentencePieceProcessor(model_file=PIECE), Tokenizer.from_file(WORD), Tokenizer.from_file(BYTE)
+    chunks, words, counter = piece_codec.ChunkTable(PIECE), word_codec.WordTable(WORD), token_count.Counter(BYTE)
+    odd = odd_texts()
+    for k in range(0, len(odd), 7):
+        some = odd[k : k + 7]
+        split = [piece_codec.split_chunks(t.encode()) for t in some]
+        chunks.fill(set().union(*split))
+        for t, s in zip(some, split):
+            ids = sp.encode(t) + [sp.eos_id()]
+            assert chunks.encode(s).decode() == " ".join(map(str, ids)) and chunks.decode(s).decode() == sp.decode(ids)
+        ids, at = words.encode(pa.array(some), 2)
+        assert [ids[a:b].tolist() for a, b in zip(at, at[1:])] == [lib.encode(t, add_special_tokens=False).ids + [2] for t in some]
+        data, at = flat(pa.array(some))
+        assert counter.counts(data, at).tolist() == [len(byte.encode(t, add_special_tokens=False).ids) for t in some]
+
+
 def word_ids(df, end):
     lib = Tokenizer.from_file(WORD)
     return sorted((d, lib.encode(t or "", add_special_tokens=False).ids + [end]) for d, t in texts(df))
