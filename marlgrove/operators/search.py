@@ -189,17 +189,47 @@ def hybrid(chunks: DataFrame, vectors: DataFrame, queries: DataFrame, k: int = F
     return ranked(met, "score", k).select(*keep)
 
 
+#: Chunk numbers of a stretch of a paper that one task puts in order.
+STRETCH = 1 << 14
+
+
+def positions(chunks: DataFrame, *columns: str) -> DataFrame:
+    """paper_id, chunk_id, pos (from 0, by chunk_index, without gaps) and the columns asked for.
+
+    A paper of any size is ordered in stretches of its chunk numbers; only the stretches' sizes meet in one task a paper."""
+    own = chunks.select("paper_id", "chunk_id", "chunk_index", F.floor(F.col("chunk_index") / STRETCH).alias("stretch"), *columns)
+    sizes = own.groupBy("paper_id", "stretch").agg(F.count("*").alias("n"))
+    before = F.sum("n").over(Window.partitionBy("paper_id").orderBy("stretch").rowsBetween(Window.unboundedPreceding, -1))
+    offsets = sizes.select(F.col("paper_id").alias("__paper"), F.col("stretch").alias("__stretch"), F.coalesce(before, F.lit(0)).alias("__before"))
+    numbered = own.withColumn("__r", F.row_number().over(Window.partitionBy("paper_id", "stretch").orderBy("chunk_index", "chunk_id")))
+    met = numbered.join(offsets, F.col("paper_id").eqNullSafe(F.col("__paper")) & (F.col("stretch") == F.col("__stretch")))
+    return met.select("paper_id", "chunk_id", (F.col("__before") + F.col("__r") - 1).alias("pos"), *columns)
+
+
+def links(chunks: DataFrame) -> DataFrame:
+    """chunk_id, previous_chunk_id, next_chunk_id along each paper."""
+    own = positions(chunks)
+    beside = lambda step, name: own.select(F.col("paper_id").alias("__paper"), (F.col("pos") + step).alias("__pos"), F.col("chunk_id").alias(name))
+    here = lambda: F.col("paper_id").eqNullSafe(F.col("__paper")) & (F.col("pos") == F.col("__pos"))
+    met = own.join(beside(1, "previous_chunk_id"), here(), "left").drop("__paper", "__pos")
+    return met.join(beside(-1, "next_chunk_id"), here(), "left").select("chunk_id", "previous_chunk_id", "next_chunk_id")
+
+
 def context_windows(chunks: DataFrame, radius: int = 1, budget: int = 1200, most: int = 5) -> DataFrame:
     """chunk_id, before, after, context: neighbours in the paper up to a budget of estimated tokens.
 
-    Parts are taken in reading order until one would pass the budget; the first is always taken."""
-    near = Window.partitionBy("paper_id").orderBy("chunk_index").rowsBetween(-min(radius, most // 2), min(radius, most // 2))
-    parts = chunks.select("chunk_id", "paper_id", "chunk_index", F.struct("chunk_id", "chunk_index", F.col("chunk_text").alias("text"), t.token_estimate(F.col("chunk_text")).alias("tokens")).alias("part"))
-    listed = parts.withColumn("parts", F.collect_list("part").over(near))
+    Parts are taken in reading order until one would pass the budget; the first is always taken. Each chunk goes to its
+    neighbours' places, so that no task holds a paper."""
+    reach = min(radius, most // 2)
+    part = F.struct("pos", "chunk_id", F.col("chunk_text").alias("text"), t.token_estimate(F.col("chunk_text")).alias("tokens"))
+    sent = positions(chunks, "chunk_text").select("paper_id", part.alias("part"), F.explode(F.sequence(F.col("pos") - reach, F.col("pos") + reach)).alias("at"))
+    listed = sent.groupBy("paper_id", "at").agg(F.array_sort(F.collect_list("part")).alias("parts"), F.max(F.when(F.col("part.pos") == F.col("at"), F.col("part.chunk_id"))).alias("chunk_id")).filter("chunk_id is not null")
     start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(False).alias("full"), F.array().cast("array<string>").alias("kept"))
+
     def step(s, p):
         over = s["full"] | ((F.size(s["kept"]) > 0) & (s["used"] + p["tokens"] > budget))
         return F.struct(F.when(over, s["used"]).otherwise(s["used"] + p["tokens"]).alias("used"), over.alias("full"), F.when(over, s["kept"]).otherwise(F.concat(s["kept"], F.array(p["text"]))).alias("kept"))
+
     folded = F.aggregate("parts", start, step)
-    ids = lambda test: F.transform(F.filter("parts", test), lambda p: p["chunk_id"])
-    return listed.select("chunk_id", F.array_join(ids(lambda p: p["chunk_index"] < F.col("chunk_index")).cast("array<string>"), "|").alias("before"), F.array_join(ids(lambda p: p["chunk_index"] > F.col("chunk_index")).cast("array<string>"), "|").alias("after"), F.size(folded["kept"]).alias("parts_kept"), folded["used"].alias("tokens"), F.array_join(folded["kept"], "\n\n").alias("context"))
+    ids = lambda test: F.array_join(F.transform(F.filter("parts", test), lambda p: p["chunk_id"]).cast("array<string>"), "|")
+    return listed.select("chunk_id", ids(lambda p: p["pos"] < F.col("at")).alias("before"), ids(lambda p: p["pos"] > F.col("at")).alias("after"), F.size(folded["kept"]).alias("parts_kept"), folded["used"].alias("tokens"), F.array_join(folded["kept"], "\n\n").alias("context"))

@@ -163,10 +163,7 @@ def context_window(spark, sf_dir):
 
 @query(f"WITH {CHUNKS_SQL} SELECT chunk_id, lag(chunk_id) OVER p AS previous_chunk_id, lead(chunk_id) OVER p AS next_chunk_id FROM chunks WINDOW p AS (PARTITION BY paper_id ORDER BY chunk_index)")
 def chunk_links(spark, sf_dir):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("paper_id").orderBy("chunk_index")
-    return chunks(spark, sf_dir).select("chunk_id", F.lag("chunk_id").over(w).alias("previous_chunk_id"), F.lead("chunk_id").over(w).alias("next_chunk_id"))
+    return s.links(chunks(spark, sf_dir))
 
 
 @query("SELECT sum(n)::BIGINT AS vectors, sum(n - 1)::BIGINT AS duplicates, round(any_value(dense) / any_value(dims), 6) AS density, round((SELECT count(*)::DOUBLE FROM embeddings SEMI JOIN documents ON vec_id = doc_id) / (SELECT count(*) FROM embeddings), 6) AS coverage FROM (SELECT embedding[1:32] AS head, count(*) AS n FROM embeddings GROUP BY 1), (SELECT sum(len(list_filter(embedding, lambda x: abs(x) > 1e-8)))::DOUBLE AS dense, sum(len(embedding))::DOUBLE AS dims FROM embeddings)")

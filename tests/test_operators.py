@@ -125,6 +125,22 @@ def test_context_windows_stay_in_their_paper(spark):
     assert got == {1: ("", "2", "x\n\ny"), 2: ("1", "", "x\n\ny"), 3: ("", "", "z")}
 
 
+def test_long_papers_are_ordered_in_stretches(spark, monkeypatch):
+    """Links and windows across stretches, some of them empty, are those of the whole paper."""
+    monkeypatch.setattr(search, "STRETCH", 4)
+    rnd = random.Random(4)
+    rows = [(i, p, n, f"t{i}") for p in ("a", None, "b") for i, n in ((hash_, hash_ % 1000) for hash_ in rnd.sample(range(1000 * "ab".find(p or "z") + 1000, 1000 * "ab".find(p or "z") + 2000), 30))]
+    df = spark.createDataFrame(rows, "chunk_id long, paper_id string, chunk_index long, chunk_text string")
+    got = {r.chunk_id: (r.previous_chunk_id, r.next_chunk_id) for r in search.links(df).collect()}
+    for p in ("a", None, "b"):
+        own = [i for i, q, n, _ in sorted(rows, key=lambda r: r[2]) if q == p]
+        for k, i in enumerate(own):
+            assert got[i] == (own[k - 1] if k else None, own[k + 1] if k + 1 < len(own) else None)
+    wide = {r.chunk_id: r.context for r in search.context_windows(df, radius=2).collect()}
+    own = [t_ for _, q, n, t_ in sorted(rows, key=lambda r: r[2]) if q == "a"]
+    assert wide[int(own[5][1:])] == "\n\n".join(own[3:8]) and len(wide) == 90
+
+
 def test_section_filter_comes_after_the_cut(spark):
     docs = [(i, "p", i, "term " * (30 - i) + "x", "methodology" if i == 25 else "body") for i in range(30)]
     chunks = spark.createDataFrame(docs, "chunk_id long, paper_id string, chunk_index long, chunk_text string, label string")
