@@ -37,7 +37,7 @@ def ranked(df: DataFrame, score: str, k: int | None = None, by: str = "query_id"
     return out.filter(F.col(rank) <= k) if k else out
 
 
-#: Distinct terms of a batch of queries up to which they are sent to all tasks; more meet the corpus's by a shuffle.
+#: Terms of a batch of queries, counted by query, up to which they are sent to all tasks; more meet the corpus's by a shuffle.
 SENT_TERMS = 200_000
 
 
@@ -57,21 +57,23 @@ def bm25(chunks: DataFrame, queries: DataFrame, k: int | None = CANDIDATES) -> D
 
     Texts are cut into tokens once, and what the queries need of them is written. Each chunk gives a row of its own, under the empty term, for the number and
     length of all chunks, and one for each token that a query has; only these are shuffled."""
-    asked = queries.select("query_id", F.explode(tokens(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    terms = asked.select("term").union(queries.sparkSession.createDataFrame([("",)], "term string")).distinct()
-    terms = F.broadcast(terms) if terms.count() <= SENT_TERMS else terms
+    asked = queries.select("query_id", F.explode_outer(tokens(F.col("text"))).alias("term")).filter("term is not null").groupBy("query_id", "term").agg(F.count("*").alias("times"))
+    few = asked.count() <= SENT_TERMS
+    sent = F.broadcast if few else (lambda df: df)
+    terms = sent(asked.select("term").union(queries.sparkSession.createDataFrame([("",)], "term string")).distinct())
     # explode_outer: no filter is inferred that would cut the texts once more. The array is never empty.
     listed = chunks.select("chunk_id", F.concat(F.array(F.lit("")), F.coalesce(tokens(F.col("chunk_text")), F.array().cast("array<string>"))).alias("ts"))
     rows = listed.select("chunk_id", (F.size("ts") - 1).alias("dl"), F.explode_outer("ts").alias("term")).filter("term is not null").join(terms, "term", "left_semi")
     met = written(rows.groupBy("chunk_id", "term").agg(F.count("*").alias("tf"), F.max("dl").alias("dl")))
     stats = met.filter("term = ''").agg(F.count("*").alias("n"), F.avg("dl").alias("avgdl"))
     met = met.filter("term <> ''")
-    df = met.groupBy("term").agg(F.count("*").alias("df"))
     n, avgdl = F.col("n"), F.greatest(F.col("avgdl"), F.lit(1.0))
     idf = F.log(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    part = idf * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.greatest(F.col("dl"), F.lit(1)) / avgdl))
-    scored = met.join(df.crossJoin(F.broadcast(stats)), "term").withColumn("part", part)
-    total = scored.join(asked, "term").groupBy("query_id", "chunk_id").agg(F.round(F.sum(F.col("part") * F.col("times")), 6).alias("score"))
+    weights = met.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(stats)).join(asked, "term").select("query_id", "term", "times", "avgdl", idf.alias("idf"))
+    part = F.col("idf") * (F.col("tf") * (K1 + 1)) / (F.col("tf") + K1 * (1 - B + B * F.greatest(F.col("dl"), F.lit(1)) / avgdl))
+    # A chunk's rows lie together, so that its scores for all queries are summed where they are.
+    scored = met.repartition("chunk_id").join(sent(weights), "term")
+    total = scored.groupBy("query_id", "chunk_id").agg(F.round(F.sum(part * F.col("times")), 6).alias("score"))
     return ranked(total, "score", k)
 
 

@@ -9,8 +9,16 @@ from pyspark.sql import functions as F
 LABELS = "abstract introduction methodology results discussion conclusion related_work experiments appendix references".split()
 
 
+#: Tables of texts, whose rows take time each, and the column that deals them.
+TEXTS = {"documents": "doc_id", "pages": "page_id", "conversations": "conv_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table. One of texts that is scanned in fewer tasks than the cluster runs at once (a small one of one file) is dealt over all of them."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    if name in TEXTS and df._jdf.queryExecution().toRdd().getNumPartitions() < cores:
+        return df.repartition(cores, TEXTS[name])
+    return df
 
 
 def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
