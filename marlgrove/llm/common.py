@@ -24,7 +24,11 @@ _U = np.uint64
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table. Documents that are scanned in fewer tasks than the cluster runs at once (a small table of one file) are dealt over all of them."""
+    df, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    if name == "documents" and df._jdf.queryExecution().toRdd().getNumPartitions() < cores:
+        return df.repartition(cores, "doc_id")
+    return df
 
 
 #: Scratch folders of this driver that ``sweep`` hasn't removed.
