@@ -14,7 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from marlgrove.llm import language_id, near_dedup, quality_rules, suffix_dedup
-from marlgrove.llm.common import made, scratch, sweep
+from marlgrove.llm.common import made, scratch, sweep, table
 from marlgrove.llm.packing import pack_documents
 from marlgrove.llm.queries import WORD_FILE
 
@@ -56,7 +56,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over documents, each but the last written to the shared folder and read again."""
-    docs, at = spark.read.parquet(f"{sf_dir}/documents.parquet"), scratch(spark)
+    docs, at = table(spark, sf_dir, "documents"), scratch(spark)
     for name, stage in STAGES[:-1]:
         before = made()
         stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
