@@ -94,11 +94,15 @@ def reflection(unsupported: Column, pieces: Column, contradiction: Column) -> Co
     return F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in steps]))
 
 
+#: What a refined answer ends with where its sources conflict.
+CAUTION = "Caution: the sources do not all agree on this."
+
+
 def refined(text: Column, contradiction: Column) -> Column:
     """Paragraphs once each, in order, with a caution if the evidence conflicts."""
     parts = F.filter(F.transform(F.split(text, "\n\n"), t.strip), lambda x: x != "")
     keep = lambda ps: F.filter(ps, lambda p, i: ~F.exists(F.slice(ps, 1, i), lambda q: F.lower(F.regexp_replace(q, r"\s+", " ")) == F.lower(F.regexp_replace(p, r"\s+", " "))))
-    caution = F.when(contradiction > 0, F.array(F.lit("Caution: the sources do not all agree on this."))).otherwise(F.array().cast("array<string>"))
+    caution = F.when(contradiction > 0, F.array(F.lit(CAUTION))).otherwise(F.array().cast("array<string>"))
     return F.array_join(F.concat(t.let(parts, keep), caution), "\n\n")
 
 

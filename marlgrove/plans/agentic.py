@@ -6,9 +6,12 @@ from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import agentic as g
+from ..operators import answer as a
+from ..operators import compose as c
 from ..operators import search as s
+from ..sources.scratch import written
 from ..sources.tables import chunks
-from .rag import _prior, _w, EXPANDED_, HALLUCINATION_, QUALITY_, RANKED_, RESCUE_, ans_sql, answers_sql, compressed_sql, first_, prec_sql, ranked, recursive_, understood_
+from .rag import _prior, _w, EXPANDED_, HALLUCINATION_, QUALITY_, RANKED_, RESCUE_, ans_sql, answers_sql, compressed_sql, first_, judged_sql, MARKED_, prec_sql, quality_sql, ranked, recursive_, understood_
 from .registry import query
 from .retrieval import questions, search_sql, vectors
 from .scores import BENCH_, TOPICS_
@@ -87,14 +90,24 @@ def rag_answers(spark, sf_dir):
     return out.select("query_id", F.md5("answer").alias("answer_md5"), "citations", "pieces", "n_claims", F.col("score").alias("grounding"), "hallucination", "quality", "confidence")
 
 
-@query()
+_c = "(" + " OR ".join(f"contains(lower({{0}}.chunk_text), '{k}')" for k in a.CONTRAST) + ")"
+_set = "regexp_extract_all(lower({0}.chunk_text), '[a-z]{{4,}}')"
+_r6 = "floor(({}) * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE"
+_strip = "trim({}, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+_keys = "list_transform(ps, lambda p: lower(regexp_replace(p, '\\s+', ' ', 'g')))"
+REFINED_ = f"""conf AS (SELECT x.query_id, count(*) FILTER (x.paper_id <> y.paper_id AND ({_c.format('x')} OR {_c.format('y')}) AND len(list_intersect({_set.format('x')}, {_set.format('y')})) > 0) AS pairs, count(*) AS edges FROM evi x JOIN evi y ON x.query_id = y.query_id AND x.rank < y.rank GROUP BY 1),
+{MARKED_}, before AS (SELECT q.query_id, q.answer, p.evidence, q.citations AS cites, q.pieces, coalesce(edges, 0)::BIGINT AS edges, overall AS was, {_r6.format('least(coalesce(pairs, 0)::DOUBLE / greatest(q.pieces, 1), 1.0::DOUBLE)')} AS contradiction,
+array_to_string(list_filter([CASE WHEN unsupported_ratio > 0 THEN 'retry_retrieval' END, CASE WHEN q.pieces < 3 THEN 'expand_retrieval' END, CASE WHEN m.contradiction > 0.1::DOUBLE THEN 'inspect_contradictions' END], lambda x: x IS NOT NULL), '|') AS actions FROM qual q JOIN pairs p USING (query_id) JOIN mark m USING (query_id) LEFT JOIN conf USING (query_id)),
+ref AS (SELECT * REPLACE (array_to_string(list_concat(list_filter(ps, lambda p, i: list_position({_keys}, {_keys}[i]) = i), CASE WHEN contradiction > 0 THEN ['{c.CAUTION}'] ELSE []::VARCHAR[] END), chr(10) || chr(10)) AS answer) FROM (SELECT *, list_filter(list_transform(string_split(answer, chr(10) || chr(10)), lambda p: {_strip.format('p')}), lambda p: p <> '') AS ps FROM before)),
+{judged_sql('ref', '2')}, {quality_sql('2')}"""
+
+
+@query(f"{RESPONSES_}, {REFINED_} SELECT query_id, md5(q.answer) AS answer_md5, actions, edges, contradiction, q.score AS grounding, {HALLUCINATION_.replace('citations', 'q.citations').replace('pieces', 'q.pieces')} AS hallucination, q.overall AS quality, {_conf.replace('score', 'q.score')} AS confidence, {_r6.format('q.overall - was')} AS gain FROM qual2 q JOIN ref USING (query_id)")
 def agentic_answers(spark, sf_dir):
     """Those answers after reflection, the evidence's graph, its contradictions and refinement, judged again."""
-    held = _evidence(spark, sf_dir)
-    from ..operators.answer import structured_answers
-
-    out = g.post_process(g.judged(structured_answers(held)), held)
-    return out.select("query_id", F.md5("answer").alias("answer_md5"), "actions", "edges", "contradiction", F.col("score").alias("grounding"), "hallucination", "quality", "confidence", "gain")
+    held = written(_evidence(spark, sf_dir))  # read for answers, graph and contradictions
+    out = g.post_process(g.judged(a.structured_answers(held)), held)
+    return out.select("query_id", F.md5("answer").alias("answer_md5"), "actions", F.col("edges").cast("long").alias("edges"), "contradiction", F.col("score").alias("grounding"), "hallucination", "quality", "confidence", "gain")
 
 
 @query(RANKED_ + " SELECT query_id, chunk_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_id))::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id, sha256(trim(chunk_text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))) ORDER BY score DESC, chunk_id) AS same FROM res) WHERE same = 1")

@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
 from ..operators import chunker, evaluate
 from ..operators import layout as o
 from ..operators.contain import containing
+from ..operators.search import positions
 from ..sources.tables import CHUNKS_SQL, LINES_SQL, chunks, lines, table
 from .registry import query
 from .retrieval import BM25_, bm25_topk, knn_graph
@@ -153,6 +153,7 @@ def dates(spark, sf_dir):
 
 @query(f"WITH {CHUNKS_SQL}, w AS (SELECT chunk_id, list_distinct(regexp_extract_all(lower(chunk_text), '[a-z0-9]{{3,}}')) AS x, lag(list_distinct(regexp_extract_all(lower(chunk_text), '[a-z0-9]{{3,}}'))) OVER (PARTITION BY paper_id ORDER BY chunk_index) AS y FROM chunks) SELECT chunk_id, round(CASE WHEN y IS NULL OR len(x) = 0 OR len(y) = 0 THEN 0.0 ELSE len(list_intersect(x, y))::DOUBLE / len(list_distinct(list_concat(x, y))) END, 6) AS overlap FROM w")
 def adjacent_overlap(spark, sf_dir):
-    w = Window.partitionBy("paper_id").orderBy("chunk_index")
-    toks = chunks(spark, sf_dir).withColumn("x", F.array_distinct(t.found(F.lower("chunk_text"), "[a-z0-9]{3,}"))).withColumn("y", F.lag("x").over(w))
-    return toks.select("chunk_id", F.round(F.coalesce(t.jaccard(F.col("x"), F.col("y")), F.lit(0.0)), 6).alias("overlap"))
+    own = positions(chunks(spark, sf_dir).withColumn("x", F.array_distinct(t.found(F.lower("chunk_text"), "[a-z0-9]{3,}"))), "x")
+    before = own.select(F.col("paper_id").alias("p"), (F.col("pos") + 1).alias("at"), F.col("x").alias("y"))
+    met = own.join(before, F.col("paper_id").eqNullSafe(F.col("p")) & (F.col("pos") == F.col("at")), "left")
+    return met.select("chunk_id", F.round(F.coalesce(t.jaccard(F.col("x"), F.col("y")), F.lit(0.0)), 6).alias("overlap"))

@@ -10,7 +10,7 @@ from ..operators import compose as c
 from ..operators import report as r
 from ..sources.tables import CHUNKS_SQL, LINES_SQL, chunks, lines, table
 from ..sources import manifest
-from .rag import ANSWERS_, HALLUCINATION_, INTENT_, PRECISE_, RANKED_, answers_sql, compressed_sql, grounded, ranked, recursive_
+from .rag import ANSWERS_, HALLUCINATION_, INTENT_, MARKED_, PRECISE_, RANKED_, answers_sql, compressed_sql, grounded, ranked, recursive_
 from .registry import query
 from .scores import QUALITY_CTE, TOPICS_, n_, quality, topic_signature
 
@@ -102,10 +102,6 @@ def best_sentences(spark, sf_dir):
     return ranked(spark, sf_dir).filter("rank = 1").select("query_id", a.best_sentence(F.col("chunk_text"), F.col("text")).alias("best"))
 
 
-#: The share of an answer's claims that mark a contrast.
-MARKED_ = "mark AS (SELECT query_id, floor(least(sum((contains(lower(c), 'however') OR contains(lower(c), 'in contrast') OR contains(lower(c), 'whereas') OR contains(lower(c), 'but'))::INT)::DOUBLE / greatest(any_value(n), 1), 1.0::DOUBLE) * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE AS contradiction FROM cl GROUP BY 1)"
-
-
 @query(f"{ANSWERS_}, {MARKED_} SELECT query_id, contradiction, array_to_string(list_filter([CASE WHEN unsupported_ratio > 0 THEN 'retry_retrieval' END, CASE WHEN pieces < 3 THEN 'expand_retrieval' END, CASE WHEN contradiction > 0.1::DOUBLE THEN 'inspect_contradictions' END], lambda x: x IS NOT NULL), '|') AS actions FROM gr JOIN mark USING (query_id)")
 def reflection(spark, sf_dir):
     rows = grounded(spark, sf_dir).withColumn("contradiction", a.contrast_share(F.col("answer")))

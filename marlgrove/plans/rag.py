@@ -189,15 +189,23 @@ _hits = f"len(list_intersect(list_distinct(regexp_extract_all(lower(text), '{a.O
 def answers_sql(source: str) -> str:
     """Answers from the ranked chunks of the table source, their claims, and grounding, in the tables bs, pairs, cl, sup, g and gr."""
     return f"""bs AS (SELECT * FROM (SELECT query_id, rank, paper_id, label, text, unnest(range(len({_sn}))) AS i, unnest({_sn}) AS s FROM {source} WHERE rank <= 4) QUALIFY row_number() OVER (PARTITION BY query_id, rank ORDER BY {_hits} DESC, length(s) DESC, i) = 1),
-pairs AS (SELECT * FROM (SELECT query_id, string_agg(s || ' [' || paper_id || ' §' || label || ']', ' ' ORDER BY rank) AS answer, count(DISTINCT paper_id || ' §' || label) AS cites FROM bs GROUP BY 1) JOIN (SELECT query_id, string_agg(substr(chunk_text, 1, 900), chr(10) ORDER BY rank) AS evidence, count(*) AS pieces FROM {source} GROUP BY 1) USING (query_id)),
-cl AS (SELECT query_id, answer, cites, pieces, lower(evidence) AS ev, len({_cl}) AS n, unnest({_cl}) AS c FROM pairs), sup AS (SELECT query_id, answer, cites, pieces, n, len(list_filter({_ws}, lambda w: contains(ev, w)))::DOUBLE / greatest(len({_ws}), 1) >= 0.35::DOUBLE AS ok FROM cl),
-g AS (SELECT query_id, any_value(answer) AS answer, any_value(cites) AS cites, any_value(pieces) AS pieces, any_value(n) AS n, sum(ok::INT)::DOUBLE / greatest(any_value(n), 1) AS share FROM sup GROUP BY 1),
-gr AS (SELECT query_id, answer, cites::BIGINT AS citations, pieces::BIGINT AS pieces, n::INT AS n_claims, least(cites::DOUBLE / greatest(n, 1), 1.0::DOUBLE) AS coverage, floor((1 - share) * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE AS unsupported_ratio, floor((share * 0.55::DOUBLE + least(cites::DOUBLE / greatest(n, 1), 1.0::DOUBLE) * 0.25::DOUBLE + least(pieces::DOUBLE / greatest(n, 1), 1.0::DOUBLE) * 0.20::DOUBLE) * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE AS score FROM g)"""
+pairs AS (SELECT * FROM (SELECT query_id, string_agg(s || ' [' || paper_id || ' §' || label || ']', ' ' ORDER BY rank) AS answer, count(DISTINCT paper_id || ' §' || label) AS cites FROM bs GROUP BY 1) JOIN (SELECT query_id, string_agg(substr(chunk_text, 1, 900), chr(10) ORDER BY rank) AS evidence, count(*) AS pieces FROM {source} GROUP BY 1) USING (query_id))""" + ", " + judged_sql()
+
+
+def judged_sql(source: str = "pairs", x: str = "") -> str:
+    """Claims and grounding of the answers in the table source, in the tables cl, sup, g and gr with the ending x."""
+    return f"""cl{x} AS (SELECT query_id, answer, cites, pieces, lower(evidence) AS ev, len({_cl}) AS n, unnest({_cl}) AS c FROM {source}), sup{x} AS (SELECT query_id, answer, cites, pieces, n, len(list_filter({_ws}, lambda w: contains(ev, w)))::DOUBLE / greatest(len({_ws}), 1) >= 0.35::DOUBLE AS ok FROM cl{x}),
+g{x} AS (SELECT query_id, any_value(answer) AS answer, any_value(cites) AS cites, any_value(pieces) AS pieces, any_value(n) AS n, sum(ok::INT)::DOUBLE / greatest(any_value(n), 1) AS share FROM sup{x} GROUP BY 1),
+gr{x} AS (SELECT query_id, answer, cites::BIGINT AS citations, pieces::BIGINT AS pieces, n::INT AS n_claims, least(cites::DOUBLE / greatest(n, 1), 1.0::DOUBLE) AS coverage, floor((1 - share) * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE AS unsupported_ratio, floor((share * 0.55::DOUBLE + least(cites::DOUBLE / greatest(n, 1), 1.0::DOUBLE) * 0.25::DOUBLE + least(pieces::DOUBLE / greatest(n, 1), 1.0::DOUBLE) * 0.20::DOUBLE) * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE AS score FROM g{x})"""
 
 
 ANSWERS_ = f"{RANKED_}, {answers_sql('res')}"
 
 
+#: The share of an answer's claims that mark a contrast.
+MARKED_ = "mark AS (SELECT query_id, floor(least(sum((contains(lower(c), 'however') OR contains(lower(c), 'in contrast') OR contains(lower(c), 'whereas') OR contains(lower(c), 'but'))::INT)::DOUBLE / greatest(any_value(n), 1), 1.0::DOUBLE) * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE AS contradiction FROM cl GROUP BY 1)"
+
+
 def grounded(spark, sf_dir):
     return a.with_grounding(answers(spark, sf_dir))
 
@@ -218,8 +226,13 @@ def hallucination(spark, sf_dir):
 _r6 = "floor(({}) * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE"
 
 
-QUALITY_ = f"""w AS (SELECT *, list_transform(regexp_extract_all(answer, '{t.WORD}'), lambda x: lower(x)) AS ws FROM gr), v AS (SELECT *, greatest(0.0::DOUBLE, 1 - len(list_distinct(ws))::DOUBLE / greatest(len(ws), 1)) AS red, least(len(ws) / 120.0::DOUBLE, 1.0::DOUBLE) AS comp, greatest(0.0::DOUBLE, 1 - unsupported_ratio) AS fact, citations::DOUBLE / greatest(len(ws), 1) AS dens FROM w), y AS (SELECT *, comp * 0.4::DOUBLE + (1 - red) * 0.2::DOUBLE + dens * 10 * 0.2::DOUBLE + fact * 0.2::DOUBLE AS syn FROM v),
-qual AS (SELECT *, {_r6.format('red')} AS redundancy, {_r6.format('comp')} AS completeness, {_r6.format('least(syn, 1.0::DOUBLE)')} AS synthesis, {_r6.format('least(dens * 6 * 0.1::DOUBLE + score * 0.30::DOUBLE + comp * 0.15::DOUBLE + (1 - red) * 0.15::DOUBLE + fact * 0.25::DOUBLE + score * 0.20::DOUBLE + syn * 0.05::DOUBLE, 1.0::DOUBLE)')} AS overall FROM y)"""
+def quality_sql(x: str = "") -> str:
+    """The quality of the grounded answers in gr with the ending x, in the tables w, v, y and qual."""
+    return f"""w{x} AS (SELECT *, list_transform(regexp_extract_all(answer, '{t.WORD}'), lambda x: lower(x)) AS ws FROM gr{x}), v{x} AS (SELECT *, greatest(0.0::DOUBLE, 1 - len(list_distinct(ws))::DOUBLE / greatest(len(ws), 1)) AS red, least(len(ws) / 120.0::DOUBLE, 1.0::DOUBLE) AS comp, greatest(0.0::DOUBLE, 1 - unsupported_ratio) AS fact, citations::DOUBLE / greatest(len(ws), 1) AS dens FROM w{x}), y{x} AS (SELECT *, comp * 0.4::DOUBLE + (1 - red) * 0.2::DOUBLE + dens * 10 * 0.2::DOUBLE + fact * 0.2::DOUBLE AS syn FROM v{x}),
+qual{x} AS (SELECT *, {_r6.format('red')} AS redundancy, {_r6.format('comp')} AS completeness, {_r6.format('least(syn, 1.0::DOUBLE)')} AS synthesis, {_r6.format('least(dens * 6 * 0.1::DOUBLE + score * 0.30::DOUBLE + comp * 0.15::DOUBLE + (1 - red) * 0.15::DOUBLE + fact * 0.25::DOUBLE + score * 0.20::DOUBLE + syn * 0.05::DOUBLE, 1.0::DOUBLE)')} AS overall FROM y{x})"""
+
+
+QUALITY_ = quality_sql()
 
 
 @query(f"{ANSWERS_}, {QUALITY_} SELECT query_id, redundancy, completeness, synthesis, overall FROM qual")
