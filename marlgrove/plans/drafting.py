@@ -9,9 +9,9 @@ from ..operators import report as r
 from ..operators import writer as w
 from ..sources.tables import CHUNKS_SQL, chunks, table
 from .agentic import searcher
-from .rag import INTENT_, RANKED_, like_, list_, ranked, recursive_
+from .rag import _w, EXPANDED_, INTENT_, RANKED_, first_, like_, list_, ranked, recursive_, understood_
 from .registry import query
-from .retrieval import questions
+from .retrieval import questions, search_sql
 from .scores import n_
 from .writing import GOOD_, SENT_
 
@@ -121,7 +121,20 @@ def _evidence(spark, sf_dir):
     return w.section_evidence(searcher(spark, sf_dir), w.plans(questions(spark, sf_dir)))
 
 
-@query()
+_said = f"list_concat([text], list_transform(more[1:4], lambda x: text || ' ' || x), CASE WHEN len(ents) > 0 THEN list_transform(more[1:2], lambda x: array_to_string(ents, ' ') || ' ' || x) ELSE []::VARCHAR[] END)"
+_marked = "(" + " OR ".join(f"contains(lower({{0}}.chunk_text), '{x}')" for x in a.CONTRAST) + ")"
+#: Sections of all reports, the forms of their queries, and their best chunks.
+SECTIONS_ = f"""su AS (SELECT *, {EXPANDED_} AS more FROM (SELECT *, {_w} AS w FROM {understood_('qs')})), sl AS (SELECT *, {_said} AS l, list_concat(ents, topics) AS tt, {_titles} AS ts FROM su),
+secs AS (SELECT query_id AS q, base, text, k, ({first_('l')})[1:3] AS subs, ({first_('tt')})[1:6] AS terms, unnest(range(len(ts))) AS place, unnest(ts) AS title FROM sl),
+sf AS (SELECT *, list_concat([title || ' ' || text], list_transform(subs, lambda x: title || ' ' || x)) AS fl FROM secs), qss AS (SELECT (q * 10 + place) * 10 + i AS query_id, base, f AS text FROM (SELECT q, place, base, unnest(range(len({first_('fl')}))) AS i, unnest({first_('fl')}) AS f FROM sf)),
+{search_sql('s')},
+sbest AS (SELECT *, row_number() OVER (PARTITION BY section ORDER BY score DESC, chunk_id) AS rank FROM (SELECT query_id // 10 AS section, chunk_id, max(score) AS score, any_value(paper_id) AS paper_id, any_value(label) AS label, any_value(chunk_text) AS chunk_text FROM ress GROUP BY 1, 2) QUALIFY rank <= 8),
+spair AS (SELECT x.section, count(*) AS pairs FROM sbest x JOIN sbest y ON x.section = y.section AND x.rank < y.rank AND y.rank <= 6 AND x.paper_id <> y.paper_id WHERE {_marked.format('x')} OR {_marked.format('y')} GROUP BY 1),
+sev AS (SELECT section, string_agg(chunk_id, '|' ORDER BY rank) AS chunk_ids, list(lower(label || ' ' || chunk_text)) FILTER (rank <= 6) AS bodies, count(*) FILTER (rank <= 6) AS six FROM sbest GROUP BY 1)"""
+_found = "len(list_filter(terms, lambda x: len(list_filter(bodies, lambda b: contains(b, lower(x)))) > 0))"
+
+
+@query(f"{RANKED_}, {SECTIONS_} SELECT q AS query_id, place::INT AS place, title, {_kind} AS kind, chunk_ids, CASE WHEN len(terms) > 0 THEN floor({_found}::DOUBLE / len(terms) * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE ELSE 0.0 END AS coverage, floor(least(coalesce(pairs, 0)::DOUBLE / greatest(six, 1), 1.0::DOUBLE) * 1000000.0::DOUBLE + 0.5::DOUBLE) / 1000000.0::DOUBLE AS conflict FROM secs JOIN sev ON sev.section = q * 10 + place LEFT JOIN spair ON spair.section = sev.section")
 def section_evidence(spark, sf_dir):
     """The chunks of every section of every report, how many of its terms they hold, and how far they conflict."""
     hits = F.array_join(F.transform("hits", lambda h: h["chunk_id"].cast("string")), "|")
