@@ -275,6 +275,10 @@ def test_command_line(sf, tmp_path, spark):
 
     main(["value_counts", sf, "--out", f"file://{tmp_path}/o"])
     assert spark.read.parquet(f"file://{tmp_path}/o").count() == 4
+    main(["build", sf, "--out", f"file://{tmp_path}/b"])
+    assert driver.read(spark, f"file://{tmp_path}/b", "chunks").count() > 0
+    with pytest.raises(SystemExit):
+        main(["build", sf])
 
 
 def test_answers_are_refined(spark):
@@ -430,3 +434,27 @@ def test_cache_computes_what_is_new_once(spark, tmp_path):
     assert artefacts.cached(df.filter("key = 'a'"), "key", at, compute).count() == 2
     assert sorted((r.n, r.up) for r in artefacts.cached(df, "key", at, compute).collect()) == [(1, "A"), (2, "B"), (3, "A")]
     assert met == [["a"], ["b"]]
+
+
+def test_engine(spark):
+    """All modes, a section, contexts, answers and reports on a small corpus."""
+    from marlgrove.api import Engine
+
+    rows = [(i, "ab"[i % 2], i, f"Policy gradient {i} improves the reward of agents in every run. Word{i} word{i} is stable.", ("results", "methodology")[i % 2]) for i in range(12)]
+    chunks = spark.createDataFrame(rows, "chunk_id long, paper_id string, chunk_index long, chunk_text string, label string")
+    vectors = spark.createDataFrame([(i, [1.0, i / 12]) for i in range(12)], "chunk_id long, v array<double>")
+    q = spark.createDataFrame([(1, "policy gradient word3", [1.0, 0.0])], "query_id long, text string, v array<double>")
+    engine = Engine(chunks, vectors)
+    for mode in ("hybrid", "dense", "sparse"):
+        hits = engine.search(q, 5, mode, context=True).collect()
+        assert len(hits) == 5 and all(h.chunk_text in h.context for h in hits)
+    assert {h.label for h in engine.search(q, section="results").collect()} == {"results"}
+    assert engine.search(q, 1, "sparse").first().chunk_id == 3
+    with pytest.raises(ValueError):
+        engine.search(q, mode="other")
+    for agentic_ in (False, True):
+        got = engine.answer(q, agentic_).collect()
+        assert len(got) == 1 and got[0].citations >= 1 and 0 <= got[0].confidence <= 1
+    assert {r.chunk_id for r in engine.multi_hop(q).collect()} <= set(range(12))
+    report = engine.report(q, passes=1).first()
+    assert report.sections == len(writer.r.OUTLINES["technical-summary"]) and "## " in report.markdown
