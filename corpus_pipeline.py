@@ -2,7 +2,8 @@
 
 Each stage works on all documents that its predecessor kept. The first three drop documents, the fourth
 takes passages of 50 words and more that occur elsewhere out of their texts, the last returns the packed pieces. A document whose text
-loses all its bytes stays, as the end id alone.
+loses all its bytes stays, as the end id alone. Stages bound the session's record batches (``small_batches``), so
+that two tasks' workers fit beside an executor's heap.
 
 Stages are tested against brute force; SQL can't express learning, sketches or packing, so there is no
 SQL for the whole.
@@ -14,7 +15,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from marlgrove.llm import language_id, near_dedup, quality_rules, suffix_dedup
-from marlgrove.llm.common import made, scratch, sweep, table
+from marlgrove.llm.common import made, scratch, small_batches, sweep, table
 from marlgrove.llm.packing import pack_documents
 from marlgrove.llm.queries import WORD_FILE
 
@@ -24,22 +25,27 @@ PASSAGE_WORDS, PASSAGE_BYTES = 50, 200
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts without letters and those of which no language has 35 % of the letters; texts in two languages stay."""
+    small_batches(spark)
     return language_id.filter_docs(docs, least=0.35)
 
 
 def apply_quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return quality_rules.filter_docs(docs)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return near_dedup.filter_docs(docs, percent=80)
 
 
 def remove_repeated_bytes(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return suffix_dedup.clean_docs(docs, window=PASSAGE_BYTES, least_words=PASSAGE_WORDS)
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return pack_documents(docs, public_tokenizers.path(WORD_FILE), end_id=1, room=4096)
 
 

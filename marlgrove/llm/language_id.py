@@ -33,6 +33,8 @@ from pyspark.sql import functions as F
 
 from .common import mix, powers, slices, texts
 
+#: Text bytes that ``filter_docs`` labels at once; some hundred bytes of scores stand beside each word.
+FILTER_BYTES = 1_000_000
 SAMPLE_DOCS = 20_000
 LANG_DOCS = 50
 #: Most n-gram buckets, fewest, and buckets times languages.
@@ -319,7 +321,7 @@ def filter_docs(docs: DataFrame, least: float = 0.35) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = Labeller(sent.value)
         langs = len(sent.value.langs)
-        for batch in slices(batches):
+        for batch in slices(batches, limit=FILTER_BYTES):
             if not langs:
                 continue
             split = [t.split() for t in texts(batch.column("text"))]

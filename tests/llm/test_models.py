@@ -258,3 +258,35 @@ def test_pipeline(spark, sf, awkward, nothing):
     for _, stage in c.STAGES[:-1]:
         for df in (awkward, nothing):
             assert stage(spark, df, sf).columns == df.columns
+
+
+def test_pipeline_bounds_record_batches(spark, sf, awkward):
+    """After any stage 20 MB of rows reach a worker in batches of 4 MB at most, a lower bound stays, and results don't depend on it."""
+    import pyarrow as pa
+    import corpus_pipeline as c
+    from marlgrove.llm.common import ARROW_BYTES, sweep
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.record_batch({"n": [b.num_rows], "bytes": [b.nbytes]})
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    wide = spark.range(0, 20_000, 1, 1).select("id", F.repeat(F.lit("x"), 1000).alias("text"))
+    try:
+        found = {}
+        for bound in ("64m", "2k"):
+            for k, (stage, f) in enumerate(c.STAGES):
+                spark.conf.set(name, bound)
+                got = rows(f(spark, awkward, sf).select("doc_id", *["piece", "length", "ids_crc32"] * (stage == "best_fit_packing"), *["text"] * (stage != "best_fit_packing")).na.fill({"text": "-"} if stage != "best_fit_packing" else {}))
+                assert found.setdefault(stage, got) == got
+                if bound == "2k":
+                    assert spark.conf.get(name) in ("2k", "2048b")
+                elif k in (0, 4):
+                    met = wide.mapInArrow(sizes, "n long, bytes long").collect()
+                    assert sum(r.n for r in met) == 20_000 and max(r["bytes"] for r in met) <= 1.01 * ARROW_BYTES
+                else:
+                    assert spark.conf.get(name) == str(ARROW_BYTES)
+    finally:
+        spark.conf.set(name, before)
+        sweep(spark)
