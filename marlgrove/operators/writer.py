@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from ..sources.scratch import written
 from . import answer as a
 from . import report as r
 from .agentic import Search
@@ -131,10 +132,11 @@ def drafts(evidence: DataFrame) -> DataFrame:
 
     Claims are the anchors of clusters of its evidence sentences, normalised and paraphrased, without those that an earlier
     section of the report made."""
+    evidence = written(evidence)  # read for sentences and for sections
     hits = evidence.select("section", F.explode("hits").alias("h")).select("section", "h.*")
     found = r.evidence_sentences(hits.select(F.struct("section", "rank", "chunk_id", "paper_id", "label", "score").alias("chunk_id"), "chunk_text"))
-    lines = found.select(F.col("chunk_id.section").alias("group_id"), (F.col("chunk_id.rank") * 10 + F.col("place")).alias("place"), "sentence", F.col("chunk_id.score").alias("score"), a.citation_label(F.col("chunk_id.paper_id"), F.col("chunk_id.label")).alias("mark"))
-    grouped = r.clusters(lines.select("group_id", "place", "sentence")).join(lines, ["group_id", "place"])
+    lines = written(found.select(F.col("chunk_id.section").alias("group_id"), (F.col("chunk_id.rank") * 10 + F.col("place")).alias("place"), "sentence", F.col("chunk_id.score").alias("score"), a.citation_label(F.col("chunk_id.paper_id"), F.col("chunk_id.label")).alias("mark")))
+    grouped = written(r.clusters(lines.select("group_id", "place", "sentence")).join(lines, ["group_id", "place"]))
     marks = grouped.groupBy("group_id", "cluster").agg(F.min_by("mark", "place").alias("mark"))
     said = paraphrased(normalised(F.col("anchor")))
     claims = anchors(grouped).join(marks, ["group_id", "cluster"]).withColumn("claim", said).filter("claim <> ''")
