@@ -68,15 +68,42 @@ class Best:
         return self.held[0]
 
 
-def best(met: DataFrame, weights: tuple[np.ndarray, np.ndarray, np.ndarray], queries: np.ndarray, avgdl: float, k: int, k1: float, b: float) -> DataFrame:
-    """query_id, chunk_id, score: of each task's chunks (as ``counted`` has them) the k best of each query.
+Weights = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
-    weights: places of terms in order, places of queries, and the weights of these terms in these queries."""
-    sent = met.sparkSession.sparkContext.broadcast((*weights, queries))
+
+def dealt(asked: pa.Table, terms: pa.Array, weight: np.ndarray) -> Weights:
+    """The weights of asked (query_id, term) by term: where each term's begin and end, places of queries, weights, and the queries by place."""
+    at = pc.index_in(asked.column("term"), value_set=terms).to_numpy()
+    names, of = np.unique(asked.column("query_id").to_numpy(), return_inverse=True)
+    order = np.argsort(at, kind="stable")
+    return np.searchsorted(at[order], np.arange(len(terms) + 1)), of[order], weight[order], names.astype(np.int64)
+
+
+def added(rows: int, row: np.ndarray, term: np.ndarray, part: np.ndarray, weights: Weights) -> np.ndarray:
+    """A score for each row and query: the parts of the row's terms by their weights in the query. A row has a term once."""
+    bounds, of, weight, names = weights
+    score = np.zeros((rows, names.size))
+    order = np.argsort(term, kind="stable")
+    starts = np.flatnonzero(np.diff(term[order], prepend=-1))
+    for start, end in zip(starts, [*starts[1:], order.size]):
+        own = order[start:end]
+        left, right = bounds[term[own[0]]], bounds[term[own[0]] + 1]
+        score[row[own][:, None], of[left:right]] += part[own][:, None] * weight[left:right]
+    return score
+
+
+def passed_on(found: Best, names: np.ndarray) -> pa.RecordBatch:
+    query, ids, score = found.cut()
+    return pa.record_batch({"query_id": pa.array(names[query], pa.int64()), "chunk_id": pa.array(ids, pa.int64()), "score": pa.array(score)})
+
+
+def best(met: DataFrame, weights: Weights, avgdl: float, k: int, k1: float, b: float) -> DataFrame:
+    """query_id, chunk_id, score: of each task's chunks (as ``counted`` has them) the k best of each query."""
+    sent = met.sparkSession.sparkContext.broadcast(weights)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        terms, of, weight, names = sent.value
-        found = Best(names.size, k, GATHERED)
+        names = sent.value[-1]
+        found, step = Best(names.size, k, GATHERED), max(1, CELLS // max(1, names.size))
         for batch in batches:
             ids, dl = batch.column("chunk_id").to_numpy(), batch.column("dl").to_numpy()
             norm = k1 * (1 - b + b * np.maximum(dl, 1) / avgdl)
@@ -84,18 +111,10 @@ def best(met: DataFrame, weights: tuple[np.ndarray, np.ndarray, np.ndarray], que
             row = np.repeat(np.arange(ids.size), pc.list_value_length(lists).to_numpy())
             term, tf = lists.flatten().to_numpy(), batch.column("tfs").flatten().to_numpy()
             part = tf * (k1 + 1) / (tf + norm[row])
-            step = max(1, CELLS // names.size)
             for begin in range(0, ids.size, step):
                 low, high = np.searchsorted(row, [begin, begin + step])
-                order = low + np.argsort(term[low:high], kind="stable")
-                score = np.zeros((min(step, ids.size - begin), names.size))
-                starts = np.flatnonzero(np.diff(term[order], prepend=-1))
-                lefts, rights = np.searchsorted(terms, term[order[starts]]), np.searchsorted(terms, term[order[starts]], side="right")
-                for start, end, left, right in zip(starts, [*starts[1:], order.size], lefts, rights):
-                    own = order[start:end]
-                    score[(row[own] - begin)[:, None], of[left:right]] += part[own][:, None] * weight[left:right]
-                found.add(ids[begin : begin + step], score)
-        query, ids, score = found.cut()
-        yield pa.record_batch({"query_id": pa.array(names[query], pa.int64()), "chunk_id": pa.array(ids, pa.int64()), "score": pa.array(score)})
+                own = slice(low, high)
+                found.add(ids[begin : begin + step], added(min(step, ids.size - begin), row[own] - begin, term[own], part[own], sent.value))
+        yield passed_on(found, names)
 
     return met.select("chunk_id", "dl", "terms", "tfs").mapInArrow(run, "query_id long, chunk_id long, score double")
